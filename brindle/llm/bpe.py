@@ -3,8 +3,9 @@
 Pieces (matches of the pattern) that a worker has not met before go, all at once, through
 one recursive query: rows (word, position, token) join the merge table, and every word
 contracts its leftmost pair of least rank, until no word has a pair left.  Decoding joins
-ids with the vocabulary and aggregates the bytes in order.  The results for pieces are kept
-for later batches in a bounded table of the worker, which only saves time.
+ids with the vocabulary and aggregates the bytes in order.  A text is cut into chunks of
+whole pieces; what the queries gave for a chunk is kept for later batches in a bounded table
+of the worker, which only saves time.
 
 Defined results: a null or empty text has no tokens; special tokens are ordinary text;
 repeated rows give repeated results; an empty table gives an empty table; other columns are
@@ -15,6 +16,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -23,43 +26,89 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import utf8
 
-#: Pieces kept by a worker; beyond that its table starts anew.
-KEEP_PIECES = 300_000
+#: Chunks kept by a worker; beyond that its table starts anew with those in use.
+KEEP_CHUNKS = 500_000
 #: Texts are handled in groups of about so many characters, ids in groups of so many.
-GROUP_CHARS, GROUP_IDS = 4_000_000, 500_000
+GROUP_CHARS, GROUP_IDS = 8_000_000, 500_000
+#: In a text without these, each single space or newline starts a chunk that holds whole pieces.
+UNEVEN = re.compile(r"\s\s|[^\S \n]|\x00")
 
+#: Pieces of more bytes contract every occurrence of their least pair in a step.
+LONG_PIECE = 64
+#: A recursive query runs so many steps at most; what is left starts the next one.
+STEPS = 256
+
+#: Rows (word, pos) link to the next token of their word; {step} makes the rows of a step.
 CONTRACT = """
-WITH RECURSIVE state(word, pos, tok, step) AS (
-    SELECT word, pos, tok, 0 FROM seed
+WITH RECURSIVE state(word, pos, nxt, tok, ntok, step) AS (
+    SELECT word, pos, nxt, tok, ntok, 0 FROM seed
     UNION ALL
-    SELECT word, pos, CASE WHEN hit THEN merged ELSE tok END, step + 1
-    FROM (
-        SELECT *, coalesce(lag(hit) OVER (PARTITION BY word ORDER BY pos), false) AS gone
-        FROM (
-            SELECT word, pos, tok, step, merged, best,
-                   best IS NOT NULL AND place = best AS hit
-            FROM (
-                SELECT p.*, m.merged, m.merged * 4294967296 + p.pos AS place,
-                       min(m.merged * 4294967296 + p.pos) OVER (PARTITION BY p.word) AS best
-                FROM (SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt FROM state) p
-                LEFT JOIN merges m ON m.l = p.tok AND m.r = p.nxt
-            )
-        )
-        WHERE best IS NOT NULL
-    )
-    WHERE NOT gone
+    (WITH {step})
 )
-SELECT word, pos, tok FROM state
+SELECT word, pos, nxt, tok, ntok, step FROM state
 QUALIFY step = max(step) OVER (PARTITION BY word)
 ORDER BY word, pos
 """
 
+#: Contracts the leftmost pair of least rank of each word.
+LEFTMOST = """
+best AS (
+    SELECT s.word, min(m.merged::BIGINT * 4294967296 + s.pos) AS best
+    FROM state s JOIN merges m ON m.pair = s.tok::BIGINT * 65536 + s.ntok GROUP BY s.word
+), hit AS (
+    SELECT b.word, s.pos, (best >> 32)::INT AS merged, s.nxt AS gone
+    FROM best b JOIN state s ON s.pos = (b.best & 4294967295)::INT
+)
+SELECT s.word, s.pos,
+       CASE WHEN s.pos = h.pos THEN g.nxt ELSE s.nxt END,
+       CASE WHEN s.pos = h.pos THEN h.merged ELSE s.tok END,
+       CASE WHEN s.pos = h.pos THEN g.ntok WHEN s.nxt = h.pos THEN h.merged ELSE s.ntok END,
+       s.step + 1
+FROM state s JOIN hit h ON h.word = s.word LEFT JOIN state g ON g.pos = h.gone
+WHERE s.pos <> h.gone AND s.step < {most}"""
+
+#: All pairs of least rank, every other one where they overlap.  That is the same as one by one
+#: unless the merged token is part of a pair of lesser rank; then only the leftmost counts.
+EVERY = """
+pairs AS (
+    SELECT s.word, s.pos, m.merged, m.early, min(m.merged) OVER (PARTITION BY s.word) AS least,
+           s.place - row_number() OVER (PARTITION BY s.word, m.merged ORDER BY s.pos) AS island
+    FROM (SELECT *, row_number() OVER (ORDER BY pos) AS place FROM state) s
+    JOIN merges m ON m.pair = s.tok::BIGINT * 65536 + s.ntok
+), picked AS (
+    SELECT word, pos, merged FROM pairs WHERE merged = least
+    QUALIFY CASE WHEN early THEN row_number() OVER (PARTITION BY word ORDER BY pos) = 1
+                 ELSE row_number() OVER (PARTITION BY word, island ORDER BY pos) % 2 = 1 END
+), hit AS (
+    SELECT p.*, s.nxt AS gone FROM picked p JOIN state s ON s.pos = p.pos
+)
+SELECT s.word, s.pos, coalesce(g.nxt, s.nxt), coalesce(h.merged, s.tok),
+       coalesce(n.merged, CASE WHEN h.pos IS NOT NULL THEN g.ntok ELSE s.ntok END), s.step + 1
+FROM state s
+JOIN (SELECT DISTINCT word FROM hit) w ON w.word = s.word
+LEFT JOIN hit h ON h.pos = s.pos
+LEFT JOIN state g ON g.pos = h.gone
+LEFT JOIN hit n ON n.pos = coalesce(g.nxt, s.nxt) AND n.word = s.word
+LEFT JOIN hit d ON d.gone = s.pos AND d.word = s.word
+WHERE d.gone IS NULL AND s.step < {most}"""
+
 DECODE = """
 SELECT i.doc, string_agg(v.hex, '' ORDER BY i.pos) AS hex
 FROM ids i JOIN vocab v ON v.id = i.id GROUP BY i.doc
 """
 
 
+def chunks_of(text: str, split) -> list[str]:
+    """Parts of a text whose pieces, one after the other, are those of the whole text.
+
+    Where blanks stand alone, a space starts a piece and a newline is one; other texts are
+    cut into their pieces at once.
+    """
+    if UNEVEN.search(text):
+        return split(text)
+    return [c for c in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if c]
+
+
 class Codec:
     """The vocabulary as DuckDB tables, with the worker's table of pieces."""
 
@@ -73,45 +122,79 @@ class Codec:
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.split = regex.compile(pattern).findall
         merges = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        l, r, m = zip(*merges)
+        left, right, merged = (np.array(x, np.int64) for x in zip(*merges))
+        first = np.full(len(self.ranks) + 1, len(self.ranks))  # the least rank of a pair with this token
+        np.minimum.at(first, left, merged)
+        np.minimum.at(first, right, merged)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB"})
-        merge_rows = pa.table({"l": pa.array(l, pa.int64()), "r": pa.array(r, pa.int64()), "merged": pa.array(m, pa.int64())})
+        merge_rows = pa.table({"pair": left * 65536 + right, "merged": merged.astype(np.int32), "early": first[merged] < merged})
         vocab_rows = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
         for name, rows in (("merges", merge_rows), ("vocab", vocab_rows)):
             self.db.register("incoming", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
             self.db.unregister("incoming")
-        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, tuple[bytes, bytes]] = {}
 
-    def learn(self, words: list[str]) -> None:
-        """Contract new pieces; their ids are kept as little-endian 32-bit integers."""
-        if len(self.pieces) + len(words) > KEEP_PIECES:
-            self.pieces.clear()
-        raw = [utf8(w) for w in words]
+    def contract(self, raw: list[bytes], step: str) -> list[bytes]:
+        """The ids of pieces as little-endian 32-bit integers."""
+        out = [b""] * len(raw)
+        if not raw:
+            return out
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        total = int(sizes.sum())
-        starts = np.cumsum(sizes) - sizes
-        seed = pa.table({"word": np.repeat(np.arange(len(raw)), sizes), "pos": np.arange(total) - np.repeat(starts, sizes), "tok": self.byte[np.frombuffer(b"".join(raw), np.uint8)]})
-        self.db.register("seed", seed)
-        found = self.db.execute(CONTRACT).to_arrow_table()
-        self.db.unregister("seed")
-        word, tok = found["word"].to_numpy(), found["tok"].to_numpy().astype("<u4")
-        ends = np.searchsorted(word, np.arange(len(raw)), "right")
-        blob, at = tok.tobytes(), 0
-        for w, end in zip(words, ends.tolist()):
-            self.pieces[w] = blob[4 * at : 4 * end]
-            at = end
+        ends = np.cumsum(sizes)
+        tok = self.byte[np.frombuffer(b"".join(raw), np.uint8)].astype(np.int32)
+        after = np.append(tok[1:], np.int32(-1))
+        after[ends - 1] = -1
+        place = np.arange(len(tok), dtype=np.int32)
+        seed = pa.table({"word": np.repeat(np.arange(len(raw), dtype=np.int32), sizes), "pos": place, "nxt": place + 1, "tok": tok, "ntok": after})
+        while seed.num_rows:
+            self.db.register("seed", seed)
+            found = self.db.sql(CONTRACT.format(step=step.format(most=STEPS))).to_arrow_table()
+            self.db.unregister("seed")
+            more = found["step"].to_numpy() == STEPS
+            word, ids = found["word"].to_numpy(), found["tok"].to_numpy().astype("<u4")
+            blob, firsts = ids.tobytes(), np.flatnonzero(np.diff(word, prepend=-1))
+            for k, first, last in zip(word[firsts].tolist(), firsts.tolist(), np.append(firsts[1:], len(word)).tolist()):
+                out[k] = blob[4 * first : 4 * last]
+            seed = found.filter(pa.array(more)).drop_columns("step") if more.any() else seed.slice(0, 0)
+        return out
+
+    def pieces_to_ids(self, words: list[str]) -> dict[str, bytes]:
+        raw = [utf8(w) for w in words]
+        whole = {w: struct.pack("<I", self.ranks[b]) for w, b in zip(words, raw) if b in self.ranks}
+        for step, most, least in ((LEFTMOST, LONG_PIECE, 0), (EVERY, 1 << 62, LONG_PIECE)):
+            part = [(w, b) for w, b in zip(words, raw) if w not in whole and least < len(b) <= most]
+            whole.update(zip([w for w, _ in part], self.contract([b for _, b in part], step)))
+        return whole
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encode new chunks through their pieces; decode what that gave."""
+        cut = [self.split(c) for c in chunks]
+        ids = self.pieces_to_ids(list({w for words in cut for w in words}))
+        coded = [b"".join(map(ids.__getitem__, words)) for words in cut]
+        self.chunks.update(zip(chunks, zip(coded, self.decode(coded))))
+
+    def known(self, wanted: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """A table with (ids, decoded bytes) of all these chunks."""
+        if new := wanted - self.chunks.keys():
+            if len(self.chunks) + len(new) > KEEP_CHUNKS:
+                old = self.chunks
+                self.chunks = {c: old[c] for c in wanted if c in old}
+            self.learn(list(new))
+        return self.chunks
+
+    def round_trip(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """(ids, decoded bytes) of each text, chunk by chunk."""
+        cut = [chunks_of(t, self.split) if t else [] for t in texts]
+        table = self.known({c for chunks in cut for c in chunks})
+        out = []
+        for chunks in cut:
+            both = [table[c] for c in chunks]
+            out.append((b"".join([x[0] for x in both]), b"".join([x[1] for x in both])))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.split(t) if t else [] for t in texts]
-        have = self.pieces
-        need = list({w for words in cut for w in words} - have.keys())
-        if need:
-            if len(have) + len(need) > KEEP_PIECES:
-                need = list({w for words in cut for w in words})
-            self.learn(need)
-        get = self.pieces.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+        return [ids for ids, _ in self.round_trip(texts)]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         out, first = [b""] * len(ids), 0
@@ -192,8 +275,8 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     def rows(it):
         schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
         for keys, texts in groups(it):
-            coded = codec(path, pattern).encode(texts)
-            plain = codec(path, pattern).decode(coded)
+            both = codec(path, pattern).round_trip(texts)
+            coded, plain = [x[0] for x in both], [x[1] for x in both]
             hexed = lambda xs: [hashlib.sha256(x).hexdigest() for x in xs]
             yield pa.RecordBatch.from_pydict({"id": keys, "n_tokens": [len(x) // 4 for x in coded], "ids_sha256": hexed(coded), "decoded_sha256": hexed(plain)}, schema=schema)
 
