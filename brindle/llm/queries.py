@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media
+from . import bpe, media, pii, toxicity
 from .common import read_table
 
 
@@ -16,6 +16,15 @@ def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op7_bpe": op7_bpe, "op10_webp": op10_webp}
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(read_table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op3_pii": op3_pii, "op8_toxicity": op8_toxicity, "op7_bpe": op7_bpe, "op10_webp": op10_webp}
 
 SQL: dict[str, str] = {}
