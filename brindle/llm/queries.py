@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, pii, toxicity
+from . import bpe, media, mixing, pii, rules, toxicity
 from .common import read_table
 
 
@@ -25,6 +25,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op3_pii": op3_pii, "op8_toxicity": op8_toxicity, "op7_bpe": op7_bpe, "op10_webp": op10_webp}
+def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.result(read_table(spark, sf_dir, "documents"))
 
-SQL: dict[str, str] = {}
+
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op4_rules": op4_rules, "op5_mix": op5_mix, "op3_pii": op3_pii, "op8_toxicity": op8_toxicity, "op7_bpe": op7_bpe, "op10_webp": op10_webp}
+
+SQL: dict[str, str] = {"op4_rules": rules.ORACLE, "op5_mix": mixing.ORACLE}
