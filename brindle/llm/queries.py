@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, pii, rules, toxicity
+from . import bpe, media, mixing, pii, rules, simhash, toxicity
 from .common import read_table
 
 
@@ -33,6 +33,10 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op4_rules": op4_rules, "op5_mix": op5_mix, "op3_pii": op3_pii, "op8_toxicity": op8_toxicity, "op7_bpe": op7_bpe, "op10_webp": op10_webp}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.result(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_simhash": op9_simhash, "op4_rules": op4_rules, "op5_mix": op5_mix, "op3_pii": op3_pii, "op8_toxicity": op8_toxicity, "op7_bpe": op7_bpe, "op10_webp": op10_webp}
 
 SQL: dict[str, str] = {"op4_rules": rules.ORACLE, "op5_mix": mixing.ORACLE}
