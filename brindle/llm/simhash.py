@@ -91,7 +91,8 @@ def dealt(blocks) -> Column:
     tables = []
     for k, chosen in enumerate(combinations(blocks, AGREE)):
         left = [b for b in blocks if b not in chosen]
-        tables.append(F.struct(joined(chosen, F.lit(k).cast("long")).alias("key"), joined(left, F.lit(0).cast("long")).alias("rest")))
+        key = F.shiftleft(joined(chosen, F.lit(0).cast("long")), 5).bitwiseOR(F.lit(k))
+        tables.append(F.struct(key.alias("key"), joined(left, F.lit(0).cast("long")).alias("rest")))
     return F.array(*tables)
 
 
