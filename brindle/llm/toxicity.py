@@ -6,7 +6,7 @@ come from models that did not see the row (out-of-fold, ``FOLDS`` folds by a has
 so that later models meet inputs as uncertain as they will be in use.
 
 The chain is fitted on the driver on at most ``MAX_LABELLED`` labelled rows, those with the
-smallest hash of their id; of a text only the set of its words travels.  Every document is
+smallest hash of their id; of a text only the set of its words travels, as 32-bit checksums.  Every document is
 scored.  A document is rejected at the threshold that out-of-fold scores found best.
 
 Defined results: a null or empty text has no words and gets the base rates; labels that
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,10 @@ CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
 WORDS = re.compile(r"[^\W_]+").findall
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(WORDS(text.lower())) if text else set()
+def words_of(text: str | None) -> np.ndarray:
+    """Checksums of the distinct words of a text, in ascending order."""
+    found = set(WORDS(text.lower())) if text else ()
+    return np.unique(np.fromiter(map(crc32, map(str.encode, found)), np.uint32, len(found)))
 
 
 def sigmoid(z):
@@ -47,14 +50,16 @@ def sigmoid(z):
 class Linear:
     """Logistic regression on the presence of words and on earlier probabilities."""
 
-    words: dict[str, float]
+    words: np.ndarray  # ascending
+    weights: np.ndarray
     earlier: np.ndarray
     bias: float
 
-    def score(self, words: set[str], earlier: list[float]) -> float:
-        own = self.words
-        known = sorted([w for w in words if w in own])  # one order, so that sums agree on every machine
-        z = self.bias + sum([own[w] for w in known]) + float(np.dot(self.earlier, earlier))
+    def score(self, words: np.ndarray, earlier: list[float]) -> float:
+        z = self.bias + float(np.dot(self.earlier, earlier))
+        if len(self.words) and len(words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            z += float(self.weights[at[self.words[at] == words]].sum())
         return float(sigmoid(z))
 
 
@@ -73,7 +78,8 @@ def choose(row, col, y, n_words) -> np.ndarray:
 def fit_linear(row, col, y, earlier, vocabulary, rounds: int = 120, decay: float = 1e-3) -> Linear:
     """Full-batch Adam; sparse rows as (row, col) pairs."""
     if not 0 < y.sum() < len(y):
-        return Linear({}, np.zeros(earlier.shape[1]), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))) if len(y) else -13.8)
+        none = np.zeros(0)
+        return Linear(none.astype(np.uint32), none, np.zeros(earlier.shape[1]), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))) if len(y) else -13.8)
     chosen = choose(row, col, y, len(vocabulary))
     place = np.full(len(vocabulary), -1)
     place[chosen] = np.arange(len(chosen))
@@ -88,7 +94,8 @@ def fit_linear(row, col, y, earlier, vocabulary, rounds: int = 120, decay: float
         g = np.concatenate([np.bincount(c, weights=d[r], minlength=k), d @ earlier, [d.sum()]]) + decay * w * np.append(np.ones(len(w) - 1), 0) / 10
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return Linear({vocabulary[x]: float(q) for x, q in zip(chosen, w)}, w[k:-1].copy(), float(w[-1]))
+    order = np.argsort(chosen)
+    return Linear(vocabulary[chosen[order]], w[:k][order], w[k:-1].copy(), float(w[-1]))
 
 
 @dataclass
@@ -97,7 +104,7 @@ class Chain:
     models: list[Linear]
     limits: dict[str, float]
 
-    def score(self, words: set[str]) -> list[float]:
+    def score(self, words: np.ndarray) -> list[float]:
         out: list[float] = []
         for model in self.models:
             out.append(model.score(words, out))
@@ -116,18 +123,14 @@ def best_limit(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[k]] + (p[order[k + 1]] if k + 1 < len(y) else 0)) / 2)
 
 
-def fit(rows: list[tuple[set[str], int, tuple[int, ...]]], categories=CATEGORIES) -> Chain:
+def fit(rows: list[tuple[np.ndarray, int, tuple[int, ...]]], categories=CATEGORIES) -> Chain:
     """rows: (words, fold, one 0/1 label for each category)"""
-    seen: dict[str, int] = {}
-    for words, _, _ in rows:
-        for w in words:
-            seen[w] = seen.get(w, 0) + 1
-    vocabulary = sorted(w for w, n in seen.items() if n >= LEAST_ROWS)
-    at = {w: k for k, w in enumerate(vocabulary)}
-    pairs = [(i, at[w]) for i, (words, _, _) in enumerate(rows) for w in words if w in at]
-    row, col = np.array(pairs, np.int64).reshape(-1, 2).T
-    order = np.lexsort((col, row))
-    row, col = row[order], col[order]
+    sizes = np.array([len(words) for words, _, _ in rows], np.int64)
+    everything = np.concatenate([np.zeros(0, np.uint32), *(words for words, _, _ in rows)])
+    vocabulary, col, counts = np.unique(everything, return_inverse=True, return_counts=True)
+    row, often = np.repeat(np.arange(len(rows)), sizes), counts >= LEAST_ROWS
+    place = np.cumsum(often) - 1
+    row, col, vocabulary = row[often[col]], place[col[often[col]]], vocabulary[often]
     fold = np.array([f for _, f, _ in rows], np.int64)
     labels = np.array([y for _, _, y in rows], float).reshape(len(rows), len(categories))
     held = np.zeros((len(rows), 0))
@@ -157,14 +160,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def rows(it):
         for batch in it:
-            out = batch.select(["id", "low", "toxic"]).append_column("words", pa.array([sorted(words_of(t)) for t in batch["text"].to_pylist()], pa.list_(pa.string())))
-            yield out
+            yield batch.select(["id", "low", "toxic"]).append_column("words", pa.array([words_of(t).tobytes() for t in batch["text"].to_pylist()], pa.binary()))
 
     # ``given`` has at most ``bound`` rows of three numbers, so it may be broadcast.
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(given), "id")
-    found = src.select("id", "low", "toxic", "text").mapInArrow(rows, "id long, low int, toxic int, words array<string>").collect()
-    found = sorted(found, key=lambda r: (r["id"], r["low"], r["toxic"], r["words"]))
-    return fit([(set(r["words"]), (r["id"] * 2654435761 % 4294967296 >> 16) % FOLDS, (r["low"], r["toxic"], r["low"] & r["toxic"])) for r in found])
+    found = src.select("id", "low", "toxic", "text").mapInArrow(rows, "id long, low int, toxic int, words binary").collect()
+    found = sorted(found)
+    return fit([(np.frombuffer(r["words"], np.uint32), (r["id"] * 2654435761 % 4294967296 >> 16) % FOLDS, (r["low"], r["toxic"], r["low"] & r["toxic"])) for r in found])
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
