@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import utf8
 
 #: Chunks kept by a worker; beyond that its table starts anew with those in use.
-KEEP_CHUNKS = 500_000
+KEEP_CHUNKS = 800_000
 #: Texts are handled in groups of about so many characters, ids in groups of so many.
 GROUP_CHARS, GROUP_IDS = 8_000_000, 500_000
 #: In a text without these, each single space or newline starts a chunk that holds whole pieces.
@@ -93,7 +93,7 @@ LEFT JOIN hit d ON d.gone = s.pos AND d.word = s.word
 WHERE d.gone IS NULL AND s.step < {most}"""
 
 DECODE = """
-SELECT i.doc, string_agg(v.hex, '' ORDER BY i.pos) AS hex
+SELECT i.doc, unhex(string_agg(v.hex, '' ORDER BY i.pos)) AS bytes
 FROM ids i JOIN vocab v ON v.id = i.id GROUP BY i.doc
 """
 
@@ -159,19 +159,28 @@ class Codec:
             seed = found.filter(pa.array(more)).drop_columns("step") if more.any() else seed.slice(0, 0)
         return out
 
-    def pieces_to_ids(self, words: list[str]) -> dict[str, bytes]:
-        raw = [utf8(w) for w in words]
-        whole = {w: struct.pack("<I", self.ranks[b]) for w, b in zip(words, raw) if b in self.ranks}
-        for step, most, least in ((LEFTMOST, LONG_PIECE, 0), (EVERY, 1 << 62, LONG_PIECE)):
-            part = [(w, b) for w, b in zip(words, raw) if w not in whole and least < len(b) <= most]
-            whole.update(zip([w for w, _ in part], self.contract([b for _, b in part], step)))
+    def pieces_to_ids(self, words: set[str]) -> dict[str, bytes]:
+        whole, parts = {}, {LEFTMOST: ([], []), EVERY: ([], [])}
+        for w in words:
+            if (have := self.chunks.get(w)) is not None:  # a chunk of one piece
+                whole[w] = have[0]
+                continue
+            b = utf8(w)
+            if (rank := self.ranks.get(b)) is not None:
+                whole[w] = struct.pack("<I", rank)
+            else:
+                names, raw = parts[LEFTMOST if len(b) <= LONG_PIECE else EVERY]
+                names.append(w)
+                raw.append(b)
+        for step, (names, raw) in parts.items():
+            whole.update(zip(names, self.contract(raw, step)))
         return whole
 
     def learn(self, chunks: list[str]) -> None:
         """Encode new chunks through their pieces; decode what that gave."""
-        cut = [self.split(c) for c in chunks]
-        ids = self.pieces_to_ids(list({w for words in cut for w in words}))
-        coded = [b"".join(map(ids.__getitem__, words)) for words in cut]
+        cut = list(map(self.split, chunks))
+        get = self.pieces_to_ids({w for words in cut for w in words}).__getitem__
+        coded = [b"".join(map(get, words)) for words in cut]
         self.chunks.update(zip(chunks, zip(coded, self.decode(coded))))
 
     def known(self, wanted: set[str]) -> dict[str, tuple[bytes, bytes]]:
@@ -203,14 +212,14 @@ class Codec:
             while last < len(ids) and (last == first or n + len(ids[last]) // 4 <= GROUP_IDS):
                 n += len(ids[last]) // 4
                 last += 1
-            part = [np.frombuffer(b, "<u4") for b in ids[first:last]]
-            sizes = np.fromiter(map(len, part), np.int64, len(part))
-            rows = pa.table({"doc": np.repeat(np.arange(first, last, dtype=np.int32), sizes), "pos": np.arange(n, dtype=np.int32), "id": np.concatenate(part).astype(np.int32)})
+            part = ids[first:last]
+            sizes = np.fromiter(map(len, part), np.int64, len(part)) // 4
+            rows = pa.table({"doc": np.repeat(np.arange(first, last, dtype=np.int32), sizes), "pos": np.arange(n, dtype=np.int32), "id": np.frombuffer(b"".join(part), "<i4")})
             self.db.register("ids", rows)
-            found = self.db.execute(DECODE).fetchall()
+            found = self.db.sql(DECODE).to_arrow_table()
             self.db.unregister("ids")
-            for doc, text in found:
-                out[doc] = bytes.fromhex(text)
+            for doc, text in zip(found["doc"].to_pylist(), found["bytes"].to_pylist()):
+                out[doc] = text
             first = last
         return out
 
