@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, langid, media, mixing, pii, rules, simhash, toxicity
+from . import bpe, html_extract, langid, media, mixing, pii, rules, simhash, suffix_dedup, toxicity
 from .common import read_table
 
 
@@ -45,6 +45,10 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op2_langid": op2_langid, "op6_html": op6_html, "op9_simhash": op9_simhash, "op4_rules": op4_rules, "op5_mix": op5_mix, "op3_pii": op3_pii, "op8_toxicity": op8_toxicity, "op7_bpe": op7_bpe, "op10_webp": op10_webp}
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.result(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_langid": op2_langid, "op6_html": op6_html, "op9_simhash": op9_simhash, "op4_rules": op4_rules, "op5_mix": op5_mix, "op3_pii": op3_pii, "op8_toxicity": op8_toxicity, "op7_bpe": op7_bpe, "op10_webp": op10_webp}
 
 SQL: dict[str, str] = {"op4_rules": rules.ORACLE, "op5_mix": mixing.ORACLE}
