@@ -357,3 +357,11 @@ def enrich_session_section(spark, d):
 ) SELECT '{present.KB_TITLE}' || string_agg(s, '' ORDER BY score DESC, path, heading, node_id) AS section FROM line""")
 def enrich_kb_section(spark, d):
     return present.kb_section(kb.search(V.kb_nodes(spark, d), KB_QUERY, present.MOST))
+
+
+@register("embed_documents")
+def embed_documents(spark, d):
+    """Rows only: the hashing embedder has no SQL."""
+    from .embed import HashingEmbedder, embedded
+
+    return embedded(V.table(spark, d, "documents").select("doc_id", "text"), lambda: HashingEmbedder(64)).drop("text")
