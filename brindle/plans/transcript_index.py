@@ -44,6 +44,17 @@ def write_json(spark: SparkSession, out: str, target: str) -> None:
     docs.join(own, "doc_id").write.mode("overwrite").json(target)
 
 
+def read_json(spark: SparkSession, source: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and nodes of such files; a bad file raises, a missing folder has none."""
+    if not os.path.isdir(source):
+        rows = turns(spark, [])
+        return transcript.documents(rows), transcript.nodes(rows)
+    node = "struct<node_id:string,title:string,summary:string,source_locator:string,start_turn:int,end_turn:int,text:string>"
+    schema = f"doc_id string, doc_name string, doc_description string, source_family string, source_path string, turn_count long, text string, nodes array<{node}>"
+    docs = spark.read.schema(schema).option("mode", "FAILFAST").json(source)
+    return docs.drop("nodes"), docs.select("doc_id", F.inline("nodes"))
+
+
 def query(spark: SparkSession, out: str, text: str, limit: int = 5) -> DataFrame:
     docs, nodes = load(spark, out)
     return transcript.query(docs, nodes, text, limit)

@@ -55,3 +55,7 @@ def test_build(spark, tmp_path):
     assert got == {"files": 3, "sessions": 2, "nodes": 2}
     assert [r["doc_id"] for r in transcript_index.query(spark, out, "ask two").collect()] == ["two", "one"]
     assert transcript_index.content(spark, out, "one.jsonl", "000001") == "User: ask one\n\nAssistant: ok\n"
+    transcript_index.write_json(spark, out, str(tmp_path / "json"))
+    docs, nodes = transcript_index.read_json(spark, str(tmp_path / "json"))
+    assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, transcript_index.load(spark, out)[0].collect()))
+    assert nodes.count() == 2 and transcript_index.read_json(spark, str(tmp_path / "none"))[0].count() == 0
