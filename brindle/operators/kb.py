@@ -78,19 +78,22 @@ def scored(node_rows: DataFrame, query: str) -> DataFrame:
 
 
 def ranked(rows: DataFrame, limit: int = 5) -> DataFrame:
-    """The fullest matches, archives only if nothing else is as full, one section for each path."""
-    tier = W.partitionBy()
-    best = rows.agg(F.max(F.struct("matched", (~T.is_archive(F.col("path"))).alias("live"))).alias("best"))
-    # One row: the fullest match, and whether one of those is no archive.
-    kept = rows.join(F.broadcast(best), (F.col("matched") == F.col("best.matched")) & (~T.is_archive(F.col("path")) | ~F.col("best.live")))
-    shaped = kept.select(
+    """The fullest matches, archives only if nothing else is as full, one section for each path.
+
+    A score ranks by fullness first, so a path's best section is its fullest, and the top rows
+    hold all that may be kept: one pass, and the last filter sees ``limit`` rows.
+    """
+    shaped = rows.select(
         F.col("path").alias("doc_id"), "path", F.col("heading_path").alias("heading"), F.col("normalized_body").alias("text"), "score",
         F.concat_ws("-", "line_start", "line_end").alias("node_id"), F.element_at(F.split("heading_path", " > "), -1).alias("title"),
         F.concat(F.lit("matched deterministic text index; score "), F.col("score").cast("string")).alias("reason"),
+        F.struct("matched", (~T.is_archive(F.col("path"))).alias("live")).alias("tier"),
     )
     one = W.partitionBy("path").orderBy(F.desc("score"), "heading", "node_id")
     shaped = shaped.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    return shaped.orderBy(F.desc("score"), "path", "heading", "node_id").limit(limit)
+    top = shaped.orderBy(F.desc("tier"), F.desc("score"), "path", "heading", "node_id").limit(limit)
+    best = top.withColumn("_best", F.max("tier").over(W.partitionBy())).where(F.col("tier") == F.col("_best"))
+    return best.drop("tier", "_best").orderBy(F.desc("score"), "path", "heading", "node_id")
 
 
 def search(node_rows: DataFrame, query: str, limit: int = 5) -> DataFrame:
