@@ -18,7 +18,6 @@ gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,32 +33,30 @@ TEMPER = 0.25
 #: Soft counts that a level of the prior borrows from the level above.
 BORROW = 5.0
 SLOTS = 1 << 16
-KEEP_WORDS = 200_000
 LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
-def slots(word: str) -> list[int]:
-    w = f" {word} "
-    return [(ord(w[k]) * 1000003 + ord(w[k + 1]) * 8191 + ord(w[k + 2]) * 131) % SLOTS for k in range(len(w) - 2)]
+def slots(text: str | None) -> np.ndarray:
+    """Table places of all trigrams of the words of a text, each word between two spaces."""
+    words = LETTERS(text.lower()) if text else []
+    if not words:
+        return np.zeros(0, np.int64)
+    c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    # Windows around a space would join two words.
+    return ((c[:-2] * 1000003 + c[1:-1] * 8191 + c[2:] * 131) % SLOTS)[c[1:-1] != 32]
 
 
 @dataclass
 class Model:
     languages: list[str]
-    logs: np.ndarray  # languages x SLOTS
-
-    def scores(self, text: str | None, cache: dict) -> list[float]:
-        total = np.zeros(len(self.languages))
-        if text:
-            seen = Counter(LETTERS(text.lower()))
-            for word in sorted(seen):
-                got = cache.get(word)
-                if got is None:
-                    if len(cache) >= KEEP_WORDS:
-                        cache.clear()
-                    got = cache[word] = self.logs[:, slots(word)].sum(axis=1)
-                total += seen[word] * got
-        return (total - total.max(initial=0) if len(total) == 0 else total - total.max()).tolist()
+    logs: np.ndarray  # SLOTS x languages
+
+    def scores(self, text: str | None) -> list[float]:
+        """Log likelihoods, the largest 0; long texts in parts, so that memory is bounded."""
+        total, at = np.zeros(len(self.languages)), slots(text)
+        for k in range(0, len(at), 1 << 16):
+            total += self.logs[at[k : k + (1 << 16)]].sum(axis=0)
+        return (total - total.max(initial=-np.inf)).tolist()
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = MAX_LABELLED) -> Model:
@@ -71,8 +68,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         tables: dict[str, np.ndarray] = {}
         for batch in it:
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
-                for word, n in Counter(LETTERS((text or "").lower())).items():
-                    np.add.at(tables.setdefault(lang, np.zeros(SLOTS, np.int64)), slots(word), n)
+                table = tables.setdefault(lang, np.zeros(SLOTS, np.int64))
+                table += np.bincount(slots(text), minlength=SLOTS)
         yield pa.RecordBatch.from_pydict({"lang": list(tables), "counts": [t.astype("<i8").tobytes() for t in tables.values()]}, schema=pa.schema([("lang", pa.string()), ("counts", pa.binary())]))
 
     sums: dict[str, np.ndarray] = {}
@@ -81,18 +78,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["counts"], "<i8")
     names = sorted(sums)
     table = np.array([sums[n] for n in names], float).reshape(len(names), SLOTS) + 0.5
-    return Model(names, np.log(table / table.sum(axis=1, keepdims=True)) if names else table)
+    return Model(names, np.ascontiguousarray(np.log(table / table.sum(axis=1, keepdims=True)).T) if names else table.T)
 
 
 def evidence(rows: DataFrame, model: Model) -> DataFrame:
     """Adds ``ll``, the tempered log likelihood of each language; rows: (…, text or html)."""
 
     def fn(it):
-        cache: dict = {}
         for batch in it:
             texts, pages = batch["text"].to_pylist(), batch["html"].to_pylist()
             full = [t if h is None else " ".join(b for b, main, noise in blocks(h) if main or not noise) for t, h in zip(texts, pages)]
-            lls = [[TEMPER * x for x in model.scores(t, cache)] for t in full]
+            lls = [[TEMPER * x for x in model.scores(t)] for t in full]
             yield batch.drop_columns(["text", "html"]).append_column("ll", pa.array(lls, pa.list_(pa.float64())))
 
     out = ", ".join(f"{n} {t}" for n, t in rows.dtypes if n not in ("text", "html")) + ", ll array<double>"
