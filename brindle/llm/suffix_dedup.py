@@ -171,11 +171,12 @@ def common(a: np.ndarray, b: np.ndarray, most: np.ndarray, lead: bool = False) -
     return np.concatenate([[0], got]) if lead else got
 
 
-def compare(right: list[bytes], left: list[bytes], near: np.ndarray, far: np.ndarray):
-    """Strings of a bucket: (row, offset) that repeat in it, and (row, offset) at its borders.
+def compare(right: list[bytes], left: list[bytes], near: np.ndarray, far: np.ndarray, weight: np.ndarray):
+    """Strings of a bucket: (row, first offset, last offset) of runs that repeat in it, and
+    (row, offset, weight) of classes at its borders, one row for each class.
 
     Row k has the strings at offsets near[k]..far[k]: that many bytes from ``left`` (which runs
-    backwards from the anchor), the rest from ``right``.
+    backwards from the anchor), the rest from ``right``; ``weight`` says how often its text occurs.
     """
     n = len(right)
     r_order, r_common, matrix, sizes = multikey_sort(right, LENGTH)
@@ -190,41 +191,47 @@ def compare(right: list[bytes], left: list[bytes], near: np.ndarray, far: np.nda
         rows = np.flatnonzero((near <= d) & (d <= far))
         if not len(rows):
             continue
-        outer = rows[edge[rows] >= LENGTH - d]
-        borders.append((outer, np.full(len(outer), d)))
-        if len(rows) < 2:
-            continue
         # Rows that are shorter than the depth stand before those that share it, never between.
         key = np.cumsum(r_common < LENGTH - d)[r_at[rows]] * np.int64(n + 1) + np.cumsum(l_common < d)[l_at[rows]]
         inside = np.argsort(key, kind="stable")
-        same = key[inside][1:] == key[inside][:-1]
-        hit = rows[inside[np.append(same, False) | np.append(False, same)]]
+        new = np.append(True, key[inside][1:] != key[inside][:-1])
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(rows)))
+        hit = rows[inside[count[np.cumsum(new) - 1] > 1]]
         repeats.append((hit, np.full(len(hit), d)))
-    join = lambda pairs: tuple(np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
-    return join(repeats), join(borders)
+        total = np.add.reduceat(weight[rows[inside]], first)
+        shown = rows[inside[first]]
+        outer = edge[shown] >= LENGTH - d
+        borders.append((shown[outer], np.full(int(outer.sum()), d), total[outer]))
+    row, d = (np.concatenate(x) for x in zip(*repeats))
+    order = np.lexsort((d, row))
+    row, d = row[order], d[order]
+    starts = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (d[1:] != d[:-1] + 1))[: len(row)])
+    ends = np.append(starts[1:], len(row))[: len(starts)] - 1
+    return (row[starts], d[starts], d[ends]), tuple(np.concatenate(x) for x in zip(*borders))
 
 
-FOUND = "kind int, doc long, a int, d int, ctx long, h1 long, weight long"
+FOUND = "kind int, doc long, s int, e int, ctx long, h1 long, weight long"
 
 
 def sorted_buckets(it):
-    """Compare each bucket: kind 0 is a repeated string (doc, a, d), kind 1 one at a border."""
+    """Compare each bucket: kind 0 is a run of repeated strings, kind 1 a class at a border."""
     import xxhash
 
-    schema = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("a", pa.int32()), ("d", pa.int32()), ("ctx", pa.int64()), ("h1", pa.int64()), ("weight", pa.int64())])
-    table = pa.Table.from_batches(list(it)) if (it := list(it)) else None
+    schema = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("ctx", pa.int64()), ("h1", pa.int64()), ("weight", pa.int64())])
+    table = pa.Table.from_batches(it) if (it := list(it)) else None
     if table is None or not table.num_rows:
         return
     right, left = table["r"].to_pylist(), table["l"].to_pylist()
     doc, a, lo, hi, ctx, n = (table[c].to_numpy() for c in ("doc", "a", "lo", "hi", "ctx", "n"))
-    (row, d), (edge, e) = compare(right, left, a - hi, a - lo)
+    (row, near, far), (edge, at, weight) = compare(right, left, a - hi, a - lo, n)
     alone = n[row] == 1  # the strings of texts that occur twice are known to repeat
-    row, d = row[alone], d[alone]
-    yield pa.RecordBatch.from_pydict({"kind": np.zeros(len(row)), "doc": doc[row], "a": a[row], "d": d, "ctx": ctx[row], "h1": np.zeros(len(row), np.int64), "weight": n[row]}, schema=schema)
-    for at in range(0, len(edge), 100_000):
-        x, y = edge[at : at + 100_000], e[at : at + 100_000]
-        whole = [xxhash.xxh3_64_intdigest(left[k][:q][::-1] + right[k][: LENGTH - q], q) for k, q in zip(x.tolist(), y.tolist())]
-        yield pa.RecordBatch.from_pydict({"kind": np.ones(len(x)), "doc": doc[x], "a": a[x], "d": y, "ctx": ctx[x], "h1": np.array(whole, np.uint64).view(np.int64), "weight": n[x]}, schema=schema)
+    row, near, far = row[alone], near[alone], far[alone]
+    yield pa.RecordBatch.from_pydict({"kind": np.zeros(len(row)), "doc": doc[row], "s": a[row] - far, "e": a[row] - near + LENGTH, "ctx": ctx[row], "h1": np.zeros(len(row), np.int64), "weight": n[row]}, schema=schema)
+    for k in range(0, len(edge), 100_000):
+        x, d, w = edge[k : k + 100_000], at[k : k + 100_000], weight[k : k + 100_000]
+        whole = [xxhash.xxh3_64_intdigest(left[i][:q][::-1] + right[i][: LENGTH - q], q) for i, q in zip(x.tolist(), d.tolist())]
+        yield pa.RecordBatch.from_pydict({"kind": np.ones(len(x)), "doc": doc[x], "s": a[x] - d, "e": a[x] - d + LENGTH, "ctx": ctx[x], "h1": np.array(whole, np.uint64).view(np.int64), "weight": w}, schema=schema)
 
 
 def with_texts(src: DataFrame, reps: DataFrame) -> DataFrame:
@@ -265,9 +272,9 @@ def spans(src: DataFrame) -> DataFrame:
     compared = cut(suffixes.repartitionByRange("r", "l").mapInArrow(sorted_buckets, FOUND), "compared")
     border = compared.where("kind = 1")
     twice = cut(border.groupBy("ctx", "h1").agg(F.sum("weight").alias("w")).where("w > 1").select(F.col("ctx").alias("c"), F.col("h1").alias("h")), "borders")
-    across = border.where("weight = 1").join(twice, (F.col("ctx") == F.col("c")) & (F.col("h1") == F.col("h"))).select("doc", "a", "d")
-    single = compared.where("kind = 0").select("doc", "a", "d").unionByName(across)
-    single = single.select("doc", (F.col("a") - F.col("d")).alias("s"), (F.col("a") - F.col("d") + LENGTH).alias("e"))
+    # Classes of several strings are known to repeat; the others ask whether another bucket has theirs.
+    across = border.where("weight = 1").join(twice, (F.col("ctx") == F.col("c")) & (F.col("h1") == F.col("h"))).select("doc", "s", "e")
+    single = compared.where("kind = 0").select("doc", "s", "e").unionByName(across)
     whole = lambda df: df.select("doc", F.col("lo").alias("s"), (F.col("hi") + LENGTH).alias("e"))
     often = bodies.where("n > 1").select(F.col("ctx").alias("c"), F.col("body").alias("b"))
     copied = mixed.join(often, (F.col("ctx") == F.col("c")) & (F.col("body") == F.col("b")))
