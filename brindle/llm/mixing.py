@@ -24,6 +24,8 @@ from .common import cut, sized_words
 #: Weights of the sources in their order, repeating; the share of all words to take; the cap.
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 BINS = 4096
+#: A source is dealt out over so many keys wherever documents meet their source's row.
+SALTS = 64
 SEED = "pareto-1"
 
 
@@ -66,7 +68,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     whole = F.floor(ratio).cast("long")
     # 52 bits of a digest of seed and id, the same on every run and machine; never 0 or 1.
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / 4503599627370496.0
-    both = sized.join(shares.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    both = with_source(sized, shares)
     both = both.withColumn("whole", whole).withColumn("p", ratio - whole)
     # Ranks run from 0 to infinity; q / (1 + q) keeps their order within 0 and 1.
     q = F.when(F.col("p") > 0, odds(u) / odds(F.col("p")))
@@ -76,18 +78,20 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     ranked = cut(both, "ranked")
     # What fills the rest: first whole bins, then whole fine bins of the next one, then documents.
     coarse = crossing(ranked.where("p > 0"), [], "bin")
-    inside = ranked.where("p > 0").join(renamed(coarse, "c_"), on_source("c_")).where("bin = c_bin")
-    fine = crossing(inside.select(*ranked.columns, F.col("c_before").alias("start")), ["start"], "fine")
-    fine = cut(fine.join(renamed(coarse, "c_"), on_source("c_")).select("source", F.col("c_bin").alias("f_bin"), F.col("fine").alias("f_fine"), F.col("before").alias("f_before")), "cuts")
-    edge = ranked.where("p > 0").join(fine.withColumnRenamed("source", "f_source"), on_source("f_")).where("bin = f_bin AND fine = f_fine")
+    coarse = cut(coarse.select("source", F.col("bin").alias("c_bin"), F.col("before").alias("start")), "coarse")
+    inside = with_source(ranked.where("p > 0"), coarse).where("bin = c_bin")
+    fine = crossing(inside, ["start"], "fine").withColumnRenamed("source", "f_source")
+    # One row for each source on both sides.
+    fine = cut(fine.join(coarse, on_source("f_")).select("source", F.col("c_bin").alias("f_bin"), F.col("fine").alias("f_fine"), F.col("before").alias("f_before")), "cuts")
+    edge = with_source(ranked.where("p > 0"), fine).where("bin = f_bin AND fine = f_fine")
     order = W.partitionBy("source").orderBy("rank", F.col("id").asc_nulls_last(), "size")
     run = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) + F.col("f_before")
     edge = edge.withColumn("run", run)
     # A document is in if the words with it are nearer to the rest than those without it.
     last = edge.where(F.col("run") - F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max(F.struct("rank", "id")).alias("last"))
     # Few rows: one for each source.
-    ends = fine.join(last.withColumnRenamed("source", "l_source"), on_source("l_"), "left").select(F.col("source").alias("e_source"), "f_bin", "f_fine", "last")
-    placed = ranked.join(ends, F.col("source").eqNullSafe(F.col("e_source")), "left")
+    ends = cut(fine.join(last.withColumnRenamed("source", "l_source"), on_source("l_"), "left").select("source", "f_bin", "f_fine", "last"), "ends")
+    placed = with_source(ranked, ends, "left")
     at = F.struct("bin", "fine")
     edge_at = F.struct(F.col("f_bin"), F.col("f_fine"))
     tie = (F.col("rank") < F.col("last.rank")) | ((F.col("rank") == F.col("last.rank")) & (F.coalesce(F.col("id") <= F.col("last.id"), F.lit(False)) | F.col("last.id").isNull()))
@@ -100,8 +104,13 @@ def on_source(prefix: str) -> Column:
     return F.col("source").eqNullSafe(F.col(f"{prefix}source"))
 
 
-def renamed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
+def with_source(rows: DataFrame, by: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with the columns of their source's row; a source's rows are dealt out by id."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    spread = by.withColumnRenamed("source", "_source").withColumn("_salt", salts)
+    salted = rows.withColumn("_own", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    on = (F.col("_own") == F.col("_salt")) & F.col("source").eqNullSafe(F.col("_source"))
+    return salted.join(spread, on, how).drop("_own", "_salt", "_source")
 
 
 def crossing(rows: DataFrame, extra: list[str], name: str) -> DataFrame:
