@@ -19,6 +19,7 @@ import hashlib
 import re
 import struct
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import utf8
 
-#: Chunks kept by a worker; beyond that its table starts anew with those in use.
-KEEP_CHUNKS = 800_000
+#: Chunks kept by a worker; beyond that only the first so many, which tend to be the frequent
+#: ones, and those in use stay.  Between tasks a worker keeps the first ones alone.
+KEEP_CHUNKS, KEEP_FIRST = 500_000, 300_000
 #: Texts are handled in groups of about so many characters, ids in groups of so many.
-GROUP_CHARS, GROUP_IDS = 8_000_000, 500_000
+GROUP_CHARS, GROUP_IDS = 4_000_000, 500_000
 #: In a text without these, each single space or newline starts a chunk that holds whole pieces.
 UNEVEN = re.compile(r"\s\s|[^\S \n]|\x00")
 
@@ -188,10 +190,16 @@ class Codec:
         if new := wanted - self.chunks.keys():
             if len(self.chunks) + len(new) > KEEP_CHUNKS:
                 old = self.chunks
-                self.chunks = {c: old[c] for c in wanted if c in old}
+                self.chunks = dict(islice(old.items(), KEEP_FIRST))
+                self.chunks.update((c, old[c]) for c in wanted if c in old)
             self.learn(list(new))
         return self.chunks
 
+    def rest(self) -> None:
+        """What a worker does between tasks: give memory back."""
+        if len(self.chunks) > KEEP_FIRST:
+            self.chunks = dict(islice(self.chunks.items(), KEEP_FIRST))
+
     def round_trip(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """(ids, decoded bytes) of each text, chunk by chunk."""
         cut = [chunks_of(t, self.split) if t else [] for t in texts]
@@ -258,6 +266,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         for keys, texts in groups(it):
             coded = codec(path, pattern).encode(texts)
             yield pa.RecordBatch.from_pydict({"id": keys, "ids": pa.array([np.frombuffer(b, "<i4") for b in coded], pa.list_(pa.int32()))}, schema=schema)
+        codec(path, pattern).rest()
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(rows, "id long, ids array<int>").withColumnRenamed("id", id_col)
@@ -288,6 +297,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             coded, plain = [x[0] for x in both], [x[1] for x in both]
             hexed = lambda xs: [hashlib.sha256(x).hexdigest() for x in xs]
             yield pa.RecordBatch.from_pydict({"id": keys, "n_tokens": [len(x) // 4 for x in coded], "ids_sha256": hexed(coded), "decoded_sha256": hexed(plain)}, schema=schema)
+        codec(path, pattern).rest()
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(rows, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
