@@ -236,7 +236,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row of each component, the one with the component's id, with all its columns."""
-    found = cut(components(docs, id_col, text_col, shingle).withColumnRenamed(id_col, "_id"), "classes")
+    signed = lambda t: int(np.uint64(fingerprint(t, shingle)).view(np.int64))
+    return keep_first(docs, components(docs, id_col, text_col, shingle), signed, id_col, text_col)
+
+
+def keep_first(docs: DataFrame, classes: DataFrame, print_of, id_col: str, text_col: str) -> DataFrame:
+    """``keep_one`` for given (id, fp, root, component_id), where ``print_of`` gives a text's fp."""
+    found = cut(classes.withColumnRenamed(id_col, "_id"), "classes")
     per_id = found.groupBy("_id").agg(F.count("*").alias("n"), F.max(F.col("_id") != F.col("component_id")).alias("out"))
     per_id = cut(per_id.where("n > 1 OR out OR _id IS NULL").select("_id", "n"), "out")
     single = docs.join(per_id.select("_id"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
@@ -246,7 +252,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     # Ids that several rows share (and null): told apart by fingerprint.
     @F.pandas_udf("long")
     def fp_of(texts):
-        return texts.map(lambda t: np.uint64(fingerprint(t, shingle)).view(np.int64))
+        return texts.map(print_of).astype("int64")
 
     shared = docs.join(many.select("_id"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi").withColumn("_fp", fp_of(F.col(text_col)))
     best = found.groupBy(F.col("root").alias("_root")).agg(F.min(F.struct(F.col("_id").isNull().alias("no"), F.col("_id"), F.col("fp"))).alias("b"))

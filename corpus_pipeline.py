@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import bpe, mixing, pii, simhash, toxicity
+from brindle.llm import bpe, mixing, near, pii, toxicity
 from brindle.llm.common import cut, read_table
 
 
@@ -18,8 +18,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component, linked as in op9: three words, three bits at most."""
-    return simhash.keep_one(docs)
+    """Keep one document of each component, linked by five-word shingles at 0.8 or more."""
+    return near.keep_one(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
