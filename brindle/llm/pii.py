@@ -15,6 +15,7 @@ table gives an empty table; other columns are ignored by ``find`` and kept by ``
 
 from __future__ import annotations
 
+import ipaddress
 import re
 import string
 from functools import lru_cache
@@ -41,21 +42,23 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset(string.ascii_letters + string.digits + "._%+-")
 DIGIT = re.compile(r"[0-9]")
 
-#: Generators of candidates: wide on purpose.
+WORD_RUN = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{16,}(?![A-Za-z0-9_])")
+GROUPS = r"(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?"
+#: Generators of candidates: wide on purpose, and to the end of a run, however long.
 GENERATORS = {
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b"),
-    "secret": re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{16,64}(?![A-Za-z0-9_])|(?<==)[^\s\"',;]{8,64}"),
+    "secret": re.compile(r"(?<==)[^\s\"',;]{7,}[^\s\"',;.:!?)\]}>]|" + WORD_RUN.pattern),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "ipv6": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+    "ipv6": re.compile(rf"(?<![\w:]){GROUPS}::{GROUPS}(?![\w:])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{{1,4}}:){{3,7}}:?[0-9A-Fa-f]{{1,4}}(?![0-9A-Fa-f:])"),
     "mac": re.compile(r"(?<![0-9A-Fa-f:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:-])"),
-    "handle": re.compile(r"(?<![\w@.])@[A-Za-z][A-Za-z0-9_]{2,30}"),
+    "handle": re.compile(r"(?<![\w@.])@[A-Za-z][A-Za-z0-9_]{2,}"),
 }
 #: A cheap test that a text could hold a candidate of the kind.
 HINTS = {
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}"),
     "secret": re.compile(r"[0-9=]"),
     "ssn": re.compile(r"[0-9]-[0-9]{2}-[0-9]"),
-    "ipv6": re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f:]"),
+    "ipv6": re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f:]|::[0-9A-Fa-f]"),
     "mac": re.compile(r"[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]"),
     "handle": re.compile(r"@[A-Za-z]"),
 }
@@ -112,6 +115,13 @@ def iban_valid(span: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def ipv6_valid(span: str) -> bool:
+    try:
+        return int(ipaddress.IPv6Address(span)) > 0
+    except ValueError:
+        return False
+
+
 def features(kind: str, text: str, start: int, end: int) -> list[float]:
     """Format and context of a span."""
     span, before = text[start:end], text[max(0, start - 40) : start].lower()
@@ -126,7 +136,7 @@ def features(kind: str, text: str, start: int, end: int) -> list[float]:
         KINDS.index(kind), n, digits / n, upper / n, lower / n, switches, float(-(counts * np.log2(counts)).sum()),
         len(counts), min([len(before) - before.rfind(c) for c in CUES[kind] if c in before], default=60),
         float(any(c in after for c in CUES[kind])), float(lead in "=:\"'"), float(tail in "\"' \n.,;"),
-        float(kind == "iban" and iban_valid(span)), float(span.startswith(("AKIA", "ASIA", "sk_", "ghp_", "xox", "AIza"))),
+        float(kind == "iban" and iban_valid(span)) or float(kind == "ipv6" and ipv6_valid(span)), float(span.startswith(("AKIA", "ASIA", "sk_", "ghp_", "xox", "AIza"))),
         float(span.isalpha()), max((len(x) for x in re.findall(r"[a-z]+|[A-Z]+", span)), default=0),
     ]
 
@@ -187,7 +197,7 @@ def example(rng: np.random.Generator, kind: str, true: bool) -> tuple[str, int,
     hexed, alnum, upper = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase
     cue = rng.random() < (0.7 if true else 0.1)
     if kind == "secret":
-        shapes = [pick(hexed, int(rng.integers(12, 40))), "AKIA" + pick(upper + string.digits, 16), pick(alnum, int(rng.integers(20, 48))), "sk_" + pick(alnum, 24)]
+        shapes = [pick(hexed, int(rng.integers(12, 40))), "AKIA" + pick(upper + string.digits, 16), pick(alnum, int(rng.integers(20, 48))), "sk_" + pick(alnum, 24), pick(hexed, int(rng.integers(40, 160))), pick(alnum, int(rng.integers(48, 200)))]
         decoys = ["".join(word() for _ in range(5))[:50].ljust(16, "e"), pick(upper, 16), pick(string.digits, 17), "_".join(word() for _ in range(4)).ljust(16, "o"), word() + word() + word() + word() + str(rng.integers(10))]
         span = shapes[rng.integers(len(shapes))] if true else decoys[rng.integers(len(decoys))]
     elif kind == "iban":
@@ -199,7 +209,12 @@ def example(rng: np.random.Generator, kind: str, true: bool) -> tuple[str, int,
         span = f"{rng.integers(1, 899):03d}-{rng.integers(1, 99):02d}-{rng.integers(1, 9999):04d}"
         cue = true if rng.random() < 0.9 else not true
     elif kind == "ipv6":
-        span = ":".join(pick(hexed, int(rng.integers(2, 5))) for _ in range(8)) if true else ":".join(pick("0123456789", 2) for _ in range(int(rng.integers(4, 6))))
+        groups = lambda n: ":".join(pick(hexed, int(rng.integers(1, 5))) for _ in range(n))
+        short = groups(int(rng.integers(1, 5))) + "::" + groups(int(rng.integers(1, 3)))
+        long = ":".join(pick(hexed, int(rng.integers(2, 5))) for _ in range(8))
+        times = ":".join(pick("0123456789", 2) for _ in range(int(rng.integers(4, 6))))
+        scope = "::".join(pick("abcdefABCDEF", int(rng.integers(1, 5))) for _ in range(2))
+        span = (short if rng.random() < 0.5 else long) if true else (times if rng.random() < 0.7 else scope)
     elif kind == "mac":
         span = ":".join(pick(hexed, 2) for _ in range(6)) if true else "-".join(pick("0123456789", 2) for _ in range(6))
     else:
@@ -242,15 +257,24 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]], fitted=None)
     for kind, generate in GENERATORS.items():
         if not HINTS[kind].search(text):
             continue
-        for m in generate.finditer(text):
-            a, b = m.span()
-            if kind == "secret" and m.group().isalpha() and text[a - 1 : a] != "=":
-                continue
+
+        def accepted(a, b):
+            if kind == "secret" and text[a:b].isalpha() and text[a - 1 : a] != "=":
+                return False
+            if kind == "ipv6" and "::" in text[a:b] and not ipv6_valid(text[a:b]):
+                return False
             if any(s < b and a < e for s, e in taken):
-                continue
+                return False
             trees, limits = fitted or model()
-            if trees.score(features(kind, text, a, b)) >= limits[kind]:
-                out.setdefault(kind, []).append((a, b))
+            return trees.score(features(kind, text, a, b)) >= limits[kind]
+
+        for m in generate.finditer(text):
+            found = [m.span()] if accepted(*m.span()) else []
+            if not found and kind == "secret":
+                # What follows '=' is no secret as a whole: its words may be.
+                found = [w.span() for w in WORD_RUN.finditer(text, *m.span()) if w.span() != m.span() and accepted(*w.span())]
+            if found:
+                out.setdefault(kind, []).extend(found)
     return out
 
 
