@@ -267,7 +267,7 @@ def spans(src: DataFrame) -> DataFrame:
     mixed = found.where("mixed")
     pick = lambda c: F.first(c).alias(c)
     bodies = cut(mixed.groupBy("ctx", "body").agg(F.count("*").alias("n"), *[pick(c) for c in ("doc", "a", "lo", "hi")]), "bodies")
-    suffixes = cut(with_texts(src, bodies), "suffixes").dropDuplicates(["doc", "a"])
+    suffixes = cut(with_texts(src, bodies), "suffixes").dropDuplicates(["doc", "a", "lo", "hi"])
     collect_garbage(spark)
     compared = cut(suffixes.repartitionByRange("r", "l").mapInArrow(sorted_buckets, FOUND), "compared")
     border = compared.where("kind = 1")
