@@ -1,34 +1,35 @@
-"""Main text of web pages: markup regions, and a suffix array for each host.
+"""Main text of web pages: markup, and how many pages of a host have a block.
 
-Pages are cut into blocks.  Blocks inside an article or main region are the page's text.  All
-other visible text of a host's pages is one token stream (matches never span two pages).  Its
-suffixes, to a depth of ``DEPTH`` tokens, are dealt out by ranges of their first ``RUN`` tokens
-and sorted; neighbours that share those and come from distinct pages mark a repeated run.  Tokens that such runs cover
-are boilerplate; what is left of a block, its unique runs, is text unless its markup says menu,
-header, footer, sidebar, notice, advert, form or comment.  Equal suffixes are merged before
-they are dealt out, so a host with a third of all pages costs what its distinct runs cost.
+Pages are cut into blocks.  Blocks that their markup calls menu, header, footer, sidebar, notice,
+advert, form or comment are dropped; every other block, inside an article or main region or
+not, is text unless it stands whole on many distinct pages of its host.  Blocks are compared
+whole, by digest, and counted for each host: this stands in place of a suffix array, since a
+paragraph is never cut and so a repeat decides only where it covers a whole block.  What is
+repeated across differing block borders is therefore kept.
+
+Pages with the same blocks count as one page, and so do pages with the same longest block if
+it is long and few pages have it, so a copied article is not taken for a template.  A region
+is evidence: blocks inside need half of the host's pages, others ``SHARE`` or ``MANY`` pages.
 
 Defined results: a null or empty page has the empty text; malformed or cut-off markup closes
-at the end; a page without article or main region keeps the unique runs of its other blocks;
-copies of a whole article on one host stay, as article regions are never cut; repeated rows
-give repeated results; an empty table gives an empty table; other columns are ignored.
+at the end; copies of a page on one host stay; repeated rows give repeated results; an empty
+table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import collect_garbage, cut
+from .common import cut
 
-#: Tokens that a run must repeat on another page of the host to be boilerplate.
-RUN = 5
-#: Tokens of a suffix that are sorted.
-DEPTH = 16
+#: Outside regions: so many distinct pages of the host, or so large a share of them (two at least).
+MANY, SHARE = 10, 0.3
+#: A block of so many words is long, and needs FEW pages anywhere; so does a block inside a region.
+LONG, FEW, INSIDE_SHARE = 24, 5, 0.5
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -36,7 +37,6 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NOISE_TAGS = frozenset("nav footer aside form button select textarea menu dialog iframe object".split())
 NOISE_NAMES = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies dialog disclaimer footer header menu modal nav navbar navigation newsletter notice popup promo related search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 MAIN = frozenset(("article", "main"))
-TOKEN = re.compile(r"\S+")
 
 
 def noisy(tag: str, attributes: str, in_main: bool) -> bool:
@@ -99,101 +99,68 @@ def host_of(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def streams(pages: DataFrame) -> DataFrame:
-    """(host, page, at, suffix): the suffixes of all text outside main regions.
-
-    A suffix is RUN to DEPTH tokens, four bytes of checksum each.
-    """
-
-    def rows(it):
-        schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("at", pa.int32()), ("suffix", pa.binary())])
-        for batch in it:
-            host, page, at, suffix = [], [], [], []
-            for h, p, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                marks = [crc32(t.encode("utf-8", "surrogatepass")).to_bytes(4, "big") for text, main, _ in blocks(source) if not main for t in TOKEN.findall(text)]
-                for k in range(len(marks) - RUN + 1):
-                    suffix.append(b"".join(marks[k : k + DEPTH]))
-                n = max(0, len(marks) - RUN + 1)
-                host += [h] * n
-                page += [p] * n
-                at += range(n)
-            yield pa.RecordBatch.from_pydict({"host": host, "page": page, "at": at, "suffix": suffix}, schema=schema)
-
-    return pages.select("host", "page", "html").mapInArrow(rows, "host string, page long, at int, suffix binary")
+def shown(page: str | None) -> tuple[list[str], list[bool], list[int], int]:
+    """(texts, inside a region, digests) of the blocks that markup does not drop, and a digest of all."""
+    import xxhash
 
+    own = [(text, main) for text, main, noise in blocks(page) if not noise]
+    digests = [int.from_bytes(xxhash.xxh64_digest(text.encode("utf-8", "surrogatepass")), "big", signed=True) for text, _ in own]
+    whole = xxhash.xxh64_digest(b"".join(d.to_bytes(8, "big", signed=True) + bytes([main]) for d, (_, main) in zip(digests, own)))
+    return [t for t, _ in own], [m for _, m in own], digests, int.from_bytes(whole, "big", signed=True)
 
-def lead() -> F.Column:
-    return F.substring("suffix", 1, 4 * RUN)
 
+def outlines(pages: DataFrame) -> DataFrame:
+    """(host, whole, longest, blocks): digests of the blocks of each page; longest only if LONG."""
+    block = pa.struct([("h", pa.int64()), ("inside", pa.bool_()), ("long", pa.bool_())])
+    schema = pa.schema([("host", pa.string()), ("whole", pa.int64()), ("longest", pa.int64()), ("blocks", pa.list_(block))])
 
-def repeated(suffixes: DataFrame) -> DataFrame:
-    """(host, lead): runs of RUN tokens that at least two distinct pages of the host have.
-
-    Equal suffixes are merged before the shuffle.  The ranges are of leads, so the neighbours
-    that share one stand in one bucket and no comparison crosses a boundary.
-    """
-    merged = suffixes.groupBy("host", "suffix").agg(F.min("page").alias("a"), F.max("page").alias("b")).withColumn("lead", lead())
-    ordered = merged.repartitionByRange("host", "lead").sortWithinPartitions("host", "suffix").select("host", "lead", "a", "b")
-
-    def neighbours(it):
-        schema = pa.schema([("host", pa.string()), ("lead", pa.binary())])
-        last, least, most = None, 0, 0
+    def rows(it):
         for batch in it:
-            found = []
-            for host, own, a, b in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if (host, own) == last:
-                    least, most = min(least, a), max(most, b)
-                    continue
-                if least != most:
-                    found.append(last)
-                last, least, most = (host, own), a, b
-            yield pa.RecordBatch.from_pydict({"host": [x[0] for x in found], "lead": [x[1] for x in found]}, schema=schema)
-        if least != most:
-            yield pa.RecordBatch.from_pydict({"host": [last[0]], "lead": [last[1]]}, schema=schema)
-
-    return ordered.mapInArrow(neighbours, "host string, lead binary")
+            out = {n: [] for n in schema.names}
+            for host, source in zip(batch["host"].to_pylist(), batch["html"].to_pylist()):
+                texts, inside, digests, whole = shown(source)
+                words = [t.count(" ") + 1 for t in texts]
+                top = max(range(len(texts)), key=words.__getitem__, default=None)
+                out["host"].append(host)
+                out["whole"].append(whole)
+                out["longest"].append(digests[top] if top is not None and words[top] >= LONG else None)
+                out["blocks"].append([{"h": h, "inside": i, "long": n >= LONG} for h, i, n in zip(digests, inside, words)])
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    return pages.select("host", "html").mapInArrow(rows, "host string, whole long, longest long, blocks array<struct<h:long,inside:boolean,long:boolean>>")
+
+
+def repeated(found: DataFrame) -> DataFrame:
+    """(host, whole, runs array<int>): positions of the blocks that are boilerplate."""
+    kinds = found.select("host", "whole", "longest").distinct()
+    bodies = kinds.where("longest IS NOT NULL").groupBy("host", "longest").agg(F.count("*").alias("n")).where(F.col("n").between(2, FEW - 1))
+    bodies = bodies.select(F.col("host").alias("bh"), F.col("longest").alias("bl"))
+    # Copies of one body are one page.
+    kinds = kinds.join(bodies, (F.col("host") == F.col("bh")) & (F.col("longest") == F.col("bl")), "left")
+    kinds = cut(kinds.select("host", "whole", F.coalesce("bl", "whole").alias("body")), "kinds")
+    hosts = kinds.groupBy("host").agg(F.countDistinct("body").alias("pages"))
+    placed = found.dropDuplicates(["host", "whole"]).select("host", "whole", F.posexplode("blocks").alias("at", "b")).select("host", "whole", "at", "b.*")
+    placed = cut(placed, "blocks")
+    counts = placed.select("host", "whole", "h", "long").distinct().join(kinds, ["host", "whole"]).select("host", "h", "long", "body").distinct()
+    counts = counts.groupBy("host", "h", "long").agg(F.count("*").alias("n")).where("n > 1").join(hosts, "host")
+    often = counts.where((F.col("n") >= MANY) | (F.col("n") >= SHARE * F.col("pages"))).where(~F.col("long") | (F.col("n") >= FEW))
+    often = cut(often.select("host", "h", ((F.col("n") >= FEW) & (F.col("n") >= INSIDE_SHARE * F.col("pages"))).alias("anywhere")), "often")
+    return cut(placed.join(often, ["host", "h"]).where("anywhere OR NOT inside").groupBy("host", "whole").agg(F.collect_set("at").alias("runs")), "runs")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars)"""
-    src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
-    # Rows that repeat in full share a key, and so count as one page.
-    src = src.withColumn("host", host_of(F.col("url"))).withColumn("page", F.xxhash64("id", "url", "html"))
-    found = streams(src)
-    runs = cut(repeated(found), "runs")
-    covered = found.select("host", "page", "at", lead().alias("lead")).join(runs, ["host", "lead"], "left_semi").groupBy("page").agg(F.sort_array(F.collect_set("at")).alias("runs"))
-    covered = cut(covered, "covered")
-    collect_garbage(src.sparkSession)
+    src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
+    runs = repeated(cut(outlines(src), "outlines")).select(F.col("host").alias("rh"), F.col("whole").alias("rw"), "runs")
 
     def rows(it):
-        schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("page", pa.int64()), ("text", pa.string()), ("loose", pa.list_(pa.struct([("part", pa.int32()), ("at", pa.int32()), ("words", pa.list_(pa.string()))])))])
+        schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("whole", pa.int64()), ("texts", pa.list_(pa.string()))])
         for batch in it:
-            ids, urls, keys, sources = (batch.column(i).to_pylist() for i in range(4))
-            texts, loose = [], []
-            for source in sources:
-                own, rest, at = [], [], 0
-                for text, main, noise in blocks(source):
-                    if main:
-                        if not noise:
-                            own.append(text)
-                        continue
-                    words = TOKEN.findall(text)
-                    if not noise:
-                        rest.append({"part": len(own), "at": at, "words": words})
-                    at += len(words)
-                # A main region is the page's text; without one its loose blocks are.
-                texts.append(" ".join(own))
-                loose.append([] if own else rest)
-            yield pa.RecordBatch.from_pydict({"id": ids, "url": urls, "page": keys, "text": texts, "loose": loose}, schema=schema)
-
-    parsed = src.select("id", "url", "page", "html").mapInArrow(rows, "id long, url string, page long, text string, loose array<struct<part:int,at:int,words:array<string>>>")
-    both = parsed.join(covered.withColumnRenamed("page", "p"), parsed["page"] == F.col("p"), "left").drop("p")
-
-    def unique(block):
-        """The words of a block that no repeated run covers."""
-        hit = lambda k: F.exists(F.sequence(F.lit(0), F.lit(RUN - 1)), lambda d: F.array_contains(F.coalesce("runs", F.array().cast("array<int>")), block["at"] + k - d))
-        return F.array_join(F.filter(block["words"], lambda w, k: ~hit(k)), " ")
-
-    kept = F.array_join(F.filter(F.transform("loose", unique), lambda t: t != ""), " ")
-    text = F.when(F.size("loose") > 0, kept).otherwise(F.col("text"))
+            ids, urls, hosts, sources = (batch.column(i).to_pylist() for i in range(4))
+            parts = [shown(source) for source in sources]
+            yield pa.RecordBatch.from_pydict({"id": ids, "url": urls, "host": hosts, "whole": [p[3] for p in parts], "texts": [p[0] for p in parts]}, schema=schema)
+
+    parsed = src.select("id", "url", "host", "html").mapInArrow(rows, "id long, url string, host string, whole long, texts array<string>")
+    both = parsed.join(runs, (F.col("host") == F.col("rh")) & (F.col("whole") == F.col("rw")), "left")
+    text = F.array_join(F.when(F.col("runs").isNull(), F.col("texts")).otherwise(F.filter("texts", lambda t, k: ~F.array_contains("runs", k))), " ")
     return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
