@@ -18,3 +18,17 @@ def test_blocks_outside_and_inside_a_region(spark):
         rows.append((f"http://h.example/{k}", f"<nav>menu</nav><p>{words(k, 6)}</p><div>all rights are kept by us</div><article><p>{words(100 + k, 40)}</p><p>like and share this page now</p></article><p>{words(200 + k, 9)}</p>"))
         want.append(f"{words(k, 6)} {words(100 + k, 40)} {words(200 + k, 9)}")
     assert texts(spark, rows) == want
+
+
+def test_shared_phrases_stay(spark):
+    phrase = "in the course of the last year"
+    pages = [f"{words(k, 30)} {phrase} {words(50 + k, 30)}" for k in range(12)]
+    assert texts(spark, [(f"http://h.example/{k}", f"<div>{p}</div>") for k, p in enumerate(pages)]) == pages
+
+
+def test_an_article_on_two_pages_stays(spark):
+    article = [words(1, 60), words(2, 12), words(3, 45)]
+    body = "".join(f"<p>{p}</p>" for p in article)
+    rows = [("http://h.example/a", body), ("http://h.example/b", body), ("http://i.example/a", body + "<p>one other line here</p>"), ("http://i.example/b", body)]
+    got = texts(spark, rows)
+    assert got == [" ".join(article), " ".join(article), " ".join(article) + " one other line here", " ".join(article)]
