@@ -3,9 +3,10 @@
 Pieces (matches of the pattern) that a worker has not met before go, all at once, through
 one recursive query: rows (word, position, token) join the merge table, and every word
 contracts its leftmost pair of least rank, until no word has a pair left.  Decoding joins
-ids with the vocabulary and aggregates the bytes in order.  A text is cut into chunks of
-whole pieces; what the queries gave for a chunk is kept for later batches in a bounded table
-of the worker, which only saves time.
+ids with the vocabulary and aggregates the bytes in order; what is decoded are the ids of the
+whole text, as they are returned.  A text is cut into chunks of whole pieces; what the queries
+gave for a chunk is kept for later batches of the task in a table of bounded size, which only
+saves time.  At the end of a task the worker gives this table and its DuckDB connection back.
 
 Defined results: a null or empty text has no tokens; special tokens are ordinary text;
 repeated rows give repeated results; an empty table gives an empty table; other columns are
@@ -23,15 +24,21 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import utf8
-
-#: Chunks kept by a worker; beyond that only the first so many, which tend to be the frequent
-#: ones, and those in use stay.  Between tasks a worker keeps the first ones alone.
-KEEP_CHUNKS, KEEP_FIRST = 500_000, 300_000
-#: Texts are handled in groups of about so many characters, ids in groups of so many.
-GROUP_CHARS, GROUP_IDS = 4_000_000, 500_000
+from .common import give_back, utf8
+
+#: Chunks kept during a task; beyond that only the first so many, which tend to be the frequent
+#: ones, and those in use stay.
+KEEP_CHUNKS, KEEP_FIRST = 250_000, 150_000
+#: Texts are handled in groups of about so many characters, ids in groups of so many, pieces
+#: to contract in groups of so many bytes.
+GROUP_CHARS, GROUP_IDS, GROUP_BYTES = 1_000_000, 100_000, 100_000
+#: Rows of all steps of a recursive query, about.
+MOST_ROWS = 2_000_000
+#: What DuckDB may take; a single word of many megabytes needs more.
+MEMORY = "120MB"
 #: In a text without these, each single space or newline starts a chunk that holds whole pieces.
 UNEVEN = re.compile(r"\s\s|[^\S \n]|\x00")
 
@@ -56,7 +63,7 @@ ORDER BY word, pos
 LEFTMOST = """
 best AS (
     SELECT s.word, min(m.merged::BIGINT * 4294967296 + s.pos) AS best
-    FROM state s JOIN merges m ON m.pair = s.tok::BIGINT * 65536 + s.ntok GROUP BY s.word
+    FROM state s JOIN merges m ON m.pair = (s.tok::BIGINT << 32) + s.ntok GROUP BY s.word
 ), hit AS (
     SELECT b.word, s.pos, (best >> 32)::INT AS merged, s.nxt AS gone
     FROM best b JOIN state s ON s.pos = (b.best & 4294967295)::INT
@@ -76,7 +83,7 @@ pairs AS (
     SELECT s.word, s.pos, m.merged, m.early, min(m.merged) OVER (PARTITION BY s.word) AS least,
            s.place - row_number() OVER (PARTITION BY s.word, m.merged ORDER BY s.pos) AS island
     FROM (SELECT *, row_number() OVER (ORDER BY pos) AS place FROM state) s
-    JOIN merges m ON m.pair = s.tok::BIGINT * 65536 + s.ntok
+    JOIN merges m ON m.pair = (s.tok::BIGINT << 32) + s.ntok
 ), picked AS (
     SELECT word, pos, merged FROM pairs WHERE merged = least
     QUALIFY CASE WHEN early THEN row_number() OVER (PARTITION BY word ORDER BY pos) = 1
@@ -100,48 +107,68 @@ FROM ids i JOIN vocab v ON v.id = i.id GROUP BY i.doc
 """
 
 
-def chunks_of(text: str, split) -> list[str]:
+def chunks_of(text: str, split, by_blanks: bool = True) -> list[str]:
     """Parts of a text whose pieces, one after the other, are those of the whole text.
 
     Where blanks stand alone, a space starts a piece and a newline is one; other texts are
-    cut into their pieces at once.
+    cut into their pieces at once, and so are all texts under a pattern of the caller's own.
     """
-    if UNEVEN.search(text):
+    if not by_blanks or UNEVEN.search(text):
         return split(text)
     return [c for c in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if c]
 
 
 class Codec:
-    """The vocabulary as DuckDB tables, with the worker's table of pieces."""
+    """The vocabulary, and while it works DuckDB tables of it and a table of chunks."""
 
     def __init__(self, path: str, pattern: str):
-        import duckdb
+        import public_tokenizers
         import regex
 
         with open(path, "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
         self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.split = regex.compile(pattern).findall
+        self.split, self.by_blanks = regex.compile(pattern).findall, pattern == public_tokenizers.PATTERN
         merges = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         left, right, merged = (np.array(x, np.int64) for x in zip(*merges))
-        first = np.full(len(self.ranks) + 1, len(self.ranks))  # the least rank of a pair with this token
+        top = max(self.ranks.values()) + 1
+        first = np.full(top, top)  # the least rank of a pair with this token
         np.minimum.at(first, left, merged)
         np.minimum.at(first, right, merged)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB"})
-        merge_rows = pa.table({"pair": left * 65536 + right, "merged": merged.astype(np.int32), "early": first[merged] < merged})
-        vocab_rows = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
-        for name, rows in (("merges", merge_rows), ("vocab", vocab_rows)):
-            self.db.register("incoming", rows)
-            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
-            self.db.unregister("incoming")
-        self.chunks: dict[str, tuple[bytes, bytes]] = {}
+        self.tables = {
+            "merges": pa.table({"pair": (left << 32) + right, "merged": merged.astype(np.int32), "early": first[merged] < merged}),
+            "vocab": pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]}),
+        }
+        self.chunks: dict[str, bytes] = {}
+        self._db = None
+
+    @property
+    def db(self):
+        if self._db is None:
+            import duckdb
+
+            self._db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
+            for name, rows in self.tables.items():
+                self._db.register("incoming", rows)
+                self._db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
+                self._db.unregister("incoming")
+        return self._db
 
     def contract(self, raw: list[bytes], step: str) -> list[bytes]:
         """The ids of pieces as little-endian 32-bit integers."""
+        out, first = [], 0
+        while first < len(raw):
+            last, n = first, 0
+            while last < len(raw) and (last == first or n + len(raw[last]) <= GROUP_BYTES):
+                n += len(raw[last])
+                last += 1
+            out += self.contract_group(raw[first:last], step, max(8, min(STEPS, MOST_ROWS // n)))
+            first = last
+        return out
+
+    def contract_group(self, raw: list[bytes], step: str, most: int) -> list[bytes]:
         out = [b""] * len(raw)
-        if not raw:
-            return out
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         ends = np.cumsum(sizes)
         tok = self.byte[np.frombuffer(b"".join(raw), np.uint8)].astype(np.int32)
@@ -151,9 +178,9 @@ class Codec:
         seed = pa.table({"word": np.repeat(np.arange(len(raw), dtype=np.int32), sizes), "pos": place, "nxt": place + 1, "tok": tok, "ntok": after})
         while seed.num_rows:
             self.db.register("seed", seed)
-            found = self.db.sql(CONTRACT.format(step=step.format(most=STEPS))).to_arrow_table()
+            found = self.db.sql(CONTRACT.format(step=step.format(most=most))).to_arrow_table()
             self.db.unregister("seed")
-            more = found["step"].to_numpy() == STEPS
+            more = found["step"].to_numpy() == most
             word, ids = found["word"].to_numpy(), found["tok"].to_numpy().astype("<u4")
             blob, firsts = ids.tobytes(), np.flatnonzero(np.diff(word, prepend=-1))
             for k, first, last in zip(word[firsts].tolist(), firsts.tolist(), np.append(firsts[1:], len(word)).tolist()):
@@ -165,7 +192,7 @@ class Codec:
         whole, parts = {}, {LEFTMOST: ([], []), EVERY: ([], [])}
         for w in words:
             if (have := self.chunks.get(w)) is not None:  # a chunk of one piece
-                whole[w] = have[0]
+                whole[w] = have
                 continue
             b = utf8(w)
             if (rank := self.ranks.get(b)) is not None:
@@ -178,58 +205,59 @@ class Codec:
             whole.update(zip(names, self.contract(raw, step)))
         return whole
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encode new chunks through their pieces; decode what that gave."""
-        cut = list(map(self.split, chunks))
-        get = self.pieces_to_ids({w for words in cut for w in words}).__getitem__
-        coded = [b"".join(map(get, words)) for words in cut]
-        self.chunks.update(zip(chunks, zip(coded, self.decode(coded))))
-
-    def known(self, wanted: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        """A table with (ids, decoded bytes) of all these chunks."""
-        if new := wanted - self.chunks.keys():
+    def known(self, wanted: set[str]) -> dict[str, bytes]:
+        """A table with the ids of all these chunks; new ones are encoded through their pieces."""
+        if new := list(wanted - self.chunks.keys()):
             if len(self.chunks) + len(new) > KEEP_CHUNKS:
                 old = self.chunks
                 self.chunks = dict(islice(old.items(), KEEP_FIRST))
                 self.chunks.update((c, old[c]) for c in wanted if c in old)
-            self.learn(list(new))
+            cut = list(map(self.split, new))
+            get = self.pieces_to_ids({w for words in cut for w in words}).__getitem__
+            self.chunks.update((c, b"".join(map(get, words))) for c, words in zip(new, cut))
         return self.chunks
 
     def rest(self) -> None:
         """What a worker does between tasks: give memory back."""
-        if len(self.chunks) > KEEP_FIRST:
-            self.chunks = dict(islice(self.chunks.items(), KEEP_FIRST))
-
-    def round_trip(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """(ids, decoded bytes) of each text, chunk by chunk."""
-        cut = [chunks_of(t, self.split) if t else [] for t in texts]
-        table = self.known({c for chunks in cut for c in chunks})
-        out = []
-        for chunks in cut:
-            both = [table[c] for c in chunks]
-            out.append((b"".join([x[0] for x in both]), b"".join([x[1] for x in both])))
-        return out
+        self.chunks = {}
+        if self._db is not None:
+            self._db.close()
+            self._db = None
+        give_back()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        return [ids for ids, _ in self.round_trip(texts)]
+        """The ids of each text, chunk by chunk, as little-endian 32-bit integers."""
+        cut = [chunks_of(t, self.split, self.by_blanks) if t else [] for t in texts]
+        get = self.known({c for chunks in cut for c in chunks}).__getitem__
+        return [b"".join(map(get, chunks)) for chunks in cut]
+
+    def round_trip(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """(ids, what these ids decode to) of each text."""
+        coded = self.encode(texts)
+        return list(zip(coded, self.decode(coded)))
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        out, first = [b""] * len(ids), 0
-        while first < len(ids):
+        """The bytes of each list of ids; long lists in parts."""
+        parts, owner = [], []
+        for k, x in enumerate(ids):
+            for at in range(0, len(x), 4 * GROUP_IDS):
+                parts.append(x[at : at + 4 * GROUP_IDS])
+                owner.append(k)
+        out, first = [[] for _ in ids], 0
+        while first < len(parts):
             last, n = first, 0
-            while last < len(ids) and (last == first or n + len(ids[last]) // 4 <= GROUP_IDS):
-                n += len(ids[last]) // 4
+            while last < len(parts) and (last == first or n + len(parts[last]) // 4 <= GROUP_IDS):
+                n += len(parts[last]) // 4
                 last += 1
-            part = ids[first:last]
-            sizes = np.fromiter(map(len, part), np.int64, len(part)) // 4
-            rows = pa.table({"doc": np.repeat(np.arange(first, last, dtype=np.int32), sizes), "pos": np.arange(n, dtype=np.int32), "id": np.frombuffer(b"".join(part), "<i4")})
+            sizes = np.fromiter(map(len, parts[first:last]), np.int64, last - first) // 4
+            rows = pa.table({"doc": np.repeat(np.arange(first, last, dtype=np.int32), sizes), "pos": np.arange(n, dtype=np.int32), "id": np.frombuffer(b"".join(parts[first:last]), "<i4")})
             self.db.register("ids", rows)
             found = self.db.sql(DECODE).to_arrow_table()
             self.db.unregister("ids")
-            for doc, text in zip(found["doc"].to_pylist(), found["bytes"].to_pylist()):
-                out[doc] = text
+            for part, text in sorted(zip(found["doc"].to_pylist(), found["bytes"].to_pylist())):
+                out[owner[part]].append(text)
             first = last
-        return out
+        return list(map(b"".join, out))
 
 
 @lru_cache(maxsize=2)
@@ -248,13 +276,13 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
 def groups(it):
     """Rows of Arrow batches, in groups of bounded size."""
     for batch in it:
-        ids, texts = (batch.column(i).to_pylist() for i in range(2))
-        first, n = 0, 0
-        for k, t in enumerate(texts):
-            n += len(t or "")
-            if n >= GROUP_CHARS or k + 1 == len(texts):
-                yield ids[first : k + 1], texts[first : k + 1]
-                first, n = k + 1, 0
+        sizes = np.cumsum([0, *(n or 0 for n in pc.binary_length(batch.column(1)).to_pylist())])
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(sizes, sizes[first] + GROUP_CHARS, "right")) - 1)
+            part = batch.slice(first, last - first)
+            yield part.column(0).to_pylist(), part.column(1).to_pylist()
+            first = last
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -48,13 +50,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def batches(it, fn, schema: pa.Schema, rows: int = 512):
-    """Apply ``fn(columns: dict of lists) -> dict of lists`` to slices of Arrow batches."""
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: Spark keeps idle workers."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def batches(it, fn, schema: pa.Schema, rows: int = 512, size: int = 16 << 20):
+    """Apply ``fn(columns: dict of lists) -> dict of lists`` to slices of Arrow batches.
+
+    A slice has ``rows`` rows and about ``size`` bytes at most.
+    """
     for batch in it:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
+        step = max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
             out = fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
             yield pa.RecordBatch.from_pydict(out, schema=schema)
+    give_back()
 
 
 def utf8(text: str | None) -> bytes:

@@ -1,12 +1,17 @@
-"""Near-duplicates by the exact similarity of their word shingles: the pipeline's stage.
+"""SimHash near-duplicates at a similarity of word shingles: the pipeline's stage.
 
 Two texts link if the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
-Candidates come from 128 minimum hashes in 32 bands of four: a pair at 0.8 shares no band with
-a chance of 5e-8, and less above.  In a bucket, pairs with fewer than ``LEAST`` equal minima
-(over five standard deviations below 0.8) are not candidates.  Every link is then decided on
-the words themselves, in two steps: each text first against the most similar of the first
-members of its buckets, which joins groups of copies with one comparison a text, then all
-candidates that are still in different components.
+At that similarity fingerprints differ in about 15 % of their bits, so 64 bits cannot tell and
+blocks of bits cannot find the pairs; fingerprints here have 512 bits, and texts meet in
+buckets of equal minimum hashes (32 bands of four: a pair at 0.8 shares none with a chance of
+5e-8, and less above).  In a bucket fingerprints are compared bit-sliced, at a radius four
+and a half standard deviations above 0.8, and what is left is decided on the words.
+
+1. Every member of a bucket is compared with the bucket's least one: one pair a member.
+2. Buckets whose members are then in several components compare the members outside the
+   largest component with all others, in parts of about ``PART`` members by ``PART``.
+
+Both go by joins and bounded lists, so a bucket may hold any share of the rows.
 
 Defined results: words are as in op9 (A-Z lowered, ASCII blanks); fewer words than a shingle
 make one shingle of all; texts without words are copies of each other; a component's id is its
@@ -24,8 +29,10 @@ from .common import batches, cut, utf8
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 4
-#: Equal minima of two texts, of BANDS * ROWS, from which the pair is compared.
-LEAST = 77
+#: 64-bit words of a fingerprint, the radius, and the radius of texts with under FEW shingles.
+WORDS, RADIUS, FEW, FEW_RADIUS = 8, 114, 16, 140
+#: Members of one part of a bucket, about.
+PART = 512
 _random = np.random.default_rng(9)
 FLIP = _random.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 FACTOR = _random.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -51,118 +58,168 @@ def print_of(text: str | None) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(utf8(text).lower().split()))).view(np.int64))
 
 
-def sketch(text: str | None) -> tuple[np.ndarray, bytes]:
-    """(bucket key of each band, one byte of each minimum)"""
+def sketch(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(bucket key of each band, fingerprint words, number of shingles)"""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(g) for g in shingles(text)], np.uint64)
     least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    counts = np.zeros(64 * WORDS, np.int64)
     for at in range(0, len(h), 1024):
-        np.minimum(least, ((h[at : at + 1024, None] ^ FLIP) * FACTOR).min(axis=0), out=least)
+        part = h[at : at + 1024, None]
+        np.minimum(least, ((part ^ FLIP) * FACTOR).min(axis=0), out=least)
+        wide = (part ^ FLIP[:WORDS]) * FACTOR[WORDS : 2 * WORDS]
+        wide = (wide ^ (wide >> np.uint64(29))) * MIX
+        counts += np.unpackbits((wide ^ (wide >> np.uint64(32))).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     keys = np.array([digest(bytes([k]) + band.tobytes()) for k, band in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
-    return keys.view(np.int64), ((least * MIX) >> np.uint64(56)).astype(np.uint8).tobytes()
+    return keys.view(np.int64), np.packbits(2 * counts > len(h), bitorder="little").view("<u8").view(np.int64), len(h)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, text, keys, sig) of each row."""
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("text", pa.string()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
+    """(id, fp, text, keys, sim, n) of each row."""
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("text", pa.string()), ("keys", pa.list_(pa.int64())), ("sim", pa.binary()), ("n", pa.int32())])
 
     def fn(c):
-        both = [sketch(t) for t in c["text"]]
-        return {"id": c["id"], "fp": [print_of(t) for t in c["text"]], "text": c["text"], "keys": [k for k, _ in both], "sig": [s for _, s in both]}
+        found = [sketch(t) for t in c["text"]]
+        return {"id": c["id"], "fp": [print_of(t) for t in c["text"]], "text": c["text"], "keys": [k for k, _, _ in found], "sim": [s.tobytes() for _, s, _ in found], "n": [n for _, _, n in found]}
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(lambda it: batches(it, fn, schema), "id long, fp long, text string, keys array<long>, sig binary")
+    return src.mapInArrow(lambda it: batches(it, fn, schema), "id long, fp long, text string, keys array<long>, sim binary, n int")
+
+
+def words_of(sims) -> np.ndarray:
+    return np.frombuffer(b"".join(sims), "<u8").reshape(-1, WORDS)
 
 
-def first_pairs(fps: np.ndarray, sigs: np.ndarray, labels: np.ndarray):
-    """Each member with the first one that it is a candidate with and that has none itself."""
-    left = np.arange(len(fps))
-    while len(left) > 1:
-        equal = (sigs[left[1:]] == sigs[left[0]]).sum(axis=1)
-        hit = equal >= LEAST
-        yield np.full(int(hit.sum()), fps[left[0]]), fps[left[1:][hit]], equal[hit]
-        left = left[1:][~hit]
+def close(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which rows of fingerprints are near enough, given the lesser number of shingles."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= np.where(n < FEW, FEW_RADIUS, RADIUS)
 
 
-def other_pairs(fps: np.ndarray, sigs: np.ndarray, labels: np.ndarray):
-    """All candidates in different components."""
-    for k in range(len(fps) - 1):
-        rest = k + 1 + np.flatnonzero(labels[k + 1 :] != labels[k])
-        equal = (sigs[rest] == sigs[k]).sum(axis=1)
-        hit = equal >= LEAST
-        yield np.full(int(hit.sum()), fps[k]), fps[rest[hit]], equal[hit]
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def candidates(lists: DataFrame, pairs) -> DataFrame:
-    """(a, b, equal) of ``pairs`` in each bucket of (members array<struct<fp, sig, label>>)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("equal", pa.int64())])
+def against_first(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose fingerprints are near: each ``a`` is a query against blocks of its b."""
+
+    def rows(it):
+        for batch in it:
+            a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
+            x, y = words_of(batch["x"].to_pylist()), words_of(batch["y"].to_pylist())
+            order = np.argsort(a, kind="stable")
+            first = np.append(True, a[order][1:] != a[order][:-1])
+            group = np.cumsum(first) - 1
+            within = np.arange(len(a)) - np.flatnonzero(first)[group]
+            new = first | (within % 64 == 0)
+            block = np.cumsum(new) - 1
+            lane_of = block * 64 + within % 64
+            planes, used = simhash.planes_of(y[order], lane_of, int(block[-1]) + 1)
+            k, lane = simhash.close_lanes(planes, used, np.arange(len(used)), x[order][new], FEW_RADIUS)
+            at = np.zeros(len(used) * 64, np.int64)
+            at[lane_of] = order
+            hit = at[k * 64 + lane]
+            hit = hit[close(x[hit], y[hit], batch["n"].to_numpy()[hit])]
+            yield pa.RecordBatch.from_arrays([pa.array(a[hit]), pa.array(b[hit])], schema=PAIRS)
+
+    return pairs.select("a", "b", "x", "y", "n").where("a IS NOT NULL").mapInArrow(rows, "a long, b long")
+
+
+def across(lists: DataFrame) -> DataFrame:
+    """Near pairs of each list (members array<struct<fp, sim, n, label, side>>) whose labels differ,
+    one of them at least outside of the largest component."""
 
     def rows(it):
         for batch in it:
             for at in range(batch.num_rows):
                 own = pa.array(batch.column(0).slice(at, 1)).flatten()
-                fps, labels = (own.field(k).to_numpy() for k in ("fp", "label"))
-                order = np.argsort(fps)
-                sigs = np.frombuffer(b"".join(own.field("sig").to_pylist()), np.uint8).reshape(len(fps), -1)
-                found, n = [], 0
-                for part in pairs(fps[order], sigs[order], labels[order]):
-                    found.append(part)
-                    n += len(part[0])
-                    if n > 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found)], schema=schema)
-                        found, n = [], 0
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found)], schema=schema)
-
-    return lists.select("members").mapInArrow(rows, "a long, b long, equal long")
+                fps, labels, sides, n = (own.field(c).to_numpy() for c in ("fp", "label", "side", "n"))
+                sims = words_of(own.field("sim").to_pylist())
+                planes, used = simhash.planes_of(sims, np.arange(len(fps)), -(-len(fps) // 64))
+                for first in range(0, len(fps), 256):
+                    # The largest component's members are queried only by the others.
+                    asked = first + np.flatnonzero(sides[first : first + 256] == 1)
+                    query = np.repeat(asked, len(used))
+                    block = np.tile(np.arange(len(used)), len(asked))
+                    k, lane = simhash.close_lanes(planes, used, block, sims[query], FEW_RADIUS)
+                    a, b = query[k], block[k] * 64 + lane
+                    keep = labels[a] != labels[b]
+                    a, b = a[keep], b[keep]
+                    keep = close(sims[a], sims[b], np.minimum(n[a], n[b]))
+                    x, y = fps[a[keep]], fps[b[keep]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=PAIRS)
+
+    return lists.select("members").mapInArrow(rows, "a long, b long")
 
 
 def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingles are similar, decided on the texts."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    last: list = [None, None]
+
+    def similar(a, x, y):
+        if last[0] != a:
+            last[:] = a, shingles(x)
+        return jaccard(last[1], shingles(y)) >= SIMILAR
 
     def fn(c):
-        hit = [jaccard(shingles(x), shingles(y)) >= SIMILAR for x, y in zip(c["x"], c["y"])]
+        hit = [similar(*row) for row in zip(c["a"], c["x"], c["y"])]
         return {n: [v for v, h in zip(c[n], hit) if h] for n in ("a", "b")}
 
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = cut(prints.join(nodes, F.col("fp") == F.col("node"), "left_semi").select("fp", "text").dropDuplicates(["fp"]), "texts")
     x, y = texts.select(F.col("fp").alias("p"), F.col("text").alias("x")), texts.select(F.col("fp").alias("q"), F.col("text").alias("y"))
-    both = pairs.join(x, F.col("a") == F.col("p")).join(y, F.col("b") == F.col("q")).select("a", "b", "x", "y")
-    return cut(both.mapInArrow(lambda it: batches(it, fn, schema), "a long, b long"), "similar")
+    both = pairs.join(y, F.col("b") == F.col("q")).join(x, F.col("a") == F.col("p")).select("a", "b", "x", "y")
+    return cut(both.mapInArrow(lambda it: batches(it, fn, PAIRS), "a long, b long"), "similar")
+
+
+def share(n, of: int = PART):
+    """The number of parts of ``n`` members."""
+    return F.ceil(n / F.lit(of)).cast("int")
+
+
+def parts(labelled: DataFrame) -> DataFrame:
+    """(bucket, part, side, fp, sim, n, label): members outside of a bucket's largest component
+    (side 1) meet every other member in some part; parts have about 2 * PART members."""
+    by = labelled.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+    by = by.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("labels")).where("labels > 1")
+    by = by.select(F.col("bucket").alias("k"), F.col("top.label").alias("main"), share(F.col("top.c")).alias("ga"), share(F.col("all") - F.col("top.c")).alias("gb"))
+    by = cut(by, "mixed")
+    rows = labelled.join(by, F.col("bucket") == F.col("k")).withColumn("side", (F.col("label") != F.col("main")).cast("int"))
+    own = lambda g: F.pmod(F.xxhash64("fp"), F.col(g)).cast("int")
+    upto = lambda g: F.sequence(F.lit(0), F.col(g) - 1)
+    main = F.transform(upto("gb"), lambda j: F.concat_ws(":", F.lit("m"), own("ga"), j))
+    with_main = F.transform(upto("ga"), lambda j: F.concat_ws(":", F.lit("m"), j, own("gb")))
+    with_rest = F.transform(upto("gb"), lambda j: F.concat_ws(":", F.lit("r"), F.least(j, own("gb")), F.greatest(j, own("gb"))))
+    rows = rows.withColumn("part", F.explode(F.when(F.col("side") == 0, main).otherwise(F.concat(with_main, with_rest))))
+    return rows.select("bucket", "part", "side", "fp", "sim", "n", "label")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, root, component_id): root is the least key of the component."""
     prints = cut(sketches(docs, id_col, text_col), "prints")
-    one = cut(prints.select("fp", "keys", "sig").dropDuplicates(["fp"]), "one")
-    shared = one.select("fp", F.explode("keys").alias("key")).groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    one = cut(prints.select("fp", "keys", "sim", "n").dropDuplicates(["fp"]), "one")
+    keyed = one.select("fp", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("fp").alias("least"), F.max("fp").alias("most"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("total")).where("c > 1")
     # Bands with the same members need one look.
-    shared = shared.select(F.array_sort("fps").alias("fps")).dropDuplicates(["fps"]).select(F.xxhash64("fps").alias("bucket"), F.explode("fps").alias("node"))
-    shared = cut(shared, "buckets")
-    members = cut(shared.join(one.select("fp", "sig"), F.col("node") == F.col("fp")).select("bucket", "fp", "sig"), "members")
-
-    def lists(labelled):
-        return labelled.groupBy("bucket").agg(F.collect_list(F.struct("fp", "sig", "label")).alias("members"))
-
-    first = candidates(lists(members.withColumn("label", F.col("fp"))), first_pairs)
-    first = cut(first.groupBy("b").agg(F.max(F.struct("equal", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"), "first")
-    links = verified(first, prints)
+    sizes = cut(sizes.groupBy("c", "least", "most", "total").agg(F.min("key").alias("bucket")).select("bucket", "least"), "buckets")
+    members = cut(keyed.join(sizes, F.col("key") == F.col("bucket")).select("bucket", "least", "fp"), "members")
+    first = members.where("fp != least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
+    x = one.select(F.col("fp").alias("p"), F.col("sim").alias("x"), F.col("n").alias("nx"))
+    y = one.select(F.col("fp").alias("q"), F.col("sim").alias("y"), F.col("n").alias("ny"))
+    first = cut(first, "first")
+    near = first.join(y, F.col("b") == F.col("q")).join(x, F.col("a") == F.col("p")).withColumn("n", F.least("nx", "ny"))
+    links = verified(cut(against_first(near), "near"), prints)
     labels = simhash.connect(links.select(F.col("b").alias("node"), F.col("a").alias("root")))
-    labelled = members.join(labels, members["fp"] == labels["node"], "left").select("bucket", "fp", "sig", F.coalesce("root", "fp").alias("label"))
-    labelled = cut(labelled, "labelled")
-    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
-    rest = candidates(lists(labelled.join(open_, "bucket", "left_semi")), other_pairs).select("a", "b").distinct()
-    rest = cut(rest.join(first, ["a", "b"], "left_anti"), "rest")
-    more = verified(rest, prints)
-    if not more.isEmpty():
-        links = links.unionByName(more)
+    wide = members.select("bucket", "fp").join(labels, F.col("fp") == labels["node"], "left").select("bucket", "fp", F.coalesce("root", "fp").alias("label"))
+    wide = cut(wide, "labelled").join(one.select(F.col("fp").alias("p"), "sim", "n"), F.col("fp") == F.col("p"))
+    lists = parts(wide).groupBy("bucket", "part").agg(F.collect_list(F.struct("fp", "sim", "n", "label", "side")).alias("members"))
+    rest = cut(across(lists).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        links = links.unionByName(verified(rest, prints))
         labels = simhash.connect(links.select(F.col("b").alias("node"), F.col("a").alias("root")))
     ids = prints.select("id", "fp").join(labels, F.col("fp") == F.col("node"), "left").select("id", "fp", F.coalesce("root", "fp").alias("root"))
     ids = cut(ids, "ids")
-    least = ids.groupBy("root").agg(F.min("id").alias("component_id"))
+    least = cut(ids.groupBy("root").agg(F.min("id").alias("component_id")), "least")
     return ids.join(least, "root").select(F.col("id").alias(id_col), "fp", "root", "component_id")
 
 

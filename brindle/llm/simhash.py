@@ -118,10 +118,60 @@ def buckets(fps: DataFrame, most: int = MOST) -> DataFrame:
         blocks = even(max(sum(n for _, n in left) for left in combinations(blocks, len(blocks) - AGREE)))
 
 
-def close_pairs(members: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (as flat positions) within RADIUS in each of the lists, compared bit-sliced."""
+def planes_of(prints: np.ndarray, lane_of: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bit planes of each block of 64 lanes, lanes in use) for ``prints`` of one or more words."""
+    words = prints.shape[1]
+    lanes = np.zeros((n_blocks * 64, words), np.uint64)
+    lanes[lane_of] = prints
+    in_use = np.zeros(n_blocks * 64, np.uint8)
+    in_use[lane_of] = 1
+    used = np.packbits(in_use.reshape(n_blocks, 64), axis=1, bitorder="little").view("<u8").reshape(-1)
+    cube = np.unpackbits(lanes.view(np.uint8).reshape(n_blocks, 64, 8 * words), axis=2, bitorder="little")
+    planes = np.ascontiguousarray(np.packbits(cube.transpose(0, 2, 1), axis=2, bitorder="little")).view("<u8")
+    return planes.reshape(n_blocks, 64 * words), used
+
+
+def close_lanes(planes: np.ndarray, used: np.ndarray, block: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(k, lane) where query ``prints[k]`` is within ``radius`` of that lane of ``block[k]``.
+
+    The counters of 64 distances stand bit-sliced.  They start so high that exceeding the
+    radius is an overflow, two planes at a time go through a carry-save adder, and what
+    overflows stays marked.
+    """
+    size = max(2, radius.bit_length())
+    start = (1 << size) - 1 - radius
+    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    live = np.arange(len(block))
+    counters = [np.full(len(block), full if start >> k & 1 else np.uint64(0)) for k in range(size)]
+    over, queries = ~used[block], prints
+    for bit in range(0, planes.shape[1], 2):
+        word = queries[:, bit >> 6]
+        at = bit & 63
+        x, y = (planes[block, bit + k] ^ (np.uint64(0) - ((word >> np.uint64(at + k)) & np.uint64(1))) for k in (0, 1))
+        half = counters[0] ^ x
+        carry = (counters[0] & x) | (half & y)
+        counters[0] = half ^ y
+        for k in range(1, size):
+            counters[k], carry = counters[k] ^ carry, counters[k] & carry
+        over |= carry
+        if bit % STRIDE == STRIDE - 2:
+            keep = over != full
+            if not keep.all():
+                live, block, over, queries = live[keep], block[keep], over[keep], queries[keep]
+                counters = [c[keep] for c in counters]
+    near = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    k, lane = np.nonzero(near)
+    return live[k], lane
+
+
+def close_pairs(members: list[np.ndarray], radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (as flat positions) within ``radius`` in each of the lists, compared bit-sliced.
+
+    A list is an array of fingerprints, or of rows of several 64-bit words each.
+    """
     sizes = np.array([len(m) for m in members])
     flat = np.concatenate(members).view(np.uint64)
+    flat = flat.reshape(len(flat), -1)
     starts = np.cumsum(sizes) - sizes
     blocks_of = -(-sizes // 64)
     first_block = np.cumsum(blocks_of) - blocks_of
@@ -132,30 +182,12 @@ def close_pairs(members: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     lane_of = (first_block[own] + within // 64) * 64 + within % 64
     at_lane = np.full(n_blocks * 64, -1)
     at_lane[lane_of] = np.arange(len(flat))
-    lanes = np.zeros(n_blocks * 64, np.uint64)
-    lanes[lane_of] = flat
-    used = np.ascontiguousarray(np.packbits(at_lane.reshape(n_blocks, 64) >= 0, axis=1, bitorder="little")).view("<u8").reshape(-1)
-    cube = np.unpackbits(lanes.view(np.uint8).reshape(n_blocks, 64, 8), axis=2, bitorder="little")
-    planes = np.ascontiguousarray(np.packbits(cube.transpose(0, 2, 1), axis=2, bitorder="little")).view("<u8").reshape(n_blocks, 64)
+    planes, used = planes_of(flat, lane_of, n_blocks)
     # Each member is a query against the blocks of its list from its own block on.
     todo = blocks_of[own] - within // 64
     query = np.repeat(np.arange(len(flat)), todo)
     block = np.arange(len(query)) - np.repeat(np.cumsum(todo) - todo, todo) + np.repeat(first_block[own] + within // 64, todo)
-    ones = np.zeros(len(query), np.uint64)
-    twos, over, word = ones.copy(), ~used[block], flat[query]
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for bit in range(64):
-        differ = planes[block, bit] ^ (np.uint64(0) - ((word >> np.uint64(bit)) & np.uint64(1)))
-        carry = ones & differ
-        ones ^= differ
-        over |= twos & carry
-        twos ^= carry
-        if bit % STRIDE == STRIDE - 1:
-            live = over != full
-            if not live.all():
-                query, block, ones, twos, over, word = (x[live] for x in (query, block, ones, twos, over, word))
-    near = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    k, lane = np.nonzero(near)
+    k, lane = close_lanes(planes, used, block, flat[query], radius)
     a, b = query[k], at_lane[block[k] * 64 + lane]
     return a[a < b], b[a < b]
 
@@ -228,7 +260,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     labels = connect(links(buckets(distinct)))
     linked = cut(labels.join(distinct, labels["node"] == distinct["fp"]).select("node", "root", "least"), "linked")
-    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
+    # Written first, so that a root with most nodes can be split in the join.
+    least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = linked.join(least, "root").select("node", "root", "component_id")
     every = distinct.join(named, distinct["fp"] == named["node"], "left")
     every = cut(every.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")), "components")
     return prints.join(every, "fp").select(F.col("id").alias(id_col), "fp", "root", "component_id")

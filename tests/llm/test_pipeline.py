@@ -1,9 +1,7 @@
 """The pipeline against its stages by plain Python."""
 
-import numpy as np
-
 import corpus_pipeline
-from brindle.llm import bpe, pii, simhash, toxicity
+from brindle.llm import bpe, near, pii, toxicity
 from brindle.llm.mixing import plan
 
 SF = "/root/testdata/sf0.001"
@@ -14,20 +12,18 @@ def test_run_against_plain_stages(spark):
     chain = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     rows = [r for r in docs.collect() if not toxicity.rejected(chain, chain.score(toxicity.words_of(r["text"])))]
     assert 0 < len(rows) < docs.count()
-    fps = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in rows}
-    seen, parent = np.array(list(fps.values()), np.uint64), {d: d for d in fps}
+    sets, parent = {r["doc_id"]: near.shingles(r["text"]) for r in rows}, {r["doc_id"]: r["doc_id"] for r in rows}
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = list(fps)
-    for k, d in enumerate(ids):
-        for j in np.flatnonzero(np.bitwise_count(seen ^ seen[k]) <= 3):
-            a, b = root(d), root(ids[j])
-            if a != b:
-                parent[max(a, b)] = min(a, b)
+    for a in sets:
+        for b in sets:
+            if a < b and near.jaccard(sets[a], sets[b]) >= 0.8:
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
     rows = [r for r in rows if root(r["doc_id"]) == r["doc_id"]]
     clean = {r["doc_id"]: (pii.redacted(r["text"]), r["source"]) for r in rows}
     mixed = spark.createDataFrame([(d, t, s) for d, (t, s) in clean.items()], "doc_id long, text string, source string")
