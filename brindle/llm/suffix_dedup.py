@@ -12,8 +12,9 @@ equal offsets, and every string is examined at its anchor alone.
    splitters sampled from the whole suffixes, so that a frequent context spreads over buckets.
    Each bucket sorts by multikey quicksort, eight bytes a digit, once to the right of the anchor
    and once to its left; strings are equal if both sides fall in one class at their depths.
-4. Classes that a bucket's first or last suffix belongs to may go on in the next bucket: their
-   strings are compared across boundaries by digest, dealt out anew.
+4. Suffixes that agree with a bucket's first or last one as far as one of their strings goes
+   may go on in the next bucket.  Each is dealt out once more, now by what stands to its left,
+   and compared again; only strings at the borders of both dealings are compared by digest.
 5. Covered bytes are merged and removed for each document.
 
 Defined results: a null or empty text has no bytes and keeps them all; texts shorter than
@@ -171,21 +172,30 @@ def common(a: np.ndarray, b: np.ndarray, most: np.ndarray, lead: bool = False) -
     return np.concatenate([[0], got]) if lead else got
 
 
-def compare(right: list[bytes], left: list[bytes], near: np.ndarray, far: np.ndarray, weight: np.ndarray):
-    """Strings of a bucket: (row, first offset, last offset) of runs that repeat in it, and
-    (row, offset, weight) of classes at its borders, one row for each class.
+def to_borders(order: np.ndarray, matrix: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each row the longest common prefix with the first or the last one of the order."""
+    edge = np.zeros(len(order), np.int64)
+    for k in (0, len(order) - 1):
+        edge[order] = np.maximum(edge[order], common(matrix, np.broadcast_to(matrix[k], matrix.shape), np.minimum(sizes, sizes[k])))
+    return edge
+
+
+def compare(right: list[bytes], left: list[bytes], near: np.ndarray, far: np.ndarray, weight: np.ndarray, reach: np.ndarray | None = None):
+    """Strings of a bucket: (row, first offset, last offset) of runs that repeat in it, and what
+    may go on in other buckets.
 
     Row k has the strings at offsets near[k]..far[k]: that many bytes from ``left`` (which runs
     backwards from the anchor), the rest from ``right``; ``weight`` says how often its text occurs.
+    In the first dealing that is (rows, their agreement with a border to the right).  In the
+    second one, given this agreement as ``reach``, it is (row, offset, weight) of each class of
+    strings that may go on across borders of both.
     """
     n = len(right)
-    r_order, r_common, matrix, sizes = multikey_sort(right, LENGTH)
-    l_order, l_common, _, _ = multikey_sort(left, WINDOW)
+    r_order, r_common, r_matrix, r_sizes = multikey_sort(right, LENGTH)
+    l_order, l_common, l_matrix, l_sizes = multikey_sort(left, WINDOW)
     r_at, l_at = np.empty(n, np.int64), np.empty(n, np.int64)
     r_at[r_order], l_at[l_order] = np.arange(n), np.arange(n)
-    edge = np.zeros(n, np.int64)
-    for k in (0, n - 1):
-        edge[r_order] = np.maximum(edge[r_order], common(matrix, np.broadcast_to(matrix[k], matrix.shape), np.minimum(sizes, sizes[k])))
+    edge = to_borders(r_order, r_matrix, r_sizes) if reach is None else to_borders(l_order, l_matrix, l_sizes)
     repeats, borders = [], []
     for d in range(int(near.min()), int(far.max()) + 1):
         rows = np.flatnonzero((near <= d) & (d <= far))
@@ -199,44 +209,97 @@ def compare(right: list[bytes], left: list[bytes], near: np.ndarray, far: np.nda
         count = np.diff(np.append(first, len(rows)))
         hit = rows[inside[count[np.cumsum(new) - 1] > 1]]
         repeats.append((hit, np.full(len(hit), d)))
-        total = np.add.reduceat(weight[rows[inside]], first)
-        shown = rows[inside[first]]
-        outer = edge[shown] >= LENGTH - d
-        borders.append((shown[outer], np.full(int(outer.sum()), d), total[outer]))
+        if reach is not None:
+            total = np.add.reduceat(weight[rows[inside]], first)
+            shown = rows[inside[first]]
+            outer = (edge[shown] >= d) & (np.maximum.reduceat(reach[rows[inside]], first) >= LENGTH - d)
+            borders.append((shown[outer], np.full(int(outer.sum()), d), total[outer]))
     row, d = (np.concatenate(x) for x in zip(*repeats))
     order = np.lexsort((d, row))
     row, d = row[order], d[order]
     starts = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (d[1:] != d[:-1] + 1))[: len(row)])
     ends = np.append(starts[1:], len(row))[: len(starts)] - 1
-    return (row[starts], d[starts], d[ends]), tuple(np.concatenate(x) for x in zip(*borders))
+    runs = row[starts], d[starts], d[ends]
+    if reach is None:
+        further = np.flatnonzero(edge >= LENGTH - far)
+        return runs, (further, edge[further])
+    return runs, tuple(np.concatenate(x) for x in zip(*borders))
 
 
-FOUND = "kind int, doc long, s int, e int, ctx long, h1 long, weight long"
+SUFFIX = "ctx long, doc long, a int, lo int, hi int, n long, r binary, l binary"
+#: Suffixes in a bucket, about.
+BUCKET = 50_000
 
 
-def sorted_buckets(it):
-    """Compare each bucket: kind 0 is a run of repeated strings, kind 1 a class at a border."""
-    import xxhash
+def by_range(suffixes: DataFrame, first: str, then: str) -> DataFrame:
+    """Suffixes in ranges of bounded size; splitters are sampled by the exchange."""
+    return suffixes.repartitionByRange(max(1, -(-suffixes.count() // BUCKET)), first, then)
+
 
-    schema = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("ctx", pa.int64()), ("h1", pa.int64()), ("weight", pa.int64())])
-    table = pa.Table.from_batches(it) if (it := list(it)) else None
-    if table is None or not table.num_rows:
+def fields(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[t]) for n, t in (x.split() for x in schema.split(", "))])
+
+
+def opened(it):
+    """A bucket as its table and the arguments of ``compare``; nothing for an empty one."""
+    if not (it := list(it)):
         return
-    right, left = table["r"].to_pylist(), table["l"].to_pylist()
-    doc, a, lo, hi, ctx, n = (table[c].to_numpy() for c in ("doc", "a", "lo", "hi", "ctx", "n"))
-    (row, near, far), (edge, at, weight) = compare(right, left, a - hi, a - lo, n)
-    alone = n[row] == 1  # the strings of texts that occur twice are known to repeat
+    table = pa.Table.from_batches(it)
+    if table.num_rows:
+        a, lo, hi, n = (table[c].to_numpy() for c in ("a", "lo", "hi", "n"))
+        yield table, (table["r"].to_pylist(), table["l"].to_pylist(), a - hi, a - lo, n)
+
+
+def runs_of(table: pa.Table, found) -> dict:
+    row, near, far = found
+    alone = table["n"].to_numpy()[row] == 1  # the strings of texts that occur twice are known to repeat
     row, near, far = row[alone], near[alone], far[alone]
-    yield pa.RecordBatch.from_pydict({"kind": np.zeros(len(row)), "doc": doc[row], "s": a[row] - far, "e": a[row] - near + LENGTH, "ctx": ctx[row], "h1": np.zeros(len(row), np.int64), "weight": n[row]}, schema=schema)
-    for k in range(0, len(edge), 100_000):
-        x, d, w = edge[k : k + 100_000], at[k : k + 100_000], weight[k : k + 100_000]
-        whole = [xxhash.xxh3_64_intdigest(left[i][:q][::-1] + right[i][: LENGTH - q], q) for i, q in zip(x.tolist(), d.tolist())]
-        yield pa.RecordBatch.from_pydict({"kind": np.ones(len(x)), "doc": doc[x], "s": a[x] - d, "e": a[x] - d + LENGTH, "ctx": ctx[x], "h1": np.array(whole, np.uint64).view(np.int64), "weight": w}, schema=schema)
+    a = table["a"].to_numpy()[row]
+    return {"doc": table["doc"].to_numpy()[row], "s": a - far, "e": a - near + LENGTH}
+
+
+FIRST = "s int, e int, reach int, " + SUFFIX
+
+
+def sorted_buckets(it):
+    """Compare each bucket: rows with s and e are runs of repeated strings, the others suffixes
+    that may go on in another bucket, at most one for each suffix."""
+    schema = fields(FIRST)
+    for table, (right, left, near, far, n) in opened(it):
+        runs, (further, reach) = compare(right, left, near, far, n)
+        found = runs_of(table, runs)
+        none = pa.nulls(len(found["s"]))
+        yield pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) if f.name in found else none.cast(f.type) for f in schema], schema=schema)
+        for at in range(0, len(further), 20_000):
+            part = table.take(pa.array(further[at : at + 20_000])).combine_chunks()
+            extra = {"reach": pa.array(reach[at : at + 20_000], pa.int32())}
+            columns = [part[f.name].combine_chunks() if f.name in part.column_names else extra.get(f.name, pa.nulls(part.num_rows, f.type)) for f in schema]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+SECOND = "doc long, s int, e int, ctx long, h1 long, weight long"
+
+
+def border_buckets(it):
+    """Compare suffixes dealt out by their left side: runs (weight null), and classes of strings at borders."""
+    import xxhash
+
+    schema = fields(SECOND)
+    for table, (right, left, near, far, n) in opened(it):
+        runs, (edge, at, weight) = compare(right, left, near, far, n, table["reach"].to_numpy())
+        found = runs_of(table, runs)
+        yield pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) if f.name in found else pa.nulls(len(found["s"]), f.type) for f in schema], schema=schema)
+        doc, a, ctx = (table[c].to_numpy() for c in ("doc", "a", "ctx"))
+        for k in range(0, len(edge), 100_000):
+            x, d, w = edge[k : k + 100_000], at[k : k + 100_000], weight[k : k + 100_000]
+            whole = [xxhash.xxh3_64_intdigest(left[i][:q][::-1] + right[i][: LENGTH - q], q) for i, q in zip(x.tolist(), d.tolist())]
+            yield pa.RecordBatch.from_pydict({"doc": doc[x], "s": a[x] - d, "e": a[x] - d + LENGTH, "ctx": ctx[x], "h1": np.array(whole, np.uint64).view(np.int64), "weight": w}, schema=schema)
 
 
 def with_texts(src: DataFrame, reps: DataFrame) -> DataFrame:
     """The suffixes to compare: (ctx, doc, a, lo, hi, n, r, l)."""
-    schema = pa.schema([("ctx", pa.int64()), ("doc", pa.int64()), ("a", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("n", pa.int64()), ("r", pa.binary()), ("l", pa.binary())])
+    schema = fields(SUFFIX)
 
     def rows(it):
         for batch in it:
@@ -251,7 +314,7 @@ def with_texts(src: DataFrame, reps: DataFrame) -> DataFrame:
     by = reps.groupBy("doc").agg(F.collect_list(F.struct("ctx", "a", "lo", "hi", "n")).alias("own"))
     # Rows that repeat in full share a key; one of them is enough.
     pairs = src.select("doc", "data").join(by.withColumnRenamed("doc", "k"), F.col("doc") == F.col("k")).select("doc", "data", "own")
-    return pairs.mapInArrow(rows, "ctx long, doc long, a int, lo int, hi int, n long, r binary, l binary")
+    return pairs.mapInArrow(rows, SUFFIX)
 
 
 def spans(src: DataFrame) -> DataFrame:
@@ -267,14 +330,18 @@ def spans(src: DataFrame) -> DataFrame:
     mixed = found.where("mixed")
     pick = lambda c: F.first(c).alias(c)
     bodies = cut(mixed.groupBy("ctx", "body").agg(F.count("*").alias("n"), *[pick(c) for c in ("doc", "a", "lo", "hi")]), "bodies")
-    suffixes = cut(with_texts(src, bodies), "suffixes").dropDuplicates(["doc", "a", "lo", "hi"])
+    suffixes = cut(with_texts(src, bodies).dropDuplicates(["doc", "a", "lo", "hi"]), "suffixes")
+    collect_garbage(spark)
+    compared = cut(by_range(suffixes, "r", "l").mapInArrow(sorted_buckets, FIRST), "compared")
+    further = compared.where("s IS NULL").select("reach", *suffixes.columns)
     collect_garbage(spark)
-    compared = cut(suffixes.repartitionByRange("r", "l").mapInArrow(sorted_buckets, FOUND), "compared")
-    border = compared.where("kind = 1")
+    again = cut(by_range(further, "l", "r").mapInArrow(border_buckets, SECOND), "again")
+    border = again.where("weight IS NOT NULL")
     twice = cut(border.groupBy("ctx", "h1").agg(F.sum("weight").alias("w")).where("w > 1").select(F.col("ctx").alias("c"), F.col("h1").alias("h")), "borders")
     # Classes of several strings are known to repeat; the others ask whether another bucket has theirs.
     across = border.where("weight = 1").join(twice, (F.col("ctx") == F.col("c")) & (F.col("h1") == F.col("h"))).select("doc", "s", "e")
-    single = compared.where("kind = 0").select("doc", "s", "e").unionByName(across)
+    runs = compared.where("s IS NOT NULL").select("doc", "s", "e").unionByName(again.where("weight IS NULL").select("doc", "s", "e"))
+    single = runs.unionByName(across)
     whole = lambda df: df.select("doc", F.col("lo").alias("s"), (F.col("hi") + LENGTH).alias("e"))
     often = bodies.where("n > 1").select(F.col("ctx").alias("c"), F.col("body").alias("b"))
     copied = mixed.join(often, (F.col("ctx") == F.col("c")) & (F.col("body") == F.col("b")))
