@@ -6,8 +6,9 @@ come from models that did not see the row (out-of-fold, ``FOLDS`` folds by a has
 so that later models meet inputs as uncertain as they will be in use.
 
 The chain is fitted on the driver on at most ``MAX_LABELLED`` labelled rows, those with the
-smallest hash of their id; of a text only the set of its words travels, as 32-bit checksums.  Every document is
-scored.  A document is rejected at the threshold that out-of-fold scores found best.
+smallest hash of their id; of a text only the set of its features travels, as 32-bit
+checksums: words, and stems of words by their share of the text, since a single word of a
+frequent family says little and many of them say much.  Every document is scored.  A document is rejected at the threshold that out-of-fold scores found best.
 
 Defined results: a null or empty text has no words and gets the base rates; labels that
 repeat for an id count once (the largest wins); null labels are left out; with no labels, or
@@ -19,7 +20,9 @@ and kept by ``reject``.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
+from itertools import chain as chain_of
 from zlib import crc32
 
 import numpy as np
@@ -32,14 +35,30 @@ MAX_LABELLED = 8000
 FOLDS = 5
 #: Words that a model may use: those with the strongest association, seen in enough rows.
 MAX_WORDS, LEAST_ROWS = 3000, 4
-CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
+#: In the order of the chain; ``unfit`` is either of the other two, and ``toxic`` sees both before it.
+CATEGORIES = ("low_quality", "unfit", "toxic")
+#: Letters of a stem, and the share of a text's words from which it counts.
+STEMS, RATE = (4, 5), 0.004
 WORDS = re.compile(r"[^\W_]+").findall
 
 
 def words_of(text: str | None) -> np.ndarray:
-    """Checksums of the distinct words of a text, in ascending order."""
-    found = set(WORDS(text.lower())) if text else ()
-    return np.unique(np.fromiter(map(crc32, map(str.encode, found)), np.uint32, len(found)))
+    """Checksums of the features of a text, in ascending order: its distinct words, and stems
+    (the first letters of longer words) that it has at a RATE and, apart, at that rate twice or more."""
+    words = WORDS(text.lower()) if text else []
+    found = {w: n for w, n in Counter(words).items()}
+    stems: Counter = Counter()
+    for w, n in found.items():
+        for k in STEMS:
+            if len(w) > k:
+                stems[w[:k]] += n
+    marks = []
+    for stem, n in stems.items():
+        if n >= RATE * len(words):
+            marks.append(stem + "+")
+            if n > 1:
+                marks.append(stem + "++")
+    return np.unique(np.fromiter(map(crc32, map(str.encode, chain_of(found, marks))), np.uint32, len(found) + len(marks)))
 
 
 def sigmoid(z):
@@ -164,9 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # ``given`` has at most ``bound`` rows of three numbers, so it may be broadcast.
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(given), "id")
-    found = src.select("id", "low", "toxic", "text").mapInArrow(rows, "id long, low int, toxic int, words binary").collect()
-    found = sorted(found)
-    return fit([(np.frombuffer(r["words"], np.uint32), (r["id"] * 2654435761 % 4294967296 >> 16) % FOLDS, (r["low"], r["toxic"], r["low"] & r["toxic"])) for r in found])
+    # Documents that repeat an id count once, the one with the least text.
+    src = src.groupBy("id", "low", "toxic").agg(F.min("text").alias("text"))
+    found = sorted(src.mapInArrow(rows, "id long, low int, toxic int, words binary").collect())
+    return fit([(np.frombuffer(r["words"], np.uint32), (r["id"] * 2654435761 % 4294967296 >> 16) % FOLDS, (r["low"], r["low"] | r["toxic"], r["toxic"])) for r in found])
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
