@@ -68,14 +68,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         tables: dict[str, np.ndarray] = {}
         for batch in it:
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
-                table = tables.setdefault(lang, np.zeros(SLOTS, np.int64))
-                table += np.bincount(slots(text), minlength=SLOTS)
-        yield pa.RecordBatch.from_pydict({"lang": list(tables), "counts": [t.astype("<i8").tobytes() for t in tables.values()]}, schema=pa.schema([("lang", pa.string()), ("counts", pa.binary())]))
-
+                tables.setdefault(lang, np.zeros(SLOTS, np.int64))
+                tables[lang] += np.bincount(slots(text), minlength=SLOTS)
+        for lang, table in tables.items():
+            at = np.flatnonzero(table)
+            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "slot": at.astype(np.int32), "n": table[at]}, schema=pa.schema([("lang", pa.string()), ("slot", pa.int32()), ("n", pa.int64())]))
+
+    counted = part.select("text", "lang").mapInArrow(rows, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    # At most SLOTS numbers for each language of the bounded sample.
     sums: dict[str, np.ndarray] = {}
-    # One table of fixed size for each language and task of the bounded sample.
-    for r in part.select("text", "lang").coalesce(4).mapInArrow(rows, "lang string, counts binary").toLocalIterator():
-        sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["counts"], "<i8")
+    for lang, slot, n in counted.toArrow().to_pandas().itertuples(index=False):
+        sums.setdefault(lang, np.zeros(SLOTS, np.int64))[slot] = n
     names = sorted(sums)
     table = np.array([sums[n] for n in names], float).reshape(len(names), SLOTS) + 0.5
     return Model(names, np.ascontiguousarray(np.log(table / table.sum(axis=1, keepdims=True)).T) if names else table.T)
