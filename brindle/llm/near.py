@@ -9,7 +9,9 @@ and a half standard deviations above 0.8, and what is left is decided on the wor
 
 1. Every member of a bucket is compared with the bucket's least one: one pair a member.
 2. Buckets whose members are then in several components compare the members outside the
-   largest component with all others, in parts of about ``PART`` members by ``PART``.
+   largest component with all others, in parts of bounded size.  A pair is looked at in the
+   first of its common bands only, decided on the spot, and only if no earlier pair of the
+   part has joined its components; a part gives at most as many links as it has components.
 
 Both go by joins and bounded lists, so a bucket may hold any share of the rows.
 
@@ -25,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import simhash
-from .common import batches, cut, utf8
+from .common import batches, cut, drop, utf8
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 4
 #: 64-bit words of a fingerprint, the radius, and the radius of texts with under FEW shingles.
 WORDS, RADIUS, FEW, FEW_RADIUS = 8, 114, 16, 140
-#: Members of one part of a bucket, about.
-PART = 512
+#: Members of one part of a bucket, and bytes of their texts, about.
+PART, PART_BYTES = 512, 4 << 20
 _random = np.random.default_rng(9)
 FLIP = _random.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 FACTOR = _random.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -126,30 +128,49 @@ def against_first(pairs: DataFrame) -> DataFrame:
 
 
 def across(lists: DataFrame) -> DataFrame:
-    """Near pairs of each list (members array<struct<fp, sim, n, label, side>>) whose labels differ,
-    one of them at least outside of the largest component."""
+    """Links of each list (band, members array<struct<fp, sim, keys, n, text, label, side>>) that join
+    its components, where one member at least is outside of the largest one (side 1)."""
 
     def rows(it):
         for batch in it:
             for at in range(batch.num_rows):
-                own = pa.array(batch.column(0).slice(at, 1)).flatten()
+                band, own = batch.column(0)[at].as_py(), pa.array(batch.column(1).slice(at, 1)).flatten()
                 fps, labels, sides, n = (own.field(c).to_numpy() for c in ("fp", "label", "side", "n"))
-                sims = words_of(own.field("sim").to_pylist())
+                sims, texts = words_of(own.field("sim").to_pylist()), own.field("text")
+                keys = own.field("keys").flatten().to_numpy().reshape(-1, BANDS)
                 planes, used = simhash.planes_of(sims, np.arange(len(fps)), -(-len(fps) // 64))
-                for first in range(0, len(fps), 256):
-                    # The largest component's members are queried only by the others.
-                    asked = first + np.flatnonzero(sides[first : first + 256] == 1)
-                    query = np.repeat(asked, len(used))
-                    block = np.tile(np.arange(len(used)), len(asked))
+                up, sets, found = {int(x): int(x) for x in labels}, {}, []
+
+                def root(x):
+                    while up[x] != x:
+                        up[x] = x = up[up[x]]
+                    return x
+
+                def words(k):
+                    if k not in sets:
+                        sets[k] = shingles(texts[k].as_py())
+                    return sets[k]
+
+                asked = np.flatnonzero(sides == 1)  # the largest component's members are queried only by the others
+                for first in range(0, len(asked), 64):
+                    some = asked[first : first + 64]
+                    query, block = np.repeat(some, len(used)), np.tile(np.arange(len(used)), len(some))
                     k, lane = simhash.close_lanes(planes, used, block, sims[query], FEW_RADIUS)
                     a, b = query[k], block[k] * 64 + lane
-                    keep = labels[a] != labels[b]
+                    keep = (labels[a] != labels[b]) & ((sides[b] == 0) | (a < b))
                     a, b = a[keep], b[keep]
-                    keep = close(sims[a], sims[b], np.minimum(n[a], n[b]))
-                    x, y = fps[a[keep]], fps[b[keep]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=PAIRS)
+                    keep = close(sims[a], sims[b], np.minimum(n[a], n[b])) & ((keys[a] == keys[b]).argmax(axis=1) == band)
+                    a, b = a[keep], b[keep]
+                    nearest = np.argsort(np.bitwise_count(sims[a] ^ sims[b]).sum(axis=1, dtype=np.int64), kind="stable")
+                    for i, j in zip(a[nearest].tolist(), b[nearest].tolist()):
+                        x, y = root(int(labels[i])), root(int(labels[j]))
+                        if x != y and jaccard(words(i), words(j)) >= SIMILAR:
+                            up[x] = y
+                            found.append((int(fps[i]), int(fps[j])))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], schema=PAIRS)
 
-    return lists.select("members").mapInArrow(rows, "a long, b long")
+    return lists.select("band", "members").mapInArrow(rows, "a long, b long")
 
 
 def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -165,24 +186,31 @@ def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
         hit = [similar(*row) for row in zip(c["a"], c["x"], c["y"])]
         return {n: [v for v, h in zip(c[n], hit) if h] for n in ("a", "b")}
 
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = cut(prints.join(nodes, F.col("fp") == F.col("node"), "left_semi").select("fp", "text").dropDuplicates(["fp"]), "texts")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    texts = texts_of(nodes, prints)
     x, y = texts.select(F.col("fp").alias("p"), F.col("text").alias("x")), texts.select(F.col("fp").alias("q"), F.col("text").alias("y"))
     both = pairs.join(y, F.col("b") == F.col("q")).join(x, F.col("a") == F.col("p")).select("a", "b", "x", "y")
-    return cut(both.mapInArrow(lambda it: batches(it, fn, PAIRS), "a long, b long"), "similar")
+    out = cut(both.mapInArrow(lambda it: batches(it, fn, PAIRS), "a long, b long"), "similar")
+    drop(texts)
+    return out
+
+
+def texts_of(nodes: DataFrame, prints: DataFrame) -> DataFrame:
+    """(fp, text): one text for each key in ``nodes`` (node), written."""
+    return cut(prints.join(nodes.distinct(), F.col("fp") == F.col("node"), "left_semi").select("fp", "text").dropDuplicates(["fp"]), "texts")
 
 
-def share(n, of: int = PART):
-    """The number of parts of ``n`` members."""
-    return F.ceil(n / F.lit(of)).cast("int")
+def share(n, size):
+    """The number of parts for ``n`` members with ``size`` shingles in all, of some eight bytes each."""
+    return F.greatest(F.ceil(n / F.lit(PART)), F.ceil(size * 8 / F.lit(PART_BYTES)), F.lit(1)).cast("int")
 
 
 def parts(labelled: DataFrame) -> DataFrame:
-    """(bucket, part, side, fp, sim, n, label): members outside of a bucket's largest component
+    """(bucket, part, band, side, fp, label): members outside of a bucket's largest component
     (side 1) meet every other member in some part; parts have about 2 * PART members."""
-    by = labelled.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-    by = by.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("labels")).where("labels > 1")
-    by = by.select(F.col("bucket").alias("k"), F.col("top.label").alias("main"), share(F.col("top.c")).alias("ga"), share(F.col("all") - F.col("top.c")).alias("gb"))
+    by = labelled.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    by = by.groupBy("bucket").agg(F.max(F.struct("c", "label", "w")).alias("top"), F.sum("c").alias("all"), F.sum("w").alias("words"), F.count("*").alias("labels")).where("labels > 1")
+    by = by.select(F.col("bucket").alias("k"), F.col("top.label").alias("main"), share(F.col("top.c"), F.col("top.w")).alias("ga"), share(F.col("all") - F.col("top.c"), F.col("words") - F.col("top.w")).alias("gb"))
     by = cut(by, "mixed")
     rows = labelled.join(by, F.col("bucket") == F.col("k")).withColumn("side", (F.col("label") != F.col("main")).cast("int"))
     own = lambda g: F.pmod(F.xxhash64("fp"), F.col(g)).cast("int")
@@ -191,36 +219,45 @@ def parts(labelled: DataFrame) -> DataFrame:
     with_main = F.transform(upto("ga"), lambda j: F.concat_ws(":", F.lit("m"), j, own("gb")))
     with_rest = F.transform(upto("gb"), lambda j: F.concat_ws(":", F.lit("r"), F.least(j, own("gb")), F.greatest(j, own("gb"))))
     rows = rows.withColumn("part", F.explode(F.when(F.col("side") == 0, main).otherwise(F.concat(with_main, with_rest))))
-    return rows.select("bucket", "part", "side", "fp", "sim", "n", "label")
+    return rows.select("bucket", "part", "band", "side", "fp", "label")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, root, component_id): root is the least key of the component."""
     prints = cut(sketches(docs, id_col, text_col), "prints")
     one = cut(prints.select("fp", "keys", "sim", "n").dropDuplicates(["fp"]), "one")
-    keyed = one.select("fp", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("fp").alias("least"), F.max("fp").alias("most"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("total")).where("c > 1")
-    # Bands with the same members need one look.
-    sizes = cut(sizes.groupBy("c", "least", "most", "total").agg(F.min("key").alias("bucket")).select("bucket", "least"), "buckets")
-    members = cut(keyed.join(sizes, F.col("key") == F.col("bucket")).select("bucket", "least", "fp"), "members")
-    first = members.where("fp != least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
+    keyed = one.select("fp", "n", F.posexplode("keys").alias("band", "key"))
+    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("c"), F.min("fp").alias("least"), F.max("fp").alias("most"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("total")).where("c > 1")
+    # Bands with the same members need one look, in the first of them.
+    sizes = sizes.groupBy("c", "least", "most", "total").agg(F.min(F.struct("band", "key")).alias("first"))
+    sizes = cut(sizes.select(F.col("first.key").alias("bucket"), F.col("first.band").alias("at"), "least"), "buckets")
+    members = cut(keyed.join(sizes, (F.col("key") == F.col("bucket")) & (F.col("band") == F.col("at"))).select("bucket", "band", "least", "fp", "n"), "members")
+    first = cut(members.where("fp != least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct(), "first")
     x = one.select(F.col("fp").alias("p"), F.col("sim").alias("x"), F.col("n").alias("nx"))
     y = one.select(F.col("fp").alias("q"), F.col("sim").alias("y"), F.col("n").alias("ny"))
-    first = cut(first, "first")
     near = first.join(y, F.col("b") == F.col("q")).join(x, F.col("a") == F.col("p")).withColumn("n", F.least("nx", "ny"))
-    links = verified(cut(against_first(near), "near"), prints)
+    near = cut(against_first(near), "near")
+    links = verified(near, prints)
     labels = simhash.connect(links.select(F.col("b").alias("node"), F.col("a").alias("root")))
-    wide = members.select("bucket", "fp").join(labels, F.col("fp") == labels["node"], "left").select("bucket", "fp", F.coalesce("root", "fp").alias("label"))
-    wide = cut(wide, "labelled").join(one.select(F.col("fp").alias("p"), "sim", "n"), F.col("fp") == F.col("p"))
-    lists = parts(wide).groupBy("bucket", "part").agg(F.collect_list(F.struct("fp", "sim", "n", "label", "side")).alias("members"))
-    rest = cut(across(lists).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+    named = members.join(labels, F.col("fp") == labels["node"], "left").select("bucket", "band", "fp", "n", F.coalesce("root", "fp").alias("label"))
+    named = cut(named, "named")
+    met = cut(parts(named), "parts")
+    drop(sizes, members, first, near, named)
+    known = texts_of(met.select(F.col("fp").alias("node")), prints).select(F.col("fp").alias("q"), "text")
+    packed = one.select(F.col("fp").alias("p"), "sim", "keys", "n")
+    met = met.join(packed, F.col("fp") == F.col("p")).join(known, F.col("fp") == F.col("q"))
+    lists = met.groupBy("bucket", "part", "band").agg(F.collect_list(F.struct("fp", "sim", "keys", "n", "text", "label", "side")).alias("members"))
+    rest = cut(across(lists), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(verified(rest, prints))
+        links = links.unionByName(rest)
         labels = simhash.connect(links.select(F.col("b").alias("node"), F.col("a").alias("root")))
     ids = prints.select("id", "fp").join(labels, F.col("fp") == F.col("node"), "left").select("id", "fp", F.coalesce("root", "fp").alias("root"))
     ids = cut(ids, "ids")
+    drop(prints, one)
     least = cut(ids.groupBy("root").agg(F.min("id").alias("component_id")), "least")
-    return ids.join(least, "root").select(F.col("id").alias(id_col), "fp", "root", "component_id")
+    out = ids.join(least, "root").select(F.col("id").alias(id_col), "fp", "root", "component_id")
+    out.cut_needs = (ids, least)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import batches, cut, utf8
+from .common import batches, cut, drop, utf8
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Bit ranges (first, length) of the blocks of a fingerprint, and how many must agree.
@@ -239,16 +239,20 @@ def connect(edges: DataFrame) -> DataFrame:
         while True:
             up = parent.select(F.col("u").alias("q"), F.col("p").alias("pp"))
             jumped = cut(parent.join(up, parent["p"] == up["q"], "left").select("u", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") != F.col("p")).alias("moved")), "parents")
-            parent = jumped.select("u", "p")
+            drop(parent)
+            parent = jumped
             if jumped.where("moved").isEmpty():
                 break
         left, right = parent.select(F.col("u").alias("a"), F.col("p").alias("x")), parent.select(F.col("u").alias("b"), F.col("p").alias("y"))
+        old = edges
         edges = cut(edges.join(left, edges["u"] == left["a"]).join(right, F.col("v") == F.col("b")).where("x != y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), "links")
+        drop(old)
         if labels is None:
             labels = parent
         else:
-            up = parent.select(F.col("u").alias("q"), F.col("p").alias("pp"))
+            up, known = parent.select(F.col("u").alias("q"), F.col("p").alias("pp")), labels
             labels = cut(labels.join(up, labels["p"] == up["q"], "left").select("u", F.coalesce("pp", "p").alias("p")), "labels")
+            drop(known, parent)
     if labels is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return labels.select(F.col("u").alias("node"), F.col("p").alias("root"))
@@ -265,7 +269,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = linked.join(least, "root").select("node", "root", "component_id")
     every = distinct.join(named, distinct["fp"] == named["node"], "left")
     every = cut(every.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")), "components")
-    return prints.join(every, "fp").select(F.col("id").alias(id_col), "fp", "root", "component_id")
+    drop(distinct, linked, least)
+    out = prints.join(every, "fp").select(F.col("id").alias(id_col), "fp", "root", "component_id")
+    out.cut_needs = (prints, every)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -277,6 +284,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 def keep_first(docs: DataFrame, classes: DataFrame, print_of, id_col: str, text_col: str) -> DataFrame:
     """``keep_one`` for given (id, fp, root, component_id), where ``print_of`` gives a text's fp."""
     found = cut(classes.withColumnRenamed(id_col, "_id"), "classes")
+    drop(*getattr(classes, "cut_needs", ()))
     per_id = found.groupBy("_id").agg(F.count("*").alias("n"), F.max(F.col("_id") != F.col("component_id")).alias("out"))
     per_id = cut(per_id.where("n > 1 OR out OR _id IS NULL").select("_id", "n"), "out")
     single = docs.join(per_id.select("_id"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
