@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import collect_garbage, cut
+from .common import collect_garbage, cut, drop
 
 LENGTH, CONTEXT = 200, 64
 WINDOW = LENGTH - CONTEXT + 1
@@ -326,6 +326,7 @@ def spans(src: DataFrame) -> DataFrame:
     # The table of contexts is read from files, so both sides are dealt out and a hot one is split.
     again = anchor_rows(src, True)
     found = cut(again.join(known, again["ctx"] == known["k"]).drop("k"), "anchors")
+    drop(known)
     collect_garbage(spark)
     mixed = found.where("mixed")
     pick = lambda c: F.first(c).alias(c)
@@ -333,20 +334,23 @@ def spans(src: DataFrame) -> DataFrame:
     suffixes = cut(with_texts(src, bodies).dropDuplicates(["doc", "a", "lo", "hi"]), "suffixes")
     collect_garbage(spark)
     compared = cut(by_range(suffixes, "r", "l").mapInArrow(sorted_buckets, FIRST), "compared")
+    drop(suffixes)
     further = compared.where("s IS NULL").select("reach", *suffixes.columns)
     collect_garbage(spark)
-    again = cut(by_range(further, "l", "r").mapInArrow(border_buckets, SECOND), "again")
-    border = again.where("weight IS NOT NULL")
+    crossed = cut(by_range(further, "l", "r").mapInArrow(border_buckets, SECOND), "again")
+    border = crossed.where("weight IS NOT NULL")
     twice = cut(border.groupBy("ctx", "h1").agg(F.sum("weight").alias("w")).where("w > 1").select(F.col("ctx").alias("c"), F.col("h1").alias("h")), "borders")
     # Classes of several strings are known to repeat; the others ask whether another bucket has theirs.
     across = border.where("weight = 1").join(twice, (F.col("ctx") == F.col("c")) & (F.col("h1") == F.col("h"))).select("doc", "s", "e")
-    runs = compared.where("s IS NOT NULL").select("doc", "s", "e").unionByName(again.where("weight IS NULL").select("doc", "s", "e"))
-    single = runs.unionByName(across)
+    inside = compared.where("s IS NOT NULL").select("doc", "s", "e").unionByName(crossed.where("weight IS NULL").select("doc", "s", "e"))
+    single = inside.unionByName(across)
     whole = lambda df: df.select("doc", F.col("lo").alias("s"), (F.col("hi") + LENGTH).alias("e"))
     often = bodies.where("n > 1").select(F.col("ctx").alias("c"), F.col("body").alias("b"))
     copied = mixed.join(often, (F.col("ctx") == F.col("c")) & (F.col("body") == F.col("b")))
     every = single.unionByName(whole(found.where("NOT mixed"))).unionByName(whole(copied))
-    return cut(every.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("runs")), "runs")
+    runs = cut(every.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("runs")), "runs")
+    drop(found, bodies, compared, crossed, twice)
+    return runs
 
 
 def merged(runs: list[dict]) -> list[tuple[int, int]]:
