@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import batches, cut, drop, utf8
+from .common import batches, cut, drop, fresh, utf8
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Bit ranges (first, length) of the blocks of a fingerprint, and how many must agree.
@@ -283,12 +283,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 def keep_first(docs: DataFrame, classes: DataFrame, print_of, id_col: str, text_col: str) -> DataFrame:
     """``keep_one`` for given (id, fp, root, component_id), where ``print_of`` gives a text's fp."""
-    found = cut(classes.withColumnRenamed(id_col, "_id"), "classes")
+    key, own, best_of, top = fresh(docs, "_id", "_fp", "_best", "_root")
+    found = cut(classes.withColumnRenamed(id_col, key), "classes")
     drop(*getattr(classes, "cut_needs", ()))
-    per_id = found.groupBy("_id").agg(F.count("*").alias("n"), F.max(F.col("_id") != F.col("component_id")).alias("out"))
-    per_id = cut(per_id.where("n > 1 OR out OR _id IS NULL").select("_id", "n"), "out")
-    single = docs.join(per_id.select("_id"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
-    many = per_id.where("n > 1 OR _id IS NULL")
+    per_id = found.groupBy(key).agg(F.count("*").alias("n"), F.max(F.col(key) != F.col("component_id")).alias("out"))
+    per_id = cut(per_id.where(f"n > 1 OR out OR {key} IS NULL").select(key, "n"), "out")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(key))
+    single = docs.join(per_id.select(key), same, "left_anti")
+    many = per_id.where(f"n > 1 OR {key} IS NULL")
     if many.isEmpty():
         return single
     # Ids that several rows share (and null): told apart by fingerprint.
@@ -296,11 +298,11 @@ def keep_first(docs: DataFrame, classes: DataFrame, print_of, id_col: str, text_
     def fp_of(texts):
         return texts.map(print_of).astype("int64")
 
-    shared = docs.join(many.select("_id"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi").withColumn("_fp", fp_of(F.col(text_col)))
-    best = found.groupBy(F.col("root").alias("_root")).agg(F.min(F.struct(F.col("_id").isNull().alias("no"), F.col("_id"), F.col("fp"))).alias("b"))
-    best = best.select("_root", F.col("b._id").alias("_id"), F.col("b.fp").alias("_best"))
-    kept = shared.join(best, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_best")), "left_semi")
-    return single.unionByName(kept.dropDuplicates([id_col, "_fp"]).select(*docs.columns))
+    shared = docs.join(many.select(key), same, "left_semi").withColumn(own, fp_of(F.col(text_col)))
+    best = found.groupBy(F.col("root").alias(top)).agg(F.min(F.struct(F.col(key).isNull().alias("no"), F.col(key), F.col("fp"))).alias("b"))
+    best = best.select(top, F.col(f"b.{key}").alias(key), F.col("b.fp").alias(best_of))
+    kept = shared.join(best, same & (F.col(own) == F.col(best_of)), "left_semi")
+    return single.unionByName(kept.dropDuplicates([id_col, own]).select(*docs.columns))
 
 
 def result(docs: DataFrame) -> DataFrame:
