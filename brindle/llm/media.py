@@ -5,7 +5,7 @@ lossless WebP writer) to pixel arrays.  Both work row by row, so memory is bound
 text and no row depends on another.
 
 Defined results: a null or empty text is one block of 64 zero bytes; very long texts use
-wider rows of pixels; equal texts give equal files and features; repeated rows give
+wider rows of pixels, and one of more than 2**28 bytes raises; equal texts give equal files and features; repeated rows give
 repeated results; an empty table gives an empty table; other columns are ignored, whatever
 their names.
 """
@@ -39,7 +39,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         def fn(c):
             raw = [utf8(t) for t in c["text"]]
             loads = [payload_of(b) for b in raw]
-            return {"id": c["id"], "n_bytes": list(map(len, raw)), "payload_bytes": list(map(len, loads)), "media": [webp.encode_flat(p) for p in loads]}
+            return {"id": c["id"], "n_bytes": list(map(len, raw)), "payload_bytes": list(map(len, loads)), "media": [webp.encode_samples(p) for p in loads]}
 
         return batches(it, fn, schema)
 
@@ -60,7 +60,7 @@ def describe(data: bytes, size: int) -> tuple[bytes, str]:
 def read_back(images: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Decode ``media`` and give digests of what was read.
 
-    ``feature`` is width x height, the sums of the four channels in sample order, the
+    ``feature`` is width x height, the sums of every fourth sample, from each of the first four, the
     number of distinct samples and the most frequent one (the smallest among equals).
     """
     out = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

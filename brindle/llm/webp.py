@@ -2,10 +2,12 @@
 
 ``decode`` reads every feature of the format: simple and normal prefix codes, meta prefix
 images, back-references with the two-dimensional distance codes, the colour cache, and the
-predictor, cross-colour, subtract-green and palette transforms.  Images whose prefix codes
-all have one length per channel and that use no other feature are decoded as whole arrays;
-the bulk writer ``encode_flat`` makes such images.  ``encode`` writes optimal-ish prefix
-codes with runs and transforms, at scalar speed.
+predictor, cross-colour, subtract-green and palette transforms.  Images without cache and meta
+codes whose red, blue and alpha are constant are read by a shorter loop over green codes.
+
+``encode_samples`` writes 8-bit samples as grey pixels: prefix codes, back-references, and a
+palette (few colours) or cross-colour transform, with a predictor where that takes fewer bits.
+``encode`` writes any image with the transforms asked for, at scalar speed.
 """
 
 from __future__ import annotations
@@ -90,7 +92,7 @@ class PrefixCode:
         self.lengths = np.asarray(lengths, np.uint8)
         self.used = np.flatnonzero(self.lengths)
         self.only = int(self.used[0]) if len(self.used) == 1 else None if len(self.used) else 0
-        self.width, self.table, self.codes = 0, None, {}
+        self.width, self.table, self.codes, self._lists = 0, None, {}, None
 
     def build(self) -> None:
         lengths = self.lengths.tolist()
@@ -123,16 +125,54 @@ class PrefixCode:
                 self.build()
             bits.write(*self.codes[symbol])
 
-    def flat(self) -> tuple[int, np.ndarray] | None:
-        """(bits, symbols in code order) if all used symbols have codes of one length."""
-        if self.only is not None:
-            return 0, np.array([self.only])
-        sizes = self.lengths[self.used]
-        n = int(sizes[0])
-        return (n, self.used) if n <= 8 and len(sizes) == 1 << n and (sizes == n).all() else None
+    def lists(self) -> tuple[int, list[int], list[int]]:
+        """(mask, symbols, sizes) by the next bits of the stream."""
+        if self._lists is None:
+            if self.only is not None:
+                self._lists = 0, [self.only], [0]
+            else:
+                if self.table is None:
+                    self.build()
+                self._lists = len(self.table) - 1, [s for s, _ in self.table], [n for _, n in self.table]
+        return self._lists
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """(code, size) of each symbol."""
+        code, size = np.zeros(len(self.lengths), np.uint64), np.zeros(len(self.lengths), np.int64)
+        if self.only is None:
+            if self.table is None:
+                self.build()
+            for s, (c, n) in self.codes.items():
+                code[s], size[s] = c, n
+        return code, size
+
+
+#: Codes read lately by (alphabet, bits, their value); a code's bits say where they end, so equal
+#: first bits are an equal code.  Images of one writer share many.
+_codes: dict[tuple[int, int, int], PrefixCode] = {}
+_sizes: dict[int, set[int]] = {}
 
 
 def read_code(bits: BitReader, size: int) -> PrefixCode:
+    at = bits.at
+    first, skip = at >> 3, at & 7
+    for n in _sizes.get(size, ()):
+        value = int.from_bytes(bits.data[first : (at + n + 7) >> 3], "little") >> skip & ((1 << n) - 1)
+        if at + n <= bits.end and (code := _codes.get((size, n, value))):
+            bits.at += n
+            return code
+    code = parse_code(bits, size)
+    n = bits.at - at
+    value = int.from_bytes(bits.data[first : (bits.at + 7) >> 3], "little") >> skip & ((1 << n) - 1)
+    if len(_codes) >= 64:
+        _codes.clear()
+        _sizes.clear()
+    _codes[(size, n, value)] = code
+    _sizes.setdefault(size, set()).add(n)
+    return code
+
+
+def parse_code(bits: BitReader, size: int) -> PrefixCode:
     lengths = [0] * size
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
@@ -185,29 +225,56 @@ def unspread(value: int) -> tuple[int, int, int]:
     return 2 * top + second, top - 1, v & ((1 << (top - 1)) - 1)
 
 
-def read_flat(bits: BitReader, codes, n: int) -> np.ndarray | None:
-    """All pixels at once where every channel has codes of one length; else None."""
-    flats = [c.flat() for c in codes[:4]]
-    if any(f is None for f in flats) or flats[0][1].max() > 255:
-        return None
-    total = sum(f[0] for f in flats)
-    out = np.empty((n, 4), np.uint8)
-    stream = bits.take(total * n).reshape(n, total)
-    if len({f[0] for f in flats}) == 1 and total and all(np.array_equal(f[1], flats[0][1]) for f in flats):
-        wide = flats[0][0]
-        padded = np.zeros((n * 4, 8), np.uint8)
-        padded[:, 8 - wide :] = stream.reshape(n * 4, wide)
-        out = flats[0][1].astype(np.uint8)[np.packbits(padded)].reshape(n, 4)
-    else:
-        at = 0
-        for k, (wide, symbols) in enumerate(flats):
-            padded = np.zeros((n, 8), np.uint8)
-            padded[:, 8 - wide :] = stream[:, at : at + wide]
-            out[:, k] = symbols.astype(np.uint8)[np.packbits(padded)]
-            at += wide
-    argb = np.empty((n, 4), np.uint8)
-    argb[:, 0], argb[:, 1], argb[:, 2], argb[:, 3] = out[:, 2], out[:, 0], out[:, 1], out[:, 3]
-    return argb.view("<u4").reshape(-1)
+def far_of(code: int, width: int) -> int:
+    """Distance in pixels of a distance value."""
+    if code > 120:
+        return code - 120
+    x, y = SHORT_DISTANCES[code - 1]
+    return max(1, x + y * width)
+
+
+def read_green(bits: BitReader, group, width: int, n: int) -> np.ndarray:
+    """Pixels whose red, blue and alpha are constant."""
+    padded = np.zeros(len(bits.data) + 4, np.uint32)
+    padded[:-4] = np.frombuffer(bits.data, np.uint8)
+    words = (padded[:-3] | padded[1:-2] << np.uint32(8) | padded[2:-1] << np.uint32(16) | padded[3:] << np.uint32(24)).tolist()
+    mask, symbols, sizes = group[0].lists()
+    d_mask, d_symbols, d_sizes = group[4].lists()
+    out, p, end = bytearray(), bits.at, bits.end
+    while len(out) < n and p <= end:
+        code = words[p >> 3] >> (p & 7) & mask
+        p += sizes[code]
+        symbol = symbols[code]
+        if symbol < 256:
+            out.append(symbol)
+            continue
+        length = symbol - 255
+        if symbol >= 260:
+            extra = (symbol - 258) >> 1
+            length = ((2 + (symbol & 1)) << extra) + (words[p >> 3] >> (p & 7) & ((1 << extra) - 1)) + 1
+            p += extra
+        if p > end:
+            break
+        code = words[p >> 3] >> (p & 7) & d_mask
+        p += d_sizes[code]
+        far = d_symbols[code] + 1
+        if far > 4:
+            extra = (far - 3) >> 1
+            far = ((3 - (far & 1)) << extra) + (words[min(p >> 3, len(words) - 1)] >> (p & 7) & ((1 << extra) - 1)) + 1
+            p += extra
+        far = far_of(far, width)
+        at = len(out)
+        if far > at or at + length > n:
+            raise ValueError("back-reference outside the image")
+        if far >= length:
+            out += out[at - far : at - far + length]
+        else:
+            out += (out[at - far :] * (length // far + 1))[:length]
+    if p > end or len(out) < n:
+        raise ValueError("truncated image data")
+    bits.at = p
+    rest = group[3].only << 24 | group[1].only << 16 | group[2].only
+    return np.frombuffer(out, np.uint8).astype(np.uint32) << np.uint32(8) | np.uint32(rest)
 
 
 def read_pixels(bits: BitReader, width: int, height: int, top: bool) -> np.ndarray:
@@ -224,8 +291,8 @@ def read_pixels(bits: BitReader, width: int, height: int, top: bool) -> np.ndarr
     cached = 1 << cache_bits if cache_bits else 0
     codes = [[read_code(bits, n) for n in (280 + cached, 256, 256, 256, 40)] for _ in range(groups)]
     n = width * height
-    if meta is None and not cached and (flat := read_flat(bits, codes[0], n)) is not None:
-        return flat
+    if meta is None and not cached and all(c.only is not None for c in codes[0][1:4]):
+        return read_green(bits, codes[0], width, n)
     out, cache, at, seen = [0] * n, [0] * cached, 0, 0
     group = codes[0]
     while at < n:
@@ -239,12 +306,7 @@ def read_pixels(bits: BitReader, width: int, height: int, top: bool) -> np.ndarr
             at += 1
         elif symbol < 280:
             length = spread(symbol - 256, bits)
-            far = spread(group[4].read(bits), bits)
-            if far > 120:
-                far -= 120
-            else:
-                x, y = SHORT_DISTANCES[far - 1]
-                far = max(1, x + y * width)
+            far = far_of(spread(group[4].read(bits), bits), width)
             if far > at or at + length > n:
                 raise ValueError("back-reference outside the image")
             for k in range(at, at + length):
@@ -324,6 +386,16 @@ def predicted(pixels: list[int], at: int, width: int, modes, size_bits: int, acr
 
 
 def undo_predictor(argb, width, height, modes, size_bits) -> np.ndarray:
+    kinds = np.unique(modes >> 8 & 15)
+    if len(kinds) == 1 and kinds[0] in (1, 2):  # all from the left, or all from above: running sums
+        by = argb.astype("<u4").view(np.uint8).reshape(height, width, 4)
+        by[0, 0, 3] = (int(by[0, 0, 3]) + 255) & 255
+        first, then = (0, 1) if kinds[0] == 1 else (1, 0)
+        if first == 0:
+            by[:, 0] = np.cumsum(by[:, 0], axis=0, dtype=np.uint8)
+        else:
+            by[0] = np.cumsum(by[0], axis=0, dtype=np.uint8)
+        return np.cumsum(by, axis=then, dtype=np.uint8).view("<u4").reshape(-1)
     out, across = argb.tolist(), (width + (1 << size_bits) - 1) >> size_bits
     for at in range(width * height):
         out[at] = add(out[at], predicted(out, at, width, modes, size_bits, across))
@@ -491,37 +563,125 @@ def write_code(bits: BitWriter, lengths) -> PrefixCode:
 def shape(n: int) -> tuple[int, int]:
     """Width and height for ``n`` pixels, rows of 16 pixels where that fits."""
     width = 16
+    if n > MAX_SIDE * MAX_SIDE:
+        raise ValueError(f"{n} pixels are more than an image of {MAX_SIDE} by {MAX_SIDE} holds")
     while -(-n // width) > MAX_SIDE:
         width *= 2
     return width, max(1, -(-n // width))
 
 
-def encode_flat(payload: np.ndarray) -> bytes:
-    """A payload (uint8, a multiple of 64 bytes) as samples in the order G, R, B, A.
+#: A match has so many bytes at least, and lies so far back at most; samples from which an image
+#: gets codes of its own.
+MATCH, WINDOW, OWN_CODES = 6, (1 << 20) - 120, 8192
+
+
+def matches(green: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of repeats, taken greedily from the front, each from the last place with equal bytes."""
+    n = len(green) - MATCH + 1
+    if n < 2:
+        return []
+    keys = np.zeros(n, np.uint64)
+    for k in range(MATCH):
+        keys |= green[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    back = np.zeros(n + 1, np.int64)
+    back[order[1:][same]] = (order[1:] - order[:-1])[same]
+    back[back > WINDOW] = 0
+    ends = np.flatnonzero(back[1:] != back[:-1])  # the last start of a run at one distance
+    found = np.flatnonzero(back)
+    if not len(found):
+        return []
+    lengths = ends[np.searchsorted(ends, found)] - found + MATCH
+    out, at = [], 0
+    for start, length, far in zip(found.tolist(), lengths.tolist(), back[found].tolist()):
+        if start < at:
+            if start + length < at + MATCH:
+                continue
+            length, start = length - (at - start), at  # the run goes on past what is taken
+        out += [(start + k, min(4096, length - k), far) for k in range(0, length, 4096)]
+        at = start + length
+    return out
+
+
+def usual_codes() -> tuple[list[int], list[int]]:
+    """Code lengths of green and of distances for short texts, from a rule on counts."""
+    counts = np.ones(280, np.int64)
+    counts[0x80:0xC0], counts[0xC2:0xF0] = 6, 3
+    counts[ord("A") : ord("Z") + 1], counts[ord("0") : ord("9") + 1] = 8, 20
+    for k, letter in enumerate(" etaoinshrdlcumwfgypbvkxjqz"):
+        counts[ord(letter)] = max(8, int(1800 * 0.87**k))
+    for letter, n in zip("\n.,\0", (60, 120, 80, 40)):
+        counts[ord(letter)] = n
+    counts[260:272] = 50
+    far = np.ones(40, np.int64)
+    far[13:27] = 40
+    return code_lengths(counts), code_lengths(far)
 
-    All four channels share one code with as many bits for each sample as the number of
-    distinct bytes asks for, so that both directions work on whole arrays.
-    """
-    n = len(payload) // 4
-    width, height = shape(n)
-    if width * height > n:
-        payload = np.concatenate([payload, np.zeros(4 * (width * height - n), np.uint8)])
-    used = np.flatnonzero(np.bincount(payload, minlength=256))
-    wide = max(1, (len(used) - 1).bit_length())
-    if len(payload) * (8 - wide) <= 4 * 256:  # the membership bits would outweigh what they save
-        wide = 8
-    if len(used) < 1 << wide:
-        used = np.sort(np.concatenate([used, np.setdiff1d(np.arange(256), used)[: (1 << wide) - len(used)]]))
-    rank = np.zeros(256, np.uint8)
-    rank[used] = np.arange(len(used))
-    member = np.zeros(256, np.uint8)
-    member[used] = 1
-    parts = [flat_header(width, height)]
-    for size in (280, 256, 256, 256):
-        parts += [flat_code_header(wide, size), member] if wide < 8 else [flat_code_header(wide, size)]
-    symbols = np.unpackbits(rank[payload].reshape(-1, 1), axis=1)[:, 8 - wide :].reshape(-1)
-    stream = np.packbits(np.concatenate([*parts, NO_DISTANCES, symbols]), bitorder="little")
-    return container(stream.tobytes())
+
+@lru_cache
+def usual() -> tuple[PrefixCode, PrefixCode]:
+    return tuple(map(PrefixCode, usual_codes()))
+
+
+def pack(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bits of the values, least significant first, one after the other."""
+    ends = np.cumsum(sizes)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+    return (values[of] >> at.astype(np.uint64) & np.uint64(1)).astype(np.uint8)
+
+
+def codes_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``unspread`` of an array."""
+    v = values.astype(np.int64) - 1
+    top = np.zeros(len(v), np.int64)
+    for k in (16, 8, 4, 2, 1):
+        big = v >> (top + k) > 0
+        top[big] += k
+    small = v < 4
+    extra = np.where(small, 0, top - 1)
+    code = np.where(small, v, 2 * top + (v >> np.maximum(top - 1, 0) & 1))
+    return code, extra, np.where(small, 0, v & (1 << extra) - 1)
+
+
+def write_green(bits: BitWriter, green: np.ndarray, alpha: int) -> np.ndarray:
+    """One entropy-coded image whose red and blue are 0 and whose alpha is constant, as bits."""
+    found = matches(green)
+    literal = np.ones(len(green), bool)
+    for start, length, _ in found:
+        literal[start : start + length] = False
+    starts, lengths, fars = np.array(found, np.int64).reshape(-1, 3).T
+    l_code, l_extra, l_value = codes_of(lengths)
+    d_code, d_extra, d_value = codes_of(fars + 120)
+    if len(green) >= OWN_CODES:
+        counts = np.bincount(green[literal], minlength=280)
+        np.add.at(counts, 256 + l_code, 1)
+        one, two = PrefixCode(code_lengths(counts)), PrefixCode(code_lengths(np.bincount(d_code, minlength=40)))
+    else:
+        one, two = usual()
+    bits.write(0, 2)  # no colour cache, no meta prefix codes
+    head = [*as_bits(bits)]
+    for code, lone in ((one, None), (None, 0), (None, 0), (None, alpha), (two, None)):
+        head += code_bits(tuple(code.lengths.tolist())) if code else code_bits((0,) * lone + (1,))
+    code, size = one.arrays()
+    d_bits, d_size = two.arrays()
+    places = np.flatnonzero(literal)
+    first = size[256 + l_code]
+    second, third = first + l_extra, first + l_extra + d_size[d_code]
+    as_u = lambda x: x.astype(np.uint64)
+    copies = code[256 + l_code] | as_u(l_value) << as_u(first) | d_bits[d_code] << as_u(second) | as_u(d_value) << as_u(third)
+    order = np.argsort(np.concatenate([places, starts]), kind="stable")
+    values = np.concatenate([code[green[places]], copies])[order]
+    sizes = np.concatenate([size[green[places]], third + d_extra])[order]
+    return np.concatenate([np.array(head, np.uint8), pack(values, sizes)])
+
+
+@lru_cache(maxsize=64)
+def code_bits(lengths: tuple[int, ...]) -> tuple[int, ...]:
+    bits = BitWriter()
+    write_code(bits, list(lengths))
+    return tuple(as_bits(bits).tolist())
 
 
 def as_bits(writer: BitWriter) -> np.ndarray:
@@ -529,46 +689,83 @@ def as_bits(writer: BitWriter) -> np.ndarray:
     return np.concatenate([np.unpackbits(np.frombuffer(bytes(writer.out), np.uint8), bitorder="little"), np.array(tail, np.uint8)])
 
 
-def flat_header(width: int, height: int) -> np.ndarray:
-    bits = begin(width, height)
-    bits.write(0, 3)  # no transform, no colour cache, no meta prefix codes
-    return as_bits(bits)
+def cost(green: np.ndarray) -> float:
+    """Bits of the samples under a code of their own."""
+    counts = np.bincount(green, minlength=256)
+    counts = counts[counts > 0]
+    return float(-(counts * np.log2(counts / len(green))).sum())
 
 
-@lru_cache
-def flat_code_header(wide: int, size: int) -> np.ndarray:
-    """What stands before the membership bits of the 256 literals; without them if all belong."""
-    kinds = [0] * 19
-    kinds[wide] = 1
-    if wide < 8:
-        kinds[0] = 1
-    bits, n = BitWriter(), max(k for k, kind in enumerate(LENGTH_ORDER) if kinds[kind]) + 1
-    bits.write(0, 1)
-    bits.write(n - 4, 4)
-    for kind in LENGTH_ORDER[:n]:
-        bits.write(kinds[kind], 3)
-    if size == 256:
-        bits.write(0, 1)
-    else:  # the codes for lengths are left out
+def residuals(grid: np.ndarray, mode: int) -> np.ndarray:
+    """Samples less their left (mode 1) or upper (2) neighbours; edges as the format has them."""
+    out = grid.copy()
+    if mode == 1:
+        out[:, 1:] -= grid[:, :-1]
+        out[1:, 0] -= grid[:-1, 0]
+    else:
+        out[1:] -= grid[:-1]
+        out[0, 1:] -= grid[0, :-1]
+    return out
+
+
+def encode_samples(payload: np.ndarray) -> bytes:
+    """Samples (uint8) as the grey pixels of an image; the last row is filled up with zeros."""
+    width, height = shape(len(payload))
+    green = np.zeros(width * height, np.uint8)
+    green[: len(payload)] = payload
+    bits, used = begin(width, height), np.flatnonzero(np.bincount(green, minlength=256))
+    if len(used) <= 16:
+        rank = np.zeros(256, np.uint8)
+        rank[used] = np.arange(len(used))
+        bits.write(1, 1)
+        bits.write(PALETTE, 2)
+        write_palette(bits, 0xFF000000 | used.astype(np.uint32) * 0x010101)
+        index, width = pack_rows(rank[green], width, height, len(used))
+        green = index.astype(np.uint8)
+    else:
         bits.write(1, 1)
-        bits.write(3, 3)
-        bits.write(254, 8)
-    return as_bits(bits)
+        bits.write(CROSS_COLOUR, 2)
+        bits.write(7, 3)
+        # Green goes to red and blue as it is: 32 / 32 of it.
+        blocks = ((width + 511) >> 9) * ((height + 511) >> 9)
+        write_image(bits, [0xFF000000 | 32 << 8 | 32] * blocks, (width + 511) >> 9, False, False, 0)
+    grid, alpha = green.reshape(height, width), 255
+    plain = cost(green)
+    for mode in (1, 2):
+        less = residuals(grid, mode)
+        if cost(less.reshape(-1)) < 0.9 * plain - 200:
+            bits.write(1, 1)
+            bits.write(PREDICTOR, 2)
+            bits.write(7, 3)
+            blocks = ((width + 511) >> 9) * ((height + 511) >> 9)
+            write_image(bits, [0xFF000000 | mode << 8] * blocks, (width + 511) >> 9, False, False, 0)
+            green, alpha = less.reshape(-1), 0
+            break
+    bits.write(0, 1)
+    return container(np.packbits(write_green(bits, green, alpha), bitorder="little").tobytes())
 
 
 def samples(argb: np.ndarray) -> np.ndarray:
-    """ARGB words as the samples that ``encode_flat`` took."""
-    by = argb.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)
-    return np.ascontiguousarray(by[:, [1, 2, 0, 3]]).reshape(-1)
+    """The samples that ``encode_samples`` took."""
+    return (argb >> np.uint32(8)).astype(np.uint8)
 
 
-def no_distances() -> np.ndarray:
-    bits = BitWriter()
-    write_code(bits, [0] * 40)
-    return as_bits(bits)
+def write_palette(bits: BitWriter, table: np.ndarray) -> None:
+    bits.write(len(table) - 1, 8)
+    by = table.astype("<u4").view(np.uint8).reshape(-1, 4)
+    delta = np.diff(by, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)
+    write_image(bits, delta.view("<u4").reshape(-1).tolist(), len(table), False, False, 0)
 
 
-NO_DISTANCES = no_distances()
+def pack_rows(index: np.ndarray, width: int, height: int, colours: int) -> tuple[np.ndarray, int]:
+    """Palette indices, several to a pixel where there are few colours; and the new width."""
+    each = palette_pack(colours)
+    rows, inner = index.reshape(height, width), (width + (1 << each) - 1) >> each
+    if each:
+        depth = 8 >> each
+        rows = np.pad(rows, ((0, 0), (0, (inner << each) - width))).reshape(height, inner, 1 << each)
+        rows = (rows.astype(np.int64) << (np.arange(1 << each) * depth)).sum(axis=2)
+    return rows.reshape(-1), inner
 
 
 def write_image(bits: BitWriter, argb: list[int], width: int, top: bool, runs: bool, cache_bits: int) -> None:
@@ -638,17 +835,8 @@ def encode(argb: np.ndarray, width: int, height: int, transforms=(), runs: bool
             table, index = np.unique(full, return_inverse=True)
             if len(table) > 256:
                 raise ValueError("more than 256 colours")
-            bits.write(len(table) - 1, 8)
-            by = table.astype("<u4").view(np.uint8).reshape(-1, 4)
-            delta = np.diff(by, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)
-            write_image(bits, delta.view("<u4").reshape(-1).tolist(), len(table), False, False, 0)
-            pack = palette_pack(len(table))
-            rows = index.reshape(height, inner)
-            inner = (inner + (1 << pack) - 1) >> pack
-            if pack:
-                depth = 8 >> pack
-                rows = np.pad(rows, ((0, 0), (0, (inner << pack) - rows.shape[1]))).reshape(height, inner, 1 << pack)
-                rows = (rows << (np.arange(1 << pack) * depth)).sum(axis=2)
+            write_palette(bits, table)
+            rows, inner = pack_rows(index, inner, height, len(table))
             full = (rows.reshape(-1).astype(np.uint32) << 8) | 0xFF000000
         else:
             b = 2

@@ -32,16 +32,62 @@ def test_webp_palette(colours):
         assert np.array_equal(webp.decode(webp.encode(argb, 23, 9, transforms, cache_bits=3))[2], argb)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.binary(min_size=1, max_size=3000), st.integers(1, 256))
-def test_webp_flat_round_trip(data, alphabet):
-    payload = (np.frombuffer(data.ljust(-(-len(data) // 64) * 64, b"\0"), np.uint8).astype(int) % alphabet).astype(np.uint8)
-    file = webp.encode_flat(payload)
+@settings(max_examples=120, deadline=None)
+@given(st.binary(min_size=1, max_size=3000), st.integers(1, 256), st.integers(1, 6))
+def test_webp_samples_round_trip(data, alphabet, times):
+    data = (data * times).ljust(-(-len(data * times) // 64) * 64, b"\0")
+    payload = (np.frombuffer(data, np.uint8).astype(int) % alphabet).astype(np.uint8)
+    file = webp.encode_samples(payload)
     assert np.array_equal(webp.samples(webp.decode(file)[2])[: len(payload)], payload)
-    with pytest.raises(ValueError):
+    with pytest.raises((ValueError, IndexError)):
         webp.decode(file[: len(file) // 2])
 
 
+def test_webp_samples_of_many_shapes():
+    rng = np.random.default_rng(8)
+    ramp = np.cumsum(rng.integers(0, 3, 40_000)).astype(np.uint8)
+    texts = [b"", b"a" * 50_000, b"ab" * 9000, "é日本".encode() * 5000, bytes(range(256)) * 300, ramp.tobytes(), np.repeat(ramp[:4000], 16).tobytes(), rng.bytes(70_000), b"the quick brown fox " * 20_000 + rng.bytes(300)]
+    texts += [rng.bytes(300_000), b"x" * 5000 + rng.bytes(9000) + b"x" * 5000 + rng.bytes(9000)]
+    kinds = set()
+    for text in texts:
+        payload = np.frombuffer(text.ljust(max(64, -(-len(text) // 64) * 64), b"\0"), np.uint8)
+        file = webp.encode_samples(payload)
+        width, height, argb = webp.decode(file)
+        assert np.array_equal(webp.samples(argb)[: len(payload)], payload)
+        assert np.array_equal(argb, 0xFF000000 | webp.samples(argb).astype(np.uint32) * 0x010101)  # grey
+        bits = webp.BitReader(file, 25)
+        bits.read(1)
+        kinds.add(bits.read(2))
+    assert kinds == {webp.PALETTE, webp.CROSS_COLOUR}
+
+
+def test_webp_meta_prefix_codes():
+    """A file made by hand: two groups of codes, chosen by tiles of 4 by 4."""
+    bits = webp.begin(8, 4)
+    bits.write(0, 2)  # no transform, no colour cache
+    bits.write(1, 1)  # meta prefix codes
+    bits.write(0, 3)  # tiles of 4
+    webp.write_image(bits, [0xFF000000, 0xFF000100], 2, False, False, 0)  # group 0 left, 1 right
+    groups = []
+    for greens in ((10, 20), (30, 40, 50, 60)):
+        lengths = [0] * 280
+        for g in greens:
+            lengths[g] = 1 if len(greens) == 2 else 2
+        group = [webp.write_code(bits, lengths)]
+        for value in (0, 0, 255):
+            group.append(webp.write_code(bits, [int(s == value) for s in range(256)]))
+        webp.write_code(bits, [0] * 40)
+        groups.append((greens, group[0]))
+    want = []
+    for y in range(4):
+        for x in range(8):
+            greens, code = groups[x // 4]
+            g = greens[(x * 3 + y) % len(greens)]
+            code.write(bits, g)
+            want.append(0xFF000000 | g << 8)
+    assert webp.decode(webp.container(bits.done()))[2].tolist() == want
+
+
 def test_bpe_equals_the_library():
     import tiktoken
 
