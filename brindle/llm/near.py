@@ -13,7 +13,9 @@ and a half standard deviations above 0.8, and what is left is decided on the wor
    first of its common bands only, decided on the spot, and only if no earlier pair of the
    part has joined its components; a part gives at most as many links as it has components.
 
-Both go by joins and bounded lists, so a bucket may hold any share of the rows.
+Both go by joins and bounded lists, so a bucket may hold any share of the rows.  Texts travel
+compressed, those of bucket members alone, and never by broadcast: how many there are grows
+with the data.
 
 Defined results: words are as in op9 (A-Z lowered, ASCII blanks); fewer words than a shingle
 make one shingle of all; texts without words are copies of each other; a component's id is its
@@ -41,13 +43,19 @@ FACTOR = _random.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: str | None) -> set[bytes]:
-    words = utf8(text).lower().split()
+def shingles(text: str | bytes | None) -> set[bytes]:
+    words = (text if isinstance(text, bytes) else utf8(text)).lower().split()
     if len(words) < SHINGLE:
         return {b" ".join(words)}
     return set(map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)))))
 
 
+def unpacked(packed: bytes) -> set[bytes]:
+    from zstandard import ZstdDecompressor
+
+    return shingles(ZstdDecompressor().decompress(packed))
+
+
 def jaccard(a: set[bytes], b: set[bytes]) -> float:
     both = len(a & b)
     return both / (len(a) + len(b) - both)
@@ -79,15 +87,17 @@ def sketch(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, text, keys, sim, n) of each row."""
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("text", pa.string()), ("keys", pa.list_(pa.int64())), ("sim", pa.binary()), ("n", pa.int32())])
+    """(id, fp, packed, keys, sim, n) of each row; packed is the text, compressed."""
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("packed", pa.binary()), ("keys", pa.list_(pa.int64())), ("sim", pa.binary()), ("n", pa.int32())])
 
     def fn(c):
-        found = [sketch(t) for t in c["text"]]
-        return {"id": c["id"], "fp": [print_of(t) for t in c["text"]], "text": c["text"], "keys": [k for k, _, _ in found], "sim": [s.tobytes() for _, s, _ in found], "n": [n for _, _, n in found]}
+        from zstandard import ZstdCompressor
+
+        found, pack = [sketch(t) for t in c["text"]], ZstdCompressor(level=3).compress
+        return {"id": c["id"], "fp": [print_of(t) for t in c["text"]], "packed": [pack(utf8(t)) for t in c["text"]], "keys": [k for k, _, _ in found], "sim": [s.tobytes() for _, s, _ in found], "n": [n for _, _, n in found]}
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(lambda it: batches(it, fn, schema), "id long, fp long, text string, keys array<long>, sim binary, n int")
+    return src.mapInArrow(lambda it: batches(it, fn, schema), "id long, fp long, packed binary, keys array<long>, sim binary, n int")
 
 
 def words_of(sims) -> np.ndarray:
@@ -128,7 +138,7 @@ def against_first(pairs: DataFrame) -> DataFrame:
 
 
 def across(lists: DataFrame) -> DataFrame:
-    """Links of each list (band, members array<struct<fp, sim, keys, n, text, label, side>>) that join
+    """Links of each list (band, members array<struct<fp, sim, keys, n, packed, label, side>>) that join
     its components, where one member at least is outside of the largest one (side 1)."""
 
     def rows(it):
@@ -136,7 +146,7 @@ def across(lists: DataFrame) -> DataFrame:
             for at in range(batch.num_rows):
                 band, own = batch.column(0)[at].as_py(), pa.array(batch.column(1).slice(at, 1)).flatten()
                 fps, labels, sides, n = (own.field(c).to_numpy() for c in ("fp", "label", "side", "n"))
-                sims, texts = words_of(own.field("sim").to_pylist()), own.field("text")
+                sims, texts = words_of(own.field("sim").to_pylist()), own.field("packed")
                 keys = own.field("keys").flatten().to_numpy().reshape(-1, BANDS)
                 planes, used = simhash.planes_of(sims, np.arange(len(fps)), -(-len(fps) // 64))
                 up, sets, found = {int(x): int(x) for x in labels}, {}, []
@@ -148,7 +158,7 @@ def across(lists: DataFrame) -> DataFrame:
 
                 def words(k):
                     if k not in sets:
-                        sets[k] = shingles(texts[k].as_py())
+                        sets[k] = unpacked(texts[k].as_py())
                     return sets[k]
 
                 asked = np.flatnonzero(sides == 1)  # the largest component's members are queried only by the others
@@ -173,31 +183,22 @@ def across(lists: DataFrame) -> DataFrame:
     return lists.select("band", "members").mapInArrow(rows, "a long, b long")
 
 
-def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingles are similar, decided on the texts."""
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingles are similar, decided on the texts (fp, packed)."""
     last: list = [None, None]
 
     def similar(a, x, y):
         if last[0] != a:
-            last[:] = a, shingles(x)
-        return jaccard(last[1], shingles(y)) >= SIMILAR
+            last[:] = a, unpacked(x)
+        return jaccard(last[1], unpacked(y)) >= SIMILAR
 
     def fn(c):
         hit = [similar(*row) for row in zip(c["a"], c["x"], c["y"])]
         return {n: [v for v, h in zip(c[n], hit) if h] for n in ("a", "b")}
 
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    texts = texts_of(nodes, prints)
-    x, y = texts.select(F.col("fp").alias("p"), F.col("text").alias("x")), texts.select(F.col("fp").alias("q"), F.col("text").alias("y"))
-    both = pairs.join(y, F.col("b") == F.col("q")).join(x, F.col("a") == F.col("p")).select("a", "b", "x", "y")
-    out = cut(both.mapInArrow(lambda it: batches(it, fn, PAIRS), "a long, b long"), "similar")
-    drop(texts)
-    return out
-
-
-def texts_of(nodes: DataFrame, prints: DataFrame) -> DataFrame:
-    """(fp, text): one text for each key in ``nodes`` (node), written."""
-    return cut(prints.join(nodes.distinct(), F.col("fp") == F.col("node"), "left_semi").select("fp", "text").dropDuplicates(["fp"]), "texts")
+    x, y = texts.select(F.col("fp").alias("p"), F.col("packed").alias("x")), texts.select(F.col("fp").alias("q"), F.col("packed").alias("y"))
+    both = pairs.join(y.hint("merge"), F.col("b") == F.col("q")).join(x.hint("merge"), F.col("a") == F.col("p")).select("a", "b", "x", "y")
+    return cut(both.mapInArrow(lambda it: batches(it, fn, PAIRS), "a long, b long"), "similar")
 
 
 def share(n, size):
@@ -237,23 +238,25 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     y = one.select(F.col("fp").alias("q"), F.col("sim").alias("y"), F.col("n").alias("ny"))
     near = first.join(y, F.col("b") == F.col("q")).join(x, F.col("a") == F.col("p")).withColumn("n", F.least("nx", "ny"))
     near = cut(against_first(near), "near")
-    links = verified(near, prints)
+    nodes = members.select(F.col("fp").alias("node")).distinct()
+    texts = cut(prints.join(nodes.hint("merge"), F.col("fp") == F.col("node"), "left_semi").select("fp", "packed").dropDuplicates(["fp"]), "texts")
+    links = verified(near, texts)
     labels = simhash.connect(links.select(F.col("b").alias("node"), F.col("a").alias("root")))
     named = members.join(labels, F.col("fp") == labels["node"], "left").select("bucket", "band", "fp", "n", F.coalesce("root", "fp").alias("label"))
     named = cut(named, "named")
     met = cut(parts(named), "parts")
     drop(sizes, members, first, near, named)
-    known = texts_of(met.select(F.col("fp").alias("node")), prints).select(F.col("fp").alias("q"), "text")
+    known = texts.select(F.col("fp").alias("q"), "packed").hint("merge")
     packed = one.select(F.col("fp").alias("p"), "sim", "keys", "n")
     met = met.join(packed, F.col("fp") == F.col("p")).join(known, F.col("fp") == F.col("q"))
-    lists = met.groupBy("bucket", "part", "band").agg(F.collect_list(F.struct("fp", "sim", "keys", "n", "text", "label", "side")).alias("members"))
+    lists = met.groupBy("bucket", "part", "band").agg(F.collect_list(F.struct("fp", "sim", "keys", "n", "packed", "label", "side")).alias("members"))
     rest = cut(across(lists), "rest")
     if not rest.isEmpty():
         links = links.unionByName(rest)
         labels = simhash.connect(links.select(F.col("b").alias("node"), F.col("a").alias("root")))
     ids = prints.select("id", "fp").join(labels, F.col("fp") == F.col("node"), "left").select("id", "fp", F.coalesce("root", "fp").alias("root"))
     ids = cut(ids, "ids")
-    drop(prints, one)
+    drop(prints, one, texts)
     least = cut(ids.groupBy("root").agg(F.min("id").alias("component_id")), "least")
     out = ids.join(least, "root").select(F.col("id").alias(id_col), "fp", "root", "component_id")
     out.cut_needs = (ids, least)

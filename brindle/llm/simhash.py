@@ -289,7 +289,8 @@ def keep_first(docs: DataFrame, classes: DataFrame, print_of, id_col: str, text_
     per_id = found.groupBy(key).agg(F.count("*").alias("n"), F.max(F.col(key) != F.col("component_id")).alias("out"))
     per_id = cut(per_id.where(f"n > 1 OR out OR {key} IS NULL").select(key, "n"), "out")
     same = F.col(id_col).cast("long").eqNullSafe(F.col(key))
-    single = docs.join(per_id.select(key), same, "left_anti")
+    # How many ids go grows with the data, so they are not broadcast.
+    single = docs.join(per_id.select(key).hint("merge"), same, "left_anti")
     many = per_id.where(f"n > 1 OR {key} IS NULL")
     if many.isEmpty():
         return single
