@@ -34,6 +34,8 @@ SHORT_DISTANCES = (
     (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 MAX_SIDE = 16384
+#: Bits of the table that gives several literals at once, and pixels from which it is made.
+RUN_BITS, RUN_PIXELS = 14, 256
 CACHE_MULTIPLIER = 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 
@@ -92,7 +94,7 @@ class PrefixCode:
         self.lengths = np.asarray(lengths, np.uint8)
         self.used = np.flatnonzero(self.lengths)
         self.only = int(self.used[0]) if len(self.used) == 1 else None if len(self.used) else 0
-        self.width, self.table, self.codes, self._lists = 0, None, {}, None
+        self.width, self.table, self.codes, self._lists, self._runs, self._arrays = 0, None, {}, None, None, None
 
     def build(self) -> None:
         lengths = self.lengths.tolist()
@@ -136,14 +138,34 @@ class PrefixCode:
                 self._lists = len(self.table) - 1, [s for s, _ in self.table], [n for _, n in self.table]
         return self._lists
 
+    def runs(self) -> tuple[list[bytes], list[int]]:
+        """By the next RUN_BITS bits: up to three literals whose codes end in them, and the bits they take."""
+        if self._runs is None:
+            mask, symbols, sizes = self.lists()
+            symbols, sizes = np.array(symbols), np.array(sizes)
+            window, literals = np.arange(1 << RUN_BITS), np.zeros((1 << RUN_BITS, 3), np.uint8)
+            used, count, going = np.zeros(1 << RUN_BITS, np.int64), np.zeros(1 << RUN_BITS, np.int64), np.ones(1 << RUN_BITS, bool)
+            for k in range(3):
+                at = (window >> used) & mask
+                going &= (symbols[at] < 256) & (used + sizes[at] <= RUN_BITS)
+                literals[going, k] = symbols[at[going]]
+                used += sizes[at] * going
+                count += going
+            blob = literals.tobytes()
+            self._runs = [blob[3 * k : 3 * k + c] for k, c in enumerate(count.tolist())], used.tolist()
+        return self._runs
+
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
         """(code, size) of each symbol."""
+        if self._arrays is not None:
+            return self._arrays
         code, size = np.zeros(len(self.lengths), np.uint64), np.zeros(len(self.lengths), np.int64)
         if self.only is None:
             if self.table is None:
                 self.build()
             for s, (c, n) in self.codes.items():
                 code[s], size[s] = c, n
+        self._arrays = code, size
         return code, size
 
 
@@ -233,7 +255,7 @@ def far_of(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
-def read_green(bits: BitReader, group, width: int, n: int) -> np.ndarray:
+def read_green(bits: BitReader, group, width: int, n: int, top: bool) -> np.ndarray:
     """Pixels whose red, blue and alpha are constant."""
     padded = np.zeros(len(bits.data) + 4, np.uint32)
     padded[:-4] = np.frombuffer(bits.data, np.uint8)
@@ -241,7 +263,16 @@ def read_green(bits: BitReader, group, width: int, n: int) -> np.ndarray:
     mask, symbols, sizes = group[0].lists()
     d_mask, d_symbols, d_sizes = group[4].lists()
     out, p, end = bytearray(), bits.at, bits.end
+    some, taken, stop, run_mask = [], [], -1, (1 << RUN_BITS) - 1
+    if top and n >= RUN_PIXELS:
+        (some, taken), stop = group[0].runs(), end - RUN_BITS
     while len(out) < n and p <= end:
+        # Nothing follows the top image, so what runs past its last pixel does no harm.
+        while p <= stop and (run := some[code := words[p >> 3] >> (p & 7) & run_mask]):
+            out += run
+            p += taken[code]
+        if len(out) >= n:
+            break
         code = words[p >> 3] >> (p & 7) & mask
         p += sizes[code]
         symbol = symbols[code]
@@ -270,9 +301,10 @@ def read_green(bits: BitReader, group, width: int, n: int) -> np.ndarray:
             out += out[at - far : at - far + length]
         else:
             out += (out[at - far :] * (length // far + 1))[:length]
-    if p > end or len(out) < n:
+    if len(out) < n or p > end:
         raise ValueError("truncated image data")
     bits.at = p
+    del out[n:]
     rest = group[3].only << 24 | group[1].only << 16 | group[2].only
     return np.frombuffer(out, np.uint8).astype(np.uint32) << np.uint32(8) | np.uint32(rest)
 
@@ -292,7 +324,7 @@ def read_pixels(bits: BitReader, width: int, height: int, top: bool) -> np.ndarr
     codes = [[read_code(bits, n) for n in (280 + cached, 256, 256, 256, 40)] for _ in range(groups)]
     n = width * height
     if meta is None and not cached and all(c.only is not None for c in codes[0][1:4]):
-        return read_green(bits, codes[0], width, n)
+        return read_green(bits, codes[0], width, n, top)
     out, cache, at, seen = [0] * n, [0] * cached, 0, 0
     group = codes[0]
     while at < n:
@@ -405,8 +437,11 @@ def undo_predictor(argb, width, height, modes, size_bits) -> np.ndarray:
 def colour_shift(argb, width, height, blocks, size_bits, sign: int) -> np.ndarray:
     """Apply (sign 1) or undo (-1 of the writer's view) the cross-colour transform."""
     across = (width + (1 << size_bits) - 1) >> size_bits
-    y, x = np.divmod(np.arange(width * height), width)
-    b = blocks[(y >> size_bits) * across + (x >> size_bits)]
+    if (blocks == blocks[0]).all():
+        b = blocks[:1]
+    else:
+        y, x = np.divmod(np.arange(width * height), width)
+        b = blocks[(y >> size_bits) * across + (x >> size_bits)]
     signed = lambda v: (v & 255).astype(np.uint8).view(np.int8).astype(np.int32)
     green, red, blue = (signed(argb >> s) for s in (8, 16, 0))
     to_red, to_blue, red_to_blue = signed(b), signed(b >> 8), signed(b >> 16)
@@ -572,7 +607,7 @@ def shape(n: int) -> tuple[int, int]:
 
 #: A match has so many bytes at least, and lies so far back at most; samples from which an image
 #: gets codes of its own.
-MATCH, WINDOW, OWN_CODES = 6, (1 << 20) - 120, 8192
+MATCH, WINDOW, OWN_CODES = 8, (1 << 20) - 120, 32768
 
 
 def matches(green: np.ndarray) -> list[tuple[int, int, int]]:
@@ -583,7 +618,12 @@ def matches(green: np.ndarray) -> list[tuple[int, int, int]]:
     keys = np.zeros(n, np.uint64)
     for k in range(MATCH):
         keys |= green[k : k + n].astype(np.uint64) << np.uint64(8 * k)
-    order = np.argsort(keys, kind="stable")
+    if n <= 1 << 20:  # a digest of the bytes and the place in one number: sorting these is stable
+        low = np.uint64((1 << 20) - 1)
+        mixed = keys * np.uint64(0x9E3779B97F4A7C15) & ~low | np.arange(n, dtype=np.uint64)
+        order = (np.sort(mixed) & low).astype(np.int64)
+    else:
+        order = np.argsort(keys, kind="stable")
     same = keys[order[1:]] == keys[order[:-1]]
     back = np.zeros(n + 1, np.int64)
     back[order[1:][same]] = (order[1:] - order[:-1])[same]
@@ -599,7 +639,10 @@ def matches(green: np.ndarray) -> list[tuple[int, int, int]]:
             if start + length < at + MATCH:
                 continue
             length, start = length - (at - start), at  # the run goes on past what is taken
-        out += [(start + k, min(4096, length - k), far) for k in range(0, length, 4096)]
+        if length <= 4096:
+            out.append((start, length, far))
+        else:
+            out += [(start + k, min(4096, length - k), far) for k in range(0, length, 4096)]
         at = start + length
     return out
 
@@ -661,9 +704,7 @@ def write_green(bits: BitWriter, green: np.ndarray, alpha: int) -> np.ndarray:
     else:
         one, two = usual()
     bits.write(0, 2)  # no colour cache, no meta prefix codes
-    head = [*as_bits(bits)]
-    for code, lone in ((one, None), (None, 0), (None, 0), (None, alpha), (two, None)):
-        head += code_bits(tuple(code.lengths.tolist())) if code else code_bits((0,) * lone + (1,))
+    head = [as_bits(bits), code_bits(one.lengths.tobytes()), code_bits(lone(0)), code_bits(lone(0)), code_bits(lone(alpha)), code_bits(two.lengths.tobytes())]
     code, size = one.arrays()
     d_bits, d_size = two.arrays()
     places = np.flatnonzero(literal)
@@ -674,14 +715,28 @@ def write_green(bits: BitWriter, green: np.ndarray, alpha: int) -> np.ndarray:
     order = np.argsort(np.concatenate([places, starts]), kind="stable")
     values = np.concatenate([code[green[places]], copies])[order]
     sizes = np.concatenate([size[green[places]], third + d_extra])[order]
-    return np.concatenate([np.array(head, np.uint8), pack(values, sizes)])
+    return np.concatenate([*head, pack(values, sizes)])
+
+
+def lone(symbol: int) -> bytes:
+    """The code lengths of an alphabet of which one symbol is used."""
+    return bytes(symbol) + b"\1"
 
 
 @lru_cache(maxsize=64)
-def code_bits(lengths: tuple[int, ...]) -> tuple[int, ...]:
+def code_bits(lengths: bytes) -> np.ndarray:
     bits = BitWriter()
     write_code(bits, list(lengths))
-    return tuple(as_bits(bits).tolist())
+    return as_bits(bits)
+
+
+@lru_cache(maxsize=64)
+def plain_image(argb: int) -> tuple[int, int]:
+    """An entropy-coded image of one colour, of any size, as (bits, their number)."""
+    bits = BitWriter()
+    write_image(bits, [argb], 1, False, False, 0)
+    found = as_bits(bits)
+    return int("".join(map(str, found[::-1].tolist())), 2), len(found)
 
 
 def as_bits(writer: BitWriter) -> np.ndarray:
@@ -727,8 +782,7 @@ def encode_samples(payload: np.ndarray) -> bytes:
         bits.write(CROSS_COLOUR, 2)
         bits.write(7, 3)
         # Green goes to red and blue as it is: 32 / 32 of it.
-        blocks = ((width + 511) >> 9) * ((height + 511) >> 9)
-        write_image(bits, [0xFF000000 | 32 << 8 | 32] * blocks, (width + 511) >> 9, False, False, 0)
+        bits.write(*plain_image(0xFF000000 | 32 << 8 | 32))
     grid, alpha = green.reshape(height, width), 255
     plain = cost(green)
     for mode in (1, 2):
@@ -737,8 +791,7 @@ def encode_samples(payload: np.ndarray) -> bytes:
             bits.write(1, 1)
             bits.write(PREDICTOR, 2)
             bits.write(7, 3)
-            blocks = ((width + 511) >> 9) * ((height + 511) >> 9)
-            write_image(bits, [0xFF000000 | mode << 8] * blocks, (width + 511) >> 9, False, False, 0)
+            bits.write(*plain_image(0xFF000000 | mode << 8))
             green, alpha = less.reshape(-1), 0
             break
     bits.write(0, 1)
