@@ -24,9 +24,10 @@ def session_filter(value: str) -> str:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("brindle")
     p.add_argument("--store", default="brindle-store")
+    p.add_argument("--config", default=os.path.join(os.path.expanduser("~"), ".config", "brindle", "config.toml"))
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("index")
-    c.add_argument("roots", nargs="+", help="folder:format:source")
+    c.add_argument("roots", nargs="+", help="folder:format:source; format typed, headed (typed, with a session header) or enveloped")
     c.add_argument("--fresh", action="store_true")
     c = sub.add_parser("index-file")
     c.add_argument("path")
@@ -61,14 +62,17 @@ def rules(roots: list[str]) -> list[files.Rule]:
     out = []
     for text in roots:
         root, kind, source = text.rsplit(":", 2)
-        out += [files.Rule(root, kind, source, suffix) for suffix in (".jsonl", ".jsonl.zst")]
+        out += [files.Rule(root, "typed" if kind == "headed" else kind, source, suffix, kind == "headed") for suffix in (".jsonl", ".jsonl.zst")]
     return out
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("brindle").getOrCreate()
-    profile = config.resolve(config.Config(), os.environ.get)
+    own = config.load(a.config)
+    profile = config.resolve(own, os.environ.get)
+    if profile.backend != "hashing" and a.command in ("index", "index-file", "search", "enrich"):
+        raise SystemExit(f"backend {profile.backend} needs an embedding client; only hashing is built in")
     make = lambda size=profile.vector_size: HashingEmbedder(size)
     if a.command == "index":
         found = files.discover(rules(a.roots))
@@ -78,7 +82,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"indexed {history_index.index_file(spark, a.path, a.store, make)} new chunks")
     elif a.command == "search":
         kind = {"prompts": "prompt", "answers": "answer", None: None}[a.type]
-        rows = history_index.search(spark, a.store, profile.format_query(a.query), make(), a.limit, a.session, kind)
+        rows = history_index.search(spark, a.store, profile.format_query(a.query), make(), a.limit, a.session, kind, enabled=own.search_enabled)
         print("\n".join(r["line"] for r in present.ndjson(rows).collect()) if a.json else present.results_listing(rows.collect()))
     elif a.command == "stats":
         print(f"points: {history_index.stats(spark, a.store)}")

@@ -70,6 +70,15 @@ def parse(raw: str) -> Config:
         return Config(enabled, None, str(e))
 
 
+def load(path: str) -> Config:
+    """The profile of a file; a missing or unreadable one counts as absent."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return parse(f.read())
+    except (OSError, UnicodeDecodeError):
+        return Config()
+
+
 def resolve(config: Config, get: Callable[[str], str | None]) -> Embedding:
     """The profile in force; ``get`` reads one environment variable."""
     if config.embedding_error:

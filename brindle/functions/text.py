@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 # Fixed values of the score.
 HEADING_WEIGHT, PATH_WEIGHT, BODY_WEIGHT, TERM_CAP, SCALE, PHRASE_BONUS = 600, 400, 100, 3, 100, 1000
-HEADING = r"^\s*(#{1,6})(?!#)(.*)$"
+HEADING = r"(?sU)^\s*(#{1,6})(?!#)(.*)\z"
 
 
 def trim(x: Column) -> Column:
@@ -61,7 +61,10 @@ def tokens(x: Column) -> Column:
 
 
 def python_tokens(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+", text.lower())
+    """``tokens`` on the driver, by the same classes, combining vowel signs included."""
+    import regex
+
+    return regex.findall(r"[\p{Alphabetic}\p{N}]+", text.lower())
 
 
 def query_terms(query: str) -> list[str]:
@@ -98,10 +101,14 @@ def escape_tsv(x: Column) -> Column:
 def unescape_tsv(x: Column) -> Column:
     """The inverse; an unknown or dangling escape raises."""
     bad = F.regexp_replace(x, r"\\[\\tnr]", "").contains("\\")
-    hold = F.replace(x, F.lit("\\\\"), F.lit("\x00"))
-    for a, b in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
-        hold = F.replace(hold, F.lit(a), F.lit(b))
-    good = F.replace(hold, F.lit("\x00"), F.lit("\\"))
+
+    def plain(part: Column) -> Column:
+        for a, b in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
+            part = F.replace(part, F.lit(a), F.lit(b))
+        return part
+
+    # From the left, two backslashes are always one escape, so what is between holds the others.
+    good = F.array_join(F.transform(F.split(x, r"\\\\", -1), plain), "\\")
     return F.when(bad, F.raise_error(F.lit("invalid TSV escape")).cast("string")).otherwise(good)
 
 

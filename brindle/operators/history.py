@@ -21,8 +21,12 @@ def identified(streamed: DataFrame) -> DataFrame:
 
 
 def first_of_each(chunked: DataFrame) -> DataFrame:
-    """The first chunk of each identity: prompts before answers, paths by component, then position."""
-    order = W.partitionBy("history_hash").orderBy(F.col("type").desc(), F.split("path", "/"), "chunk_idx")
+    """The first chunk of each identity: prompts before answers, paths by component, then position.
+
+    Where there is a ``full_path`` it decides, since shown paths are relative to their roots.
+    """
+    path = "full_path" if "full_path" in chunked.columns else "path"
+    order = W.partitionBy("history_hash").orderBy(F.col("type").desc(), F.split(path, "/"), "chunk_idx")
     return chunked.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 

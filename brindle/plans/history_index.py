@@ -1,12 +1,15 @@
 """The history store: discover, extract, chunk, skip what is known, embed, append, search.
 
-The store is a Parquet table split by type, beside a JSON file that fixes the vector size.
+The store is a Parquet table split by type, beside a JSON file that fixes the vector size.  It
+lies in a folder of this machine's file system (shared or not); one run at a time changes it.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import shutil
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,12 +18,15 @@ from ..embed import Embedder, embedded
 from ..functions import text as T
 from ..operators import history, vector
 from ..sources import files, transcripts
+from .kb_index import locked, swap
 
 COLUMNS = "point_id string, embedding array<float>, text string, type string, source string, path string, session_id string, history_hash string"
 
 
 def ensure(store: str, size: int) -> None:
     """Fix the vector size of a new store; a store of another size raises and stays as it is."""
+    if "://" in store:
+        raise ValueError(f"a store is a local or mounted folder, not {store}")
     meta = os.path.join(store, "_store.json")
     if os.path.exists(meta):
         with open(meta) as f:
@@ -41,13 +47,16 @@ def points(spark: SparkSession, store: str) -> DataFrame:
 
 
 def extracted(spark: SparkSession, found: list[files.IndexFile], bases: dict[str, str] | None = None) -> DataFrame:
-    """(type, source, path, session_id, text): the stream of each file and type."""
+    """(type, source, path, full_path, session_id, text): the stream of each file and type."""
     if not found:
-        return spark.createDataFrame([], "type string, source string, path string, session_id string, text string")
+        return spark.createDataFrame([], "type string, source string, path string, full_path string, session_id string, text string")
     lines = transcripts.read_lines(spark, [f.path for f in found])
     info = spark.createDataFrame([(f.path, f.format, f.source) for f in found], "path string, format string, source string")
-    # The listing is made on the driver and so has a bounded size.
-    lines = lines.join(F.broadcast(info), "path")
+    if headed := [f.path for f in found if f.header]:
+        needed = spark.createDataFrame([(p,) for p in headed], "path string")
+        opened = transcripts.with_session_header(lines.join(needed, "path", "left_semi"), "path")
+        lines = lines.join(needed.join(opened, "path", "left_anti"), "path", "left_anti")
+    lines = lines.join(info, "path")  # the listing grows with the corpus
     typed, env = lines.where("format = 'typed'"), lines.where("format = 'enveloped'")
     keys = ("path", "source")
     prompts = transcripts.typed_prompts(typed, *keys).unionByName(transcripts.enveloped_messages(env, "user", *keys))
@@ -59,24 +68,35 @@ def extracted(spark: SparkSession, found: list[files.IndexFile], bases: dict[str
     for root in sorted((bases or {}).values(), key=len, reverse=True):
         prefix = os.path.abspath(root).rstrip("/") + "/"
         short = F.coalesce(short, F.when(F.startswith("path", F.lit(prefix)), F.substring(F.col("path"), len(prefix) + 1, 1 << 30)))
-    return out.select("type", "source", F.coalesce(short, F.col("path")).alias("path"), T.session_id(F.col("path")).alias("session_id"), "text")
+    return out.select("type", "source", F.coalesce(short, F.col("path")).alias("path"), F.col("path").alias("full_path"), T.session_id(F.col("path")).alias("session_id"), "text")
 
 
 def index(spark: SparkSession, found: list[files.IndexFile], store: str, make: Callable[[], Embedder], fresh: bool = False, bases: dict[str, str] | None = None) -> int:
-    """Append what the store does not have; returns how many points.  ``fresh`` starts over."""
+    """Add what the store does not have; returns how many points were written.
+
+    ``fresh`` ignores what is stored: every point is embedded again and replaces the one of
+    its id; points of other files stay.
+    """
     ensure(store, make().size)
-    chunked = history.identified(extracted(spark, found, bases)).withColumnRenamed("chunk", "text")
-    old = points(spark, store)
-    new = history.first_of_each(chunked) if fresh else history.unseen(chunked, old)
-    rows = embedded(new, make).select("point_id", "embedding", "text", "type", "source", "path", "session_id", "history_hash")
-    rows = rows.persist()
-    n = rows.count()
     path = os.path.join(store, "points")
-    if fresh or not os.path.isdir(path):
-        rows.write.mode("overwrite").partitionBy("type").parquet(path)
-    elif n:
-        rows.write.mode("append").partitionBy("type").parquet(path)
-    rows.unpersist()
+    with locked(store):
+        chunked = history.identified(extracted(spark, found, bases)).withColumnRenamed("chunk", "text")
+        old = points(spark, store)
+        new = history.first_of_each(chunked) if fresh else history.unseen(chunked, old)
+        rows = embedded(new, make).select("point_id", "embedding", "text", "type", "source", "path", "session_id", "history_hash")
+        stage = os.path.join(store, f".stage-{uuid.uuid4().hex}")
+        try:
+            rows.write.partitionBy("type").parquet(os.path.join(stage, "new"))
+            rows = spark.read.schema(COLUMNS).parquet(os.path.join(stage, "new"))
+            n = rows.count()
+            if not fresh and n and os.path.isdir(path):
+                rows.write.mode("append").partitionBy("type").parquet(path)
+            elif n:
+                kept = old.join(rows.select("point_id"), "point_id", "left_anti").select(*rows.columns)
+                kept.unionByName(rows).write.partitionBy("type").parquet(os.path.join(stage, "points"))
+                swap(os.path.join(stage, "points"), path)
+        finally:
+            shutil.rmtree(stage, ignore_errors=True)
     return n
 
 

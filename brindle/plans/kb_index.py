@@ -13,6 +13,8 @@ import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import python_tokens
@@ -142,7 +144,7 @@ def context(spark: SparkSession, root: str, index: str, query: str, limit: int =
             if warning is None:
                 found = with_text(spark, root, found)
             return sorted(found.collect(), key=lambda r: (-r["score"], r["path"], r["heading"], r["node_id"])), warning
-    except OSError as e:
+    except (OSError, PySparkException, Py4JError) as e:
         return [], f"KB PageIndex unavailable: {first_line(e)}"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import views as V
 from .functions import chunking, text as T
 from .operators import history, kb, present, transcript, vector
-from .sources import transcripts
+from .sources import transcripts, tsv
 
 QUERIES, SQL = {}, {}
 KB_QUERY, PHRASE_QUERY, ARCHIVE_QUERY, TRANSCRIPT_QUERY = "thatin ononst inoran", "of the", "src5 archive", "thtion thing user ering"
@@ -308,9 +308,9 @@ def kb_manifest_staleness(spark, d):
 @register("tsv_roundtrip", SECTIONS + " SELECT path, line_start, line_end, heading_path, text FROM sections")
 def tsv_roundtrip(spark, d):
     rows = kb.sections(V.md_lines(spark, d))
-    line = F.concat_ws("\t", *[T.escape_tsv(F.col(c).cast("string")) for c in rows.columns])
-    parts = F.split(line, "\t", -1)
-    return rows.select(*[T.unescape_tsv(parts[k]).cast(t).alias(c) for k, (c, t) in enumerate(rows.dtypes)])
+    fields = tuple((c, "string" if t == "string" else "long") for c, t in rows.dtypes)
+    back = tsv.parse(tsv.render(rows, fields).withColumn("row", F.lit(0)), fields)
+    return back.select(*[F.col(c).cast(t) for c, t in rows.dtypes])
 
 
 register("exchange_nodes", f"WITH {NODES} SELECT * FROM nodes")(lambda s, d: longs(transcript.nodes(V.turns(s, d))))

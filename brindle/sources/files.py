@@ -12,6 +12,7 @@ class IndexFile:
     path: str
     format: str  # typed or enveloped
     source: str  # session or archive
+    header: bool = False  # only if its first line is a session header
 
 
 @dataclass(frozen=True)
@@ -20,6 +21,7 @@ class Rule:
     format: str
     source: str
     suffix: str
+    header: bool = False
 
 
 def walk(root: str, suffix: str) -> list[str]:
@@ -37,8 +39,8 @@ def by_component(path: str) -> tuple[str, ...]:
 
 def discover(rules: list[Rule]) -> list[IndexFile]:
     """The union of all rules in path order."""
-    found = {IndexFile(p, r.format, r.source) for r in rules for p in walk(r.root, r.suffix)}
-    return sorted(found, key=lambda f: (by_component(f.path), f.format, f.source))
+    found = {IndexFile(p, r.format, r.source, r.header) for r in rules for p in walk(r.root, r.suffix)}
+    return sorted(found, key=lambda f: (by_component(f.path), f.format, f.source, f.header))
 
 
 def is_archive_session(path: str) -> bool:

@@ -17,10 +17,13 @@ BLOCKS = "array<variant>"
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, line_no, line); .zst files are decoded by the reader; lines end at newlines only."""
+    """(path, line_no, line); .zst files are decoded by the reader; lines end at newlines only.
+
+    A file that cannot be decoded is skipped whole, with a warning in the log.
+    """
     if not paths:
         return spark.createDataFrame([], "path string, line_no int, line string")
-    whole = spark.read.option("wholetext", True).text(paths).select(F.regexp_replace(F.input_file_name(), r"^file:/*(?=/)", "").alias("path"), "value")
+    whole = spark.read.option("ignoreCorruptFiles", True).text(paths, wholetext=True).select(F.regexp_replace(F.input_file_name(), r"^file:/*(?=/)", "").alias("path"), "value")
     return lines_of(whole.withColumnRenamed("value", "text"), "path")
 
 

@@ -35,7 +35,7 @@ def parse(lines: DataFrame, fields=NODES, extra: Column | None = None) -> DataFr
 
 
 def read(spark: SparkSession, path: str, fields=NODES) -> DataFrame:
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     parts = F.split("value", "\n", -1)
     kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
     rows = whole.select(F.posexplode(kept).alias("p", "value")).select((F.col("p") + 1).alias("row"), "value")
