@@ -18,7 +18,9 @@ from __future__ import annotations
 import ipaddress
 import re
 import string
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -251,8 +253,13 @@ def model() -> tuple[Trees, dict[str, float]]:
 
 
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]], fitted=None) -> dict[str, list[tuple[int, int]]]:
-    """Candidates that the trees accept; spans inside a base span say nothing new."""
+    """Candidates that the trees accept; spans inside a base span say nothing new.
+
+    A candidate that overlaps a base span, or holds one, is judged like any other, so that
+    what stands beside the base span in it does not stay behind.
+    """
     taken = sorted(s for spans in base.values() for s in spans)
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
     out = {}
     for kind, generate in GENERATORS.items():
         if not HINTS[kind].search(text):
@@ -263,7 +270,8 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]], fitted=None)
                 return False
             if kind == "ipv6" and "::" in text[a:b] and not ipv6_valid(text[a:b]):
                 return False
-            if any(s < b and a < e for s, e in taken):
+            k = bisect_right(starts, a)
+            if k and reach[k - 1] >= b:
                 return False
             trees, limits = fitted or model()
             return trees.score(features(kind, text, a, b)) >= limits[kind]

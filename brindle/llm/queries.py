@@ -51,4 +51,4 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_langid": op2_langid, "op6_html": op6_html, "op9_simhash": op9_simhash, "op4_rules": op4_rules, "op5_mix": op5_mix, "op3_pii": op3_pii, "op8_toxicity": op8_toxicity, "op7_bpe": op7_bpe, "op10_webp": op10_webp}
 
-SQL: dict[str, str] = {"op4_rules": rules.ORACLE, "op5_mix": mixing.ORACLE}
+SQL: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op4_rules": rules.ORACLE, "op5_mix": mixing.ORACLE}

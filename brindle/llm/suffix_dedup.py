@@ -409,3 +409,39 @@ def brute(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int,
         kept = np.frombuffer(b, np.uint8)[~hit].tobytes()
         out.append((len(b), int(hit.sum()), int((np.diff(hit.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+#: Strings of LENGTH bytes as hex, every start of every text; those that start twice cover.
+ORACLE = """
+WITH d AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), n AS (
+    SELECT doc_id, h, (length(h) // 2)::BIGINT AS n_bytes, row_number() OVER () AS r FROM d
+), starts AS (
+    SELECT r, s, md5_number(substr(h, 2 * s + 1, 400)) AS k
+    FROM (SELECT r, h, unnest(range(0, n_bytes - 199)) AS s FROM n WHERE n_bytes >= 200)
+), twice AS (
+    SELECT k FROM starts GROUP BY k HAVING count(*) > 1
+), hit AS (
+    SELECT r, s FROM starts SEMI JOIN twice USING (k)
+), runs AS (
+    SELECT r, s, sum((gap IS NULL OR gap > 200)::INT) OVER (PARTITION BY r ORDER BY s) AS g
+    FROM (SELECT r, s, s - lag(s) OVER (PARTITION BY r ORDER BY s) AS gap FROM hit)
+), spans AS (
+    SELECT r, g, min(s) AS s, max(s) + 200 AS e FROM runs GROUP BY r, g
+), kept AS (
+    SELECT r, string_agg(part, '' ORDER BY place) AS h
+    FROM (
+        SELECT n.r, coalesce(p.e, 0) AS place, substr(n.h, 2 * coalesce(p.e, 0) + 1, 2 * (coalesce(p.nxt, n.n_bytes) - coalesce(p.e, 0))) AS part
+        FROM n JOIN (
+            SELECT r, e, lead(s) OVER (PARTITION BY r ORDER BY s) AS nxt FROM spans
+            UNION ALL SELECT r, 0, min(s) FROM spans GROUP BY r
+        ) p ON p.r = n.r
+    ) GROUP BY r
+), removed AS (
+    SELECT r, sum(e - s)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM spans GROUP BY r
+)
+SELECT n.doc_id, n.n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept.h, n.h))) AS kept_sha256
+FROM n LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
+"""

@@ -23,3 +23,27 @@ def test_compressed_ipv6():
         assert pii.redacted(f"from {address}, then") == "from [IPV6], then", address
     for other in ("std::cout", "a :: b", "1::2::3", "12:30:45", "Add::Face", "1:2:3:4:5:6:7:8::9"):
         assert pii.redacted(f"here {other} stands") == f"here {other} stands"
+
+
+def test_a_secret_around_a_base_span_goes_whole():
+    assert pii.redacted("password=hunter2x@mail.example!zzTOP99 was set") == "password=[EMAIL] was set"
+    text = "token=aB3dE5fG7hJ9kL1@mail.example9xQ2wE4rT6y end"
+    assert "xQ2wE4" not in pii.redacted(text) and "aB3dE5" not in pii.redacted(text)
+
+
+def test_digest_columns(spark):
+    """Counts and spans of the query against the base patterns and the joined strings."""
+    import hashlib
+
+    texts = ["mail a.b@c.org and 10.0.0.1", None, "", "card 4111 1111 1111 1111, call +1 (988) 555-2485", "password=7602ad27cf5550de1c9 é@x a@b.c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.digest(docs).collect():
+        text = texts[r["doc_id"]] or ""
+        base = pii.base_spans(text)
+        joined = ",".join(f"{k}:{a}:{b}" for k in pii.BASE_KINDS for a, b in base[k])
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [len(base[k]) for k in pii.BASE_KINDS]
+        spans = [x for x in r["spans"].split(",") if x]
+        assert [x for x in spans if x.split(":")[0] in pii.BASE_KINDS] == [x for x in joined.split(",") if x]
+        order = [(pii.KINDS.index(x.split(":")[0]), int(x.split(":")[1])) for x in spans]
+        assert order == sorted(order)
