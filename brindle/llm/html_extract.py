@@ -11,7 +11,10 @@ Pages with the same blocks count as one page, and so do pages with the same long
 it is long and few pages have it, so a copied article is not taken for a template.  A region
 is evidence: blocks inside need half of the host's pages, others ``SHARE`` or ``MANY`` pages.
 
-Defined results: a null or empty page has the empty text; malformed or cut-off markup closes
+Every page is parsed once; blocks and digests are written for the steps after that.
+
+Defined results: pages whose address is null or names no host are compared with no other; a
+null or empty page has the empty text; malformed or cut-off markup closes
 at the end; copies of a page on one host stay; repeated rows give repeated results; an empty
 table gives an empty table; other columns are ignored.
 """
@@ -24,7 +27,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, drop
 
 #: Outside regions: so many distinct pages of the host, or so large a share of them (two at least).
 MANY, SHARE = 10, 0.3
@@ -37,6 +40,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NOISE_TAGS = frozenset("nav footer aside form button select textarea menu dialog iframe object".split())
 NOISE_NAMES = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies dialog disclaimer footer header menu modal nav navbar navigation newsletter notice popup promo related search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 MAIN = frozenset(("article", "main"))
+#: Names that inside an article say nothing: its own header, and works related to its matter.
+OWN_NAMES = frozenset(("header", "related", "disclaimer", "search", "notice"))
 
 
 def noisy(tag: str, attributes: str, in_main: bool) -> bool:
@@ -46,7 +51,7 @@ def noisy(tag: str, attributes: str, in_main: bool) -> bool:
         return False
     for m in NAME.finditer(attributes):
         words = re.split(r"[^a-z0-9]+", next(g for g in m.groups() if g is not None).lower())
-        if NOISE_NAMES.intersection(words):
+        if (NOISE_NAMES - OWN_NAMES if in_main else NOISE_NAMES).intersection(words):
             return True
     return False
 
@@ -56,13 +61,13 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
     out, text, stack, main, noise, at = [], [], [], 0, 0, 0
 
     def close():
-        joined = " ".join(html.unescape("".join(text)).split())
+        joined = " ".join("".join(text).split())
         if joined:
             out.append((joined, main > 0, noise > 0))
         text.clear()
 
     for m in TAG.finditer(page or ""):
-        text.append(page[at : m.start()])
+        text.append(html.unescape(page[at : m.start()]))  # references end at tags
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
@@ -90,7 +95,7 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
                     main, noise = main - a, noise - b
                     if name == tag:
                         break
-    text.append((page or "")[at:])
+    text.append(html.unescape((page or "")[at:]))
     close()
     return out
 
@@ -110,24 +115,29 @@ def shown(page: str | None) -> tuple[list[str], list[bool], list[int], int]:
 
 
 def outlines(pages: DataFrame) -> DataFrame:
-    """(host, whole, longest, blocks): digests of the blocks of each page; longest only if LONG."""
+    """(id, url, host, whole, longest, blocks, texts): the blocks of each page with their digests; longest only if LONG."""
     block = pa.struct([("h", pa.int64()), ("inside", pa.bool_()), ("long", pa.bool_())])
-    schema = pa.schema([("host", pa.string()), ("whole", pa.int64()), ("longest", pa.int64()), ("blocks", pa.list_(block))])
+    kept = pa.schema([("whole", pa.int64()), ("longest", pa.int64()), ("blocks", pa.list_(block)), ("texts", pa.list_(pa.string()))])
 
     def rows(it):
         for batch in it:
-            out = {n: [] for n in schema.names}
-            for host, source in zip(batch["host"].to_pylist(), batch["html"].to_pylist()):
-                texts, inside, digests, whole = shown(source)
-                words = [t.count(" ") + 1 for t in texts]
-                top = max(range(len(texts)), key=words.__getitem__, default=None)
-                out["host"].append(host)
-                out["whole"].append(whole)
-                out["longest"].append(digests[top] if top is not None and words[top] >= LONG else None)
-                out["blocks"].append([{"h": h, "inside": i, "long": n >= LONG} for h, i, n in zip(digests, inside, words)])
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    return pages.select("host", "html").mapInArrow(rows, "host string, whole long, longest long, blocks array<struct<h:long,inside:boolean,long:boolean>>")
+            step = max(1, min(512, (16 << 20) * batch.num_rows // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                out = {n: [] for n in kept.names}
+                for source in part["html"].to_pylist():
+                    texts, inside, digests, whole = shown(source)
+                    words = [t.count(" ") + 1 for t in texts]
+                    top = max(range(len(texts)), key=words.__getitem__, default=None)
+                    out["whole"].append(whole)
+                    out["longest"].append(digests[top] if top is not None and words[top] >= LONG else None)
+                    out["blocks"].append([{"h": h, "inside": i, "long": n >= LONG} for h, i, n in zip(digests, inside, words)])
+                    out["texts"].append(texts)
+                columns = [part[n] for n in ("id", "url", "host")] + [pa.array(out[f.name], f.type) for f in kept]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "url", "host", *kept.names])
+
+    kinds = dict(pages.dtypes)
+    return pages.select("id", "url", "host", "html").mapInArrow(rows, f"id {kinds['id']}, url {kinds['url']}, host string, whole long, longest long, blocks array<struct<h:long,inside:boolean,long:boolean>>, texts array<string>")
 
 
 def repeated(found: DataFrame) -> DataFrame:
@@ -145,22 +155,17 @@ def repeated(found: DataFrame) -> DataFrame:
     counts = counts.groupBy("host", "h", "long").agg(F.count("*").alias("n")).where("n > 1").join(hosts, "host")
     often = counts.where((F.col("n") >= MANY) | (F.col("n") >= SHARE * F.col("pages"))).where(~F.col("long") | (F.col("n") >= FEW))
     often = cut(often.select("host", "h", ((F.col("n") >= FEW) & (F.col("n") >= INSIDE_SHARE * F.col("pages"))).alias("anywhere")), "often")
-    return cut(placed.join(often, ["host", "h"]).where("anywhere OR NOT inside").groupBy("host", "whole").agg(F.collect_set("at").alias("runs")), "runs")
+    runs = cut(placed.join(often, ["host", "h"]).where("anywhere OR NOT inside").groupBy("host", "whole").agg(F.collect_set("at").alias("runs")), "runs")
+    drop(kinds, placed, often)
+    return runs
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars)"""
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    runs = repeated(cut(outlines(src), "outlines")).select(F.col("host").alias("rh"), F.col("whole").alias("rw"), "runs")
-
-    def rows(it):
-        schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("whole", pa.int64()), ("texts", pa.list_(pa.string()))])
-        for batch in it:
-            ids, urls, hosts, sources = (batch.column(i).to_pylist() for i in range(4))
-            parts = [shown(source) for source in sources]
-            yield pa.RecordBatch.from_pydict({"id": ids, "url": urls, "host": hosts, "whole": [p[3] for p in parts], "texts": [p[0] for p in parts]}, schema=schema)
-
-    parsed = src.select("id", "url", "host", "html").mapInArrow(rows, "id long, url string, host string, whole long, texts array<string>")
+    parsed = cut(outlines(src), "outlines")
+    named = parsed.select("host", "whole", "longest", "blocks").where("host != ''")
+    runs = repeated(named).select(F.col("host").alias("rh"), F.col("whole").alias("rw"), "runs")
     both = parsed.join(runs, (F.col("host") == F.col("rh")) & (F.col("whole") == F.col("rw")), "left")
     text = F.array_join(F.when(F.col("runs").isNull(), F.col("texts")).otherwise(F.filter("texts", lambda t, k: ~F.array_contains("runs", k))), " ")
     return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

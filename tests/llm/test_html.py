@@ -32,3 +32,50 @@ def test_an_article_on_two_pages_stays(spark):
     rows = [("http://h.example/a", body), ("http://h.example/b", body), ("http://i.example/a", body + "<p>one other line here</p>"), ("http://i.example/b", body)]
     got = texts(spark, rows)
     assert got == [" ".join(article), " ".join(article), " ".join(article) + " one other line here", " ".join(article)]
+
+
+def test_names_and_references_inside_an_article(spark):
+    pages = [
+        ("http://h.example/1", "<article><div class='entry-header'><h1>Title</h1></div><p>a &<b>lt;</b> b</p><div class='related-work'>older work</div><div class='comments'>me too</div></article>"),
+        ("http://h.example/2", "<header>top</header><div class='related'>see also</div><p>R&amp;D &#233;t&eacute;</p>"),
+    ]
+    assert texts(spark, pages) == ["Title a &lt; b older work", "R&D été"]
+
+
+def test_pages_without_a_host_are_compared_with_none(spark):
+    pages = [(url, f"<p>a line that all have</p><p>{words(k, 30)}</p>") for k, url in enumerate((None, "/a", "b.html", None, "", "/c"))]
+    assert texts(spark, pages) == [f"a line that all have {words(k, 30)}" for k in range(6)]
+
+
+def test_long_pages(spark):
+    """A page of many blocks costs in proportion, and comes out whole but for what repeats."""
+    long = "".join(f"<p>{words(k, 12)}</p>" for k in range(8000))
+    rows = [(f"http://h.example/{k}", f"<p>the same notice on every page</p><p>{words(9000 + k, 30)}</p>" + (long if k == 0 else "")) for k in range(6)]
+    got = texts(spark, rows)
+    assert got[0] == " ".join([words(9000, 30), *(words(k, 12) for k in range(8000))]) and got[3] == words(9003, 30)
+
+
+def test_blocks_against_brute_force(spark):
+    """Generated hosts: which blocks stay, by counting pages in plain Python."""
+    import random
+
+    rng = random.Random(7)
+    shared = [" ".join(rng.choices("abcdefgh", k=rng.choice((3, 6, 30)))) + f" s{k}" for k in range(14)]
+    rows, made = [], []
+    for k in range(60):
+        host, own = f"h{k % 3}.example", []
+        own = [(rng.choice(shared) if rng.random() < 0.6 else words(k * 100 + j, rng.choice((2, 9, 40))), rng.random() < 0.5) for j in range(rng.randrange(1, 9))]
+        own.insert(0, (words(10_000 + k, 60), True))  # its own longest block
+        made.append((host, own))
+        rows.append((f"http://{host}/{k}", "".join(f"<article><p>{t}</p></article>" if inside else f"<p>{t}</p>" for t, inside in own)))
+    h, want = html_extract, []
+    for host, own in made:
+        pages = [b for a, b in made if a == host]
+        kept = []
+        for text, inside in own:
+            n, long = sum(any(t == text for t, _ in page) for page in pages), len(text.split()) >= h.LONG
+            often = n > 1 and (n >= h.MANY or n >= h.SHARE * len(pages)) and (not long or n >= h.FEW)
+            if not (often and (not inside or (n >= h.FEW and n >= h.INSIDE_SHARE * len(pages)))):
+                kept.append(text)
+        want.append(" ".join(kept))
+    assert texts(spark, rows) == want
