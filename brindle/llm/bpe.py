@@ -31,7 +31,7 @@ from .common import give_back, utf8
 
 #: Chunks kept during a task; beyond that only the first so many, which tend to be the frequent
 #: ones, and those in use stay.
-KEEP_CHUNKS, KEEP_FIRST = 250_000, 150_000
+KEEP_CHUNKS, KEEP_FIRST = 300_000, 200_000
 #: Texts are handled in groups of about so many characters, ids in groups of so many, pieces
 #: to contract in groups of so many bytes.
 GROUP_CHARS, GROUP_IDS, GROUP_BYTES = 1_000_000, 100_000, 100_000
@@ -213,8 +213,8 @@ class Codec:
                 self.chunks = dict(islice(old.items(), KEEP_FIRST))
                 self.chunks.update((c, old[c]) for c in wanted if c in old)
             cut = list(map(self.split, new))
-            get = self.pieces_to_ids({w for words in cut for w in words}).__getitem__
-            self.chunks.update((c, b"".join(map(get, words))) for c, words in zip(new, cut))
+            ids = self.pieces_to_ids({w for words in cut for w in words})
+            self.chunks.update({c: ids[words[0]] if len(words) == 1 else b"".join([ids[w] for w in words]) for c, words in zip(new, cut)})
         return self.chunks
 
     def rest(self) -> None:
