@@ -102,7 +102,7 @@ LEFT JOIN hit d ON d.gone = s.pos AND d.word = s.word
 WHERE d.gone IS NULL AND s.step < {most}"""
 
 DECODE = """
-SELECT i.doc, unhex(string_agg(v.hex, '' ORDER BY i.pos)) AS bytes
+SELECT i.doc, string_agg(v.bytes, '' ORDER BY i.pos) AS bytes
 FROM ids i JOIN vocab v ON v.id = i.id GROUP BY i.doc
 """
 
@@ -138,7 +138,7 @@ class Codec:
         np.minimum.at(first, right, merged)
         self.tables = {
             "merges": pa.table({"pair": (left << 32) + right, "merged": merged.astype(np.int32), "early": first[merged] < merged}),
-            "vocab": pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]}),
+            "vocab": pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]}),
         }
         self.chunks: dict[str, bytes] = {}
         self._db = None
@@ -255,7 +255,7 @@ class Codec:
             found = self.db.sql(DECODE).to_arrow_table()
             self.db.unregister("ids")
             for part, text in sorted(zip(found["doc"].to_pylist(), found["bytes"].to_pylist())):
-                out[owner[part]].append(text)
+                out[owner[part]].append(text.encode("latin-1"))  # a character stands for a byte
             first = last
         return list(map(b"".join, out))
 
