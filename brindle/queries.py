@@ -85,7 +85,7 @@ firsts AS (
     QUALIFY row_number() OVER (PARTITION BY history_hash ORDER BY type DESC, string_split(path, '/'), chunk_idx) = 1
 ),
 store AS (
-    SELECT f.*, embedding FROM (SELECT *, row_number() OVER (ORDER BY type, path, chunk_idx) - 1 AS vec_id FROM firsts) f JOIN embeddings USING (vec_id)
+    SELECT f.*, embedding FROM (SELECT *, (row_number() OVER (ORDER BY type, path, chunk_idx) - 1) % (SELECT count(*) FROM embeddings) AS vec_id FROM firsts) f JOIN embeddings USING (vec_id)
 ),
 q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS qv FROM embeddings WHERE vec_id = 0),
 scored AS (

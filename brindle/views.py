@@ -62,11 +62,16 @@ def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First chunks numbered by type, path and position, with the embedding of that number."""
+    """First chunks numbered by type, path and position, each with an embedding.
+
+    The table has fewer embeddings than there are chunks, so their numbers repeat.
+    """
     first = history.first_of_each(chunk_rows(spark, sf_dir))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     # One number over all rows: a view of the small driver tables, not part of the engine.
-    n = first.withColumn("vec_id", (F.row_number().over(W.orderBy("type", "path", "chunk_idx")) - 1).cast("long"))
-    return n.join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
+    n = first.withColumn("n", F.row_number().over(W.orderBy("type", "path", "chunk_idx")) - 1)
+    of = F.greatest(F.lit(1), F.lit(vectors.count()))
+    return n.withColumn("vec_id", (F.col("n") % of).cast("long")).drop("n").join(vectors, "vec_id")
 
 
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
