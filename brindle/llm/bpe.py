@@ -16,6 +16,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 import struct
@@ -47,7 +48,8 @@ LONG_PIECE = 64
 #: A recursive query runs so many steps at most; what is left starts the next one.
 STEPS = 256
 
-#: Rows (word, pos) link to the next token of their word; {step} makes the rows of a step.
+#: Rows (word, pos) link to the next token of their word; {step} makes the rows of a step.  The
+#: rows of all steps come back, and those of a word's last step are its tokens.
 CONTRACT = """
 WITH RECURSIVE state(word, pos, nxt, tok, ntok, step) AS (
     SELECT word, pos, nxt, tok, ntok, 0 FROM seed
@@ -55,8 +57,6 @@ WITH RECURSIVE state(word, pos, nxt, tok, ntok, step) AS (
     (WITH {step})
 )
 SELECT word, pos, nxt, tok, ntok, step FROM state
-QUALIFY step = max(step) OVER (PARTITION BY word)
-ORDER BY word, pos
 """
 
 #: Contracts the leftmost pair of least rank of each word.
@@ -180,12 +180,17 @@ class Codec:
             self.db.register("seed", seed)
             found = self.db.sql(CONTRACT.format(step=step.format(most=most))).to_arrow_table()
             self.db.unregister("seed")
-            more = found["step"].to_numpy() == most
-            word, ids = found["word"].to_numpy(), found["tok"].to_numpy().astype("<u4")
+            word, steps, pos = (found[n].to_numpy() for n in ("word", "step", "pos"))
+            last = np.zeros(len(raw), np.int32)
+            np.maximum.at(last, word, steps)
+            at = np.flatnonzero(steps == last[word])
+            at = at[np.argsort(pos[at])]  # positions ascend from word to word
+            more = at[steps[at] == most]
+            word, ids = word[at], found["tok"].to_numpy()[at].astype("<u4")
             blob, firsts = ids.tobytes(), np.flatnonzero(np.diff(word, prepend=-1))
-            for k, first, last in zip(word[firsts].tolist(), firsts.tolist(), np.append(firsts[1:], len(word)).tolist()):
-                out[k] = blob[4 * first : 4 * last]
-            seed = found.filter(pa.array(more)).drop_columns("step") if more.any() else seed.slice(0, 0)
+            for k, first, end in zip(word[firsts].tolist(), firsts.tolist(), np.append(firsts[1:], len(word)).tolist()):
+                out[k] = blob[4 * first : 4 * end]
+            seed = found.take(pa.array(more)).drop_columns("step")
         return out
 
     def pieces_to_ids(self, words: set[str]) -> dict[str, bytes]:
@@ -212,9 +217,13 @@ class Codec:
                 old = self.chunks
                 self.chunks = dict(islice(old.items(), KEEP_FIRST))
                 self.chunks.update((c, old[c]) for c in wanted if c in old)
-            cut = list(map(self.split, new))
-            ids = self.pieces_to_ids({w for words in cut for w in words})
-            self.chunks.update({c: ids[words[0]] if len(words) == 1 else b"".join([ids[w] for w in words]) for c, words in zip(new, cut)})
+            gc.disable()  # many small lists and no cycles
+            try:
+                cut = list(map(self.split, new))
+                ids = self.pieces_to_ids({w for words in cut for w in words})
+                self.chunks.update({c: ids[words[0]] if len(words) == 1 else b"".join([ids[w] for w in words]) for c, words in zip(new, cut)})
+            finally:
+                gc.enable()
         return self.chunks
 
     def rest(self) -> None:
