@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as T
@@ -33,16 +36,16 @@ def sections(lines: DataFrame) -> DataFrame:
     head = F.min_by(F.struct("level", "line"), "line_no")
     cut = rows.groupBy("path", "k").agg(F.min("line_no").alias("line_start"), F.max("line_count").alias("line_count"), head.alias("h"), text.alias("text"))
     cut = cut.withColumn("title", F.when(F.col("k") > 0, T.heading_title(F.col("h.line"))))
-    after = F.lead("line_start").over(W.partitionBy("path").orderBy("line_start")) - 1
-    cut = cut.withColumn("line_end", F.coalesce(after, F.col("line_count")))
-    # The stack is sequential within a file: a fold over its headings, which are few.
-    heads = F.array_sort(F.collect_list(F.when(F.col("k") > 0, F.struct("k", F.col("h.level").alias("level"), "title"))))
+    # The stack is sequential within a file: a fold over its headings, which are few.  A file's
+    # sections meet in one row, as its text does; nothing is shuffled or computed again for it.
+    file = cut.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("k", "line_start", F.col("h.level").alias("level"), "title", "text"))).alias("s"), F.max("line_count").alias("line_count"))
     empty = F.array().cast("array<string>")
     push = lambda s, h: F.concat(F.slice(s, 1, F.least(F.size(s), h["level"] - 1)), F.array(h["title"]))
-    fold = F.aggregate(heads, F.struct(empty.alias("stack"), empty.alias("out")), lambda a, h: F.struct(push(a["stack"], h).alias("stack"), F.concat(a["out"], F.array(F.array_join(push(a["stack"], h), " > "))).alias("out")))
-    paths = cut.groupBy("path").agg(fold["out"].alias("names"))
-    named = cut.join(paths, "path")
-    return named.select("path", "line_start", "line_end", F.when(F.col("k") > 0, F.get("names", F.col("k") - 1)).otherwise(T.file_stem(F.col("path"))).alias("heading_path"), "text")
+    fold = F.aggregate(F.filter("s", lambda x: x["k"] > 0), F.struct(empty.alias("stack"), empty.alias("out")), lambda a, h: F.struct(push(a["stack"], h).alias("stack"), F.concat(a["out"], F.array(F.array_join(push(a["stack"], h), " > "))).alias("out")))
+    rows = file.withColumn("names", fold["out"]).select("path", "s", "names", "line_count", F.posexplode("s").alias("n", "x"))
+    line_end = F.coalesce(F.get("s", F.col("n") + 1)["line_start"] - 1, F.col("line_count"))
+    name = F.when(F.col("x.k") > 0, F.get("names", (F.col("x.k") - 1).cast("int"))).otherwise(T.file_stem(F.col("path")))
+    return rows.select("path", F.col("x.line_start").alias("line_start"), line_end.alias("line_end"), name.alias("heading_path"), F.col("x.text").alias("text"))
 
 
 def nodes(lines: DataFrame) -> DataFrame:
@@ -64,7 +67,15 @@ def scored(node_rows: DataFrame, query: str) -> DataFrame:
     terms = list(dict.fromkeys(phrase))
     if not terms:
         return tokenized(node_rows).where("false").withColumns({"matched": F.lit(0).cast("long"), "score": F.lit(0).cast("long")})
-    rows = node_rows if "b_tok" in node_rows.columns else tokenized(node_rows)
+    rows = node_rows
+    if "b_tok" not in rows.columns:
+        # A text without any term as a substring has none as a token.  The generator keeps the
+        # tokens from being made once more for each use.
+        whole = F.lower(F.concat_ws("\n", "heading_path", "path", "normalized_body"))
+        likely = rows.where(reduce(or_, [whole.contains(t) for t in terms]))
+        names = ("h_tok", "a_tok", "b_tok")
+        made = tokenized(likely)
+        rows = made.select(*node_rows.columns, F.struct(*names).alias("_t")).select(*node_rows.columns, F.inline(F.array("_t")))
     h, a, b = F.col("h_tok"), F.col("a_tok"), F.col("b_tok")
     matched = sum(F.greatest(*[F.array_contains(x, t).cast("long") for x in (h, a, b)]) for t in terms)
     structure = sum(T.HEADING_WEIGHT * T.count_capped(h, t) + T.PATH_WEIGHT * T.count_capped(a, t) for t in terms)
@@ -101,13 +112,16 @@ def search(node_rows: DataFrame, query: str, limit: int = 5) -> DataFrame:
 
 
 def with_source_text(results: DataFrame, lines: DataFrame) -> DataFrame:
-    """Results whose text is the exact source lines of their range."""
+    """Results whose text is the exact source lines of their range.
+
+    The results of a search are as few as its limit, so they are broadcast to the lines.
+    """
     span = F.split("node_id", "-")
     r = results.drop("text").withColumn("_a", span[0].cast("int")).withColumn("_b", span[1].cast("int"))
-    own = lines.withColumnRenamed("path", "_path").join(r.select("path", "node_id", "_a", "_b"), (F.col("_path") == F.col("path")) & F.col("line_no").between(F.col("_a"), F.col("_b")))
+    kept = [c for c in r.columns if c not in ("_a", "_b")]
+    own = lines.withColumnRenamed("path", "_path").join(F.broadcast(r), (F.col("_path") == F.col("path")) & F.col("line_no").between(F.col("_a"), F.col("_b")))
     parts = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    joined = own.groupBy("path", "node_id").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("text"))
-    return r.join(joined, ["path", "node_id"]).drop("_a", "_b")
+    return own.groupBy(*kept).agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("text"))
 
 
 def changed(old: DataFrame, new: DataFrame) -> DataFrame:
