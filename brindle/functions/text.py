@@ -17,7 +17,7 @@ def trim(x: Column) -> Column:
 
 
 def blank(x: Column) -> Column:
-    return trim(F.coalesce(x, F.lit(""))) == ""
+    return ~F.coalesce(x, F.lit("")).rlike(r"(?U)\S")
 
 
 def truncate(x: Column, n: int) -> Column:
@@ -34,7 +34,7 @@ def title(x: Column) -> Column:
 
 
 def heading_level(line: Column) -> Column:
-    return F.length(F.regexp_extract(line, HEADING, 1))
+    return F.when(line.contains("#"), F.length(F.regexp_extract(line, HEADING, 1))).otherwise(0)
 
 
 def heading_title(line: Column) -> Column:
@@ -47,8 +47,7 @@ def is_heading(line: Column) -> Column:
 
 
 def is_fence(line: Column) -> Column:
-    start = F.regexp_extract(line, r"(?U)^\s*(```|~~~)", 1)
-    return start != ""
+    return (line.contains("```") | line.contains("~~~")) & line.rlike(r"(?U)^\s*(```|~~~)")
 
 
 def collapse(x: Column) -> Column:
