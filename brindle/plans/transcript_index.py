@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
+import shutil
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as T
 from ..operators import transcript
 from ..sources import files, transcripts
+from .kb_index import locked, swap
 
 
 def turns(spark: SparkSession, found: list[str]) -> DataFrame:
@@ -24,11 +28,27 @@ def turns(spark: SparkSession, found: list[str]) -> DataFrame:
 
 
 def build(spark: SparkSession, roots: list[files.Rule], out: str, max_sessions: int | None = None) -> dict[str, int]:
-    """Write the tables; sessions beyond ``max_sessions`` in path order are left out."""
+    """Write the tables; sessions beyond ``max_sessions`` in path order are left out.
+
+    Both tables come from turns that were read once, are written beside the index and take its
+    place together; if a step fails the old index stays.
+    """
     found = [f.path for f in files.discover(roots)][:max_sessions]
-    rows = turns(spark, found)
-    transcript.documents(rows).write.mode("overwrite").parquet(os.path.join(out, "documents"))
-    transcript.nodes(rows).write.mode("overwrite").parquet(os.path.join(out, "nodes"))
+    folder, name = os.path.split(os.path.abspath(out))
+    with locked(out):
+        stage = os.path.join(folder, f".{name}.stage-{uuid.uuid4().hex}")
+        try:
+            read = os.path.join(stage, "turns")
+            made = turns(spark, found)
+            made.write.parquet(read)
+            rows = spark.read.schema(made.schema).parquet(read)
+            transcript.documents(rows).write.parquet(os.path.join(stage, "documents"))
+            transcript.nodes(rows).write.parquet(os.path.join(stage, "nodes"))
+            shutil.rmtree(read)
+            swap(stage, out)
+        finally:
+            shutil.rmtree(stage, ignore_errors=True)
+    spark.catalog.refreshByPath(out)
     docs, nodes = load(spark, out)
     return {"files": len(found), "sessions": docs.count(), "nodes": nodes.count()}
 
@@ -60,10 +80,20 @@ def query(spark: SparkSession, out: str, text: str, limit: int = 5) -> DataFrame
     return transcript.query(docs, nodes, text, limit)
 
 
-def content(spark: SparkSession, out: str, selector: str, locator: str) -> str:
-    """A document is named by its id, with or without its transcript suffix."""
-    docs, nodes = load(spark, out)
+def names_of(selector: str) -> list[str]:
+    """Document ids that a selector may mean, the likeliest first: as it stands, without ``.json``,
+    sanitised, its stem sanitised, and its file name without a transcript suffix."""
+    plain = lambda x: re.sub(r"[^A-Za-z0-9_-]", "_", x)
     name = os.path.basename(selector)
+    stem = os.path.splitext(name)[0]
     for suffix in (".json", ".jsonl.zst", ".jsonl"):
         name = name.removesuffix(suffix)
-    return transcript.content(docs, nodes, name, locator)
+    return list(dict.fromkeys((selector, selector.removesuffix(".json"), plain(selector), plain(stem), name, plain(name))))
+
+
+def content(spark: SparkSession, out: str, selector: str, locator: str) -> str:
+    """Text of the first document that the selector may mean; if there is none, of no document."""
+    docs, nodes = load(spark, out)
+    names = names_of(selector)
+    there = {r["doc_id"] for r in docs.where(F.col("doc_id").isin(*names)).select("doc_id").distinct().collect()}
+    return transcript.content(docs, nodes, next((n for n in names if n in there), names[-1]), locator)

@@ -23,7 +23,9 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """
     if not paths:
         return spark.createDataFrame([], "path string, line_no int, line string")
-    whole = spark.read.option("ignoreCorruptFiles", True).text(paths, wholetext=True).select(F.regexp_replace(F.input_file_name(), r"^file:/*(?=/)", "").alias("path"), "value")
+    # The reader gives names as parts of a URI.
+    name = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    whole = spark.read.option("ignoreCorruptFiles", True).text(paths, wholetext=True).select(F.regexp_replace(name, r"^file:/*(?=/)", "").alias("path"), "value")
     return lines_of(whole.withColumnRenamed("value", "text"), "path")
 
 

@@ -105,3 +105,13 @@ def test_messages_keep_the_order_of_their_lines(spark, tmp_path):
     put(tmp_path / "r" / "a.jsonl", prompt("zeta first"), "not json\n", prompt("alpha then"))
     history_index.index(spark, found(tmp_path / "r"), store, MAKE)
     assert [r["text"] for r in history_index.points(spark, store).collect()] == ["User: zeta first\nUser: alpha then"]
+
+
+def test_every_chunk_is_searched(spark):
+    from brindle import views
+    from brindle.operators import history
+
+    d = "/root/testdata/sf0.1"
+    rows = views.store(spark, d)
+    assert rows.count() == history.first_of_each(views.chunk_rows(spark, d)).count()
+    assert rows.where("type = 'prompt'").count() > 0 and rows.where("embedding IS NULL").count() == 0

@@ -2,6 +2,8 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from brindle.operators import transcript
 from brindle.plans import transcript_index
 from brindle.sources import files
@@ -59,3 +61,34 @@ def test_build(spark, tmp_path):
     docs, nodes = transcript_index.read_json(spark, str(tmp_path / "json"))
     assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, transcript_index.load(spark, out)[0].collect()))
     assert nodes.count() == 2 and transcript_index.read_json(spark, str(tmp_path / "none"))[0].count() == 0
+
+
+def test_selectors(spark, tmp_path):
+    root = tmp_path / "sessions"
+    root.mkdir()
+    line = '{"type": "user", "message": {"content": "hello"}}\n'
+    for name in ("a b.c.jsonl", "plain.jsonl"):
+        (root / name).write_text(line)
+    out = str(tmp_path / "index")
+    transcript_index.build(spark, [files.Rule(str(root), "typed", "session", ".jsonl")], out)
+    for selector in ("a_b_c", "a_b_c.json", "a b.c", "dir/a_b_c.json", "plain", "plain.jsonl", "x/plain.jsonl.zst"):
+        assert transcript_index.content(spark, out, selector, "000001") == "User: hello\n", selector
+    with pytest.raises(ValueError):
+        transcript_index.content(spark, out, "other", "000001")
+
+
+def test_failed_build_keeps_the_index(spark, tmp_path, monkeypatch):
+    root = tmp_path / "sessions"
+    root.mkdir()
+    (root / "one.jsonl").write_text('{"type": "user", "message": {"content": "hello"}}\n')
+    out, rules = str(tmp_path / "index"), [files.Rule(str(root), "typed", "session", ".jsonl")]
+    transcript_index.build(spark, rules, out)
+    (root / "two.jsonl").write_text('{"type": "user", "message": {"content": "again"}}\n')
+    with monkeypatch.context() as m:
+        m.setattr(transcript_index.transcript, "nodes", lambda rows: rows.withColumn("x", F.raise_error(F.lit("no"))))
+        with pytest.raises(Exception):
+            transcript_index.build(spark, rules, out)
+    docs, nodes = transcript_index.load(spark, out)
+    assert docs.count() == 1 and nodes.count() == 1
+    assert transcript_index.build(spark, rules, out) == {"files": 2, "sessions": 2, "nodes": 2}
+    assert sorted(p.name for p in tmp_path.iterdir() if "stage" in p.name or "backup" in p.name) == []
