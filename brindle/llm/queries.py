@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, langid, media, mixing, pii, rules, simhash, suffix_dedup, toxicity
+from . import bpe, html_extract, langid, media, merkle, mixing, pii, rules, simhash, suffix_dedup, toxicity
 from .common import read_table
 
 
@@ -49,6 +49,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.result(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_langid": op2_langid, "op6_html": op6_html, "op9_simhash": op9_simhash, "op4_rules": op4_rules, "op5_mix": op5_mix, "op3_pii": op3_pii, "op8_toxicity": op8_toxicity, "op7_bpe": op7_bpe, "op10_webp": op10_webp}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.result(read_table(spark, sf_dir, "documents"))
 
-SQL: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op4_rules": rules.ORACLE, "op5_mix": mixing.ORACLE}
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_langid": op2_langid, "op6_html": op6_html, "op9_simhash": op9_simhash, "op4_rules": op4_rules, "op5_mix": op5_mix, "op3_pii": op3_pii, "op8_toxicity": op8_toxicity, "op7_bpe": op7_bpe, "op10_webp": op10_webp, "op11_merkle": op11_merkle}
+
+SQL: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op4_rules": rules.ORACLE, "op5_mix": mixing.ORACLE, "op11_merkle": merkle.ORACLE}
