@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, langid, media, merkle, mixing, pieces, pii, rules, simhash, suffix_dedup, toxicity
+from . import bpe, html_extract, langid, media, merkle, mixing, pieces, pii, ranked, rules, simhash, suffix_dedup, toxicity
 from .common import read_table
 
 
@@ -57,6 +57,10 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_langid": op2_langid, "op6_html": op6_html, "op9_simhash": op9_simhash, "op4_rules": op4_rules, "op5_mix": op5_mix, "op3_pii": op3_pii, "op8_toxicity": op8_toxicity, "op7_bpe": op7_bpe, "op10_webp": op10_webp, "op11_merkle": op11_merkle, "op12_pieces": op12_pieces}
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.result(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
-SQL: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op4_rules": rules.ORACLE, "op5_mix": mixing.ORACLE, "op11_merkle": merkle.ORACLE}
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_langid": op2_langid, "op6_html": op6_html, "op9_simhash": op9_simhash, "op4_rules": op4_rules, "op5_mix": op5_mix, "op3_pii": op3_pii, "op8_toxicity": op8_toxicity, "op7_bpe": op7_bpe, "op10_webp": op10_webp, "op11_merkle": op11_merkle, "op12_pieces": op12_pieces, "op13_ranked": op13_ranked}
+
+SQL: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op4_rules": rules.ORACLE, "op5_mix": mixing.ORACLE, "op11_merkle": merkle.ORACLE, "op13_ranked": ranked.ORACLE}
