@@ -46,11 +46,14 @@ def points(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.schema(COLUMNS).parquet(path)
 
 
-def extracted(spark: SparkSession, found: list[files.IndexFile], bases: dict[str, str] | None = None) -> DataFrame:
-    """(type, source, path, full_path, session_id, text): the stream of each file and type."""
+def extracted(spark: SparkSession, found: list[files.IndexFile], bases: dict[str, str] | None = None, errors: str = "skip") -> DataFrame:
+    """(type, source, path, full_path, session_id, text): the stream of each file and type.
+
+    With ``skip`` a broken file ends before its first broken line, with ``fail`` it raises.
+    """
     if not found:
         return spark.createDataFrame([], "type string, source string, path string, full_path string, session_id string, text string")
-    lines = transcripts.read_lines(spark, [f.path for f in found])
+    lines = transcripts.read_lines(spark, [f.path for f in found], errors)
     info = spark.createDataFrame([(f.path, f.format, f.source) for f in found], "path string, format string, source string")
     if headed := [f.path for f in found if f.header]:
         needed = spark.createDataFrame([(p,) for p in headed], "path string")
@@ -71,7 +74,7 @@ def extracted(spark: SparkSession, found: list[files.IndexFile], bases: dict[str
     return out.select("type", "source", F.coalesce(short, F.col("path")).alias("path"), F.col("path").alias("full_path"), T.session_id(F.col("path")).alias("session_id"), "text")
 
 
-def index(spark: SparkSession, found: list[files.IndexFile], store: str, make: Callable[[], Embedder], fresh: bool = False, bases: dict[str, str] | None = None) -> int:
+def index(spark: SparkSession, found: list[files.IndexFile], store: str, make: Callable[[], Embedder], fresh: bool = False, bases: dict[str, str] | None = None, errors: str = "skip") -> int:
     """Add what the store does not have; returns how many points were written.
 
     ``fresh`` ignores what is stored: every point is embedded again and replaces the one of
@@ -80,7 +83,7 @@ def index(spark: SparkSession, found: list[files.IndexFile], store: str, make: C
     ensure(store, make().size)
     path = os.path.join(store, "points")
     with locked(store):
-        chunked = history.identified(extracted(spark, found, bases)).withColumnRenamed("chunk", "text")
+        chunked = history.identified(extracted(spark, found, bases, errors)).withColumnRenamed("chunk", "text")
         old = points(spark, store)
         new = history.first_of_each(chunked) if fresh else history.unseen(chunked, old)
         rows = embedded(new, make).select("point_id", "embedding", "text", "type", "source", "path", "session_id", "history_hash")
@@ -101,16 +104,16 @@ def index(spark: SparkSession, found: list[files.IndexFile], store: str, make: C
 
 
 def index_file(spark: SparkSession, path: str, store: str, make: Callable[[], Embedder]) -> int:
-    """One finished transcript, its format found from its first known line."""
+    """One finished transcript, its format found from its first known line; a broken one raises."""
     if path.endswith(".zst"):
         kind = "typed"
     else:
-        row = transcripts.sniff(transcripts.read_lines(spark, [path]), "path").first()
+        row = transcripts.sniff(transcripts.read_lines(spark, [path], "fail"), "path").first()
         if row is None:
             raise ValueError(f"unknown transcript format: {path}")
         kind = row["format"]
     source = "archive" if files.is_archive_session(path) else "session"
-    return index(spark, [files.IndexFile(os.path.abspath(path), kind, source)], store, make, bases={"own": os.path.dirname(os.path.abspath(path))})
+    return index(spark, [files.IndexFile(os.path.abspath(path), kind, source)], store, make, bases={"own": os.path.dirname(os.path.abspath(path))}, errors="fail")
 
 
 def search(spark: SparkSession, store: str, query: str, embedder: Embedder, limit: int = 5, session: str | None = None, kind: str | None = None, sources: list[str] | None = None, enabled: bool = True) -> DataFrame:

@@ -16,10 +16,10 @@ from .kb_index import locked, swap
 
 
 def turns(spark: SparkSession, found: list[str]) -> DataFrame:
-    """Turns of transcripts; of files with one document id the last path stays."""
+    """Turns of transcripts; of files with one document id the last path stays; a broken file raises."""
     if not found:
         return spark.createDataFrame([], "doc_id string, source_path string, role string, text string, turn_index int, has_tool_use boolean, tool_call_count int")
-    lines = transcripts.read_lines(spark, found).withColumn("doc_id", T.sanitize(T.session_id(F.col("path"))))
+    lines = transcripts.read_lines(spark, found, "fail").withColumn("doc_id", T.sanitize(T.session_id(F.col("path"))))
     env = F.array_contains(F.split("path", "/"), ".codex")
     both = transcripts.typed_turns(lines.where(~env), "path", "doc_id").unionByName(transcripts.enveloped_turns(lines.where(env), "path", "doc_id"))
     last = W.partitionBy("doc_id").orderBy(F.split("path", "/").desc())

@@ -10,23 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import blank, trim
+from . import lines
 
 # Opening words of context that tools add to a user's message.
 PRELUDES = ("# AGENTS.md instructions", "<environment_context>", "<collaboration_mode>", "<skills_instructions>", "<permissions instructions>")
 BLOCKS = "array<variant>"
 
 
-def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, line_no, line); .zst files are decoded by the reader; lines end at newlines only.
-
-    A file that cannot be decoded is skipped whole, with a warning in the log.
-    """
-    if not paths:
-        return spark.createDataFrame([], "path string, line_no int, line string")
-    # The reader gives names as parts of a URI.
-    name = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
-    whole = spark.read.option("ignoreCorruptFiles", True).text(paths, wholetext=True).select(F.regexp_replace(name, r"^file:/*(?=/)", "").alias("path"), "value")
-    return lines_of(whole.withColumnRenamed("value", "text"), "path")
+def read_lines(spark: SparkSession, paths: list[str], errors: str = "skip") -> DataFrame:
+    """(path, line_no, line); .zst files are decoded as they are read; lines end at newlines only."""
+    return lines.read(spark, paths, errors)
 
 
 def lines_of(df: DataFrame, *keys: str) -> DataFrame:
