@@ -10,8 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as T
-from ..operators import transcript
-from ..sources import files, transcripts
+from ..operators import transcript, tree
+from ..sources import documents, files, transcripts
 from .kb_index import locked, swap
 
 
@@ -57,22 +57,22 @@ def load(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(os.path.join(out, "documents")), spark.read.parquet(os.path.join(out, "nodes"))
 
 
+def tree_rows(nodes: DataFrame) -> DataFrame:
+    """The nodes of an index as rows of a tree of one level."""
+    position = F.col("node_id").cast("int") - 1
+    named = [F.col(n).cast(t).alias(n) for n, t in tree.FIELDS]
+    return nodes.select("doc_id", position.alias("position"), F.lit(-1).alias("parent_position"), F.lit(None).cast("string").alias("parent_id"), F.lit(1).alias("depth"), F.array(position).alias("path"), *named)
+
+
 def write_json(spark: SparkSession, out: str, target: str) -> None:
-    """One JSON line for each document with its nodes, for other tools."""
+    """One indented JSON file for each document with its nodes, for other tools."""
     docs, nodes = load(spark, out)
-    own = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "title", "summary", "source_locator", "start_turn", "end_turn", "text"))).alias("nodes"))
-    docs.join(own, "doc_id").write.mode("overwrite").json(target)
+    documents.write(docs, tree_rows(nodes), target)
 
 
 def read_json(spark: SparkSession, source: str) -> tuple[DataFrame, DataFrame]:
-    """Documents and nodes of such files; a bad file raises, a missing folder has none."""
-    if not os.path.isdir(source):
-        rows = turns(spark, [])
-        return transcript.documents(rows), transcript.nodes(rows)
-    node = "struct<node_id:string,title:string,summary:string,source_locator:string,start_turn:int,end_turn:int,text:string>"
-    schema = f"doc_id string, doc_name string, doc_description string, source_family string, source_path string, turn_count long, text string, nodes array<{node}>"
-    docs = spark.read.schema(schema).option("mode", "FAILFAST").json(source)
-    return docs.drop("nodes"), docs.select("doc_id", F.inline("nodes"))
+    """Documents and nodes of such files, nested nodes too; a bad file raises, a missing folder has none."""
+    return documents.read(spark, source)
 
 
 def query(spark: SparkSession, out: str, text: str, limit: int = 5) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import views as V
 from .functions import chunking, text as T
-from .operators import history, kb, present, transcript, vector
+from .operators import history, kb, present, transcript, tree, vector
 from .sources import transcripts, tsv
 
 QUERIES, SQL = {}, {}
@@ -85,7 +85,7 @@ firsts AS (
     QUALIFY row_number() OVER (PARTITION BY history_hash ORDER BY type DESC, string_split(path, '/'), chunk_idx) = 1
 ),
 store AS (
-    SELECT f.*, embedding FROM (SELECT *, (row_number() OVER (ORDER BY type, path, chunk_idx) - 1) % (SELECT count(*) FROM embeddings) AS vec_id FROM firsts) f JOIN embeddings USING (vec_id)
+    SELECT f.*, embedding FROM (SELECT *, ('0x' || left(point_id, 8))::BIGINT % (SELECT count(*) FROM embeddings) AS vec_id FROM firsts) f JOIN embeddings USING (vec_id)
 ),
 q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS qv FROM embeddings WHERE vec_id = 0),
 scored AS (
@@ -331,6 +331,41 @@ def longs(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in ("start_turn", "end_turn")})
 
 
+TREES = "WITH " + TURNS + """, grouped AS (
+    SELECT *, (sum((role = 'user')::INT) OVER (PARTITION BY doc_id ORDER BY turn_index))::BIGINT AS g FROM turns
+), every AS (
+    SELECT doc_id, [p, g, turn_index] AS k, 't' || turn_index AS node_id, 'e' || g AS parent_id, 3 AS depth, turn_index AS start_turn, turn_index AS end_turn, text FROM (SELECT *, g // 4 AS p FROM grouped)
+    UNION ALL
+    SELECT doc_id, [g // 4, g], 'e' || g, 'p' || (g // 4), 2, min(turn_index), max(turn_index), '' FROM grouped GROUP BY doc_id, g
+    UNION ALL
+    SELECT doc_id, [g // 4], 'p' || (g // 4), NULL, 1, min(turn_index), max(turn_index), '' FROM grouped GROUP BY doc_id, g // 4
+), tree AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS position FROM every)"""
+
+
+@register("tree_nodes", TREES + " SELECT doc_id, position, node_id, parent_id, depth::BIGINT AS depth, start_turn, end_turn, text FROM tree")
+def tree_nodes(spark, d):
+    return tree.flatten(V.trees(spark, d)).select("doc_id", F.col("position").cast("long"), "node_id", "parent_id", F.col("depth").cast("long"), "start_turn", "end_turn", "text")
+
+
+@register("tree_counts", TREES + " SELECT doc_id, count(*) AS nodes, max(depth)::BIGINT AS depth FROM tree GROUP BY doc_id")
+def tree_counts(spark, d):
+    return tree.count(tree.flatten(V.trees(spark, d))).withColumn("depth", F.col("depth").cast("long"))
+
+
+@register("tree_below", TREES + " SELECT a.doc_id, a.node_id, a.position FROM tree a JOIN tree b ON a.doc_id = b.doc_id AND b.node_id = 'p0' AND a.k[1] = b.k[1]")
+def tree_below(spark, d):
+    return tree.below(tree.flatten(V.trees(spark, d)), "p0").select("doc_id", "node_id", F.col("position").cast("long"))
+
+
+@register("tree_structure", TREES + " SELECT doc_id, 'p' || k[1] AS part, 'e' || k[2] AS exchange, node_id AS turn FROM tree WHERE depth = 3")
+def tree_structure(spark, d):
+    shown = tree.structure(tree.flatten(V.trees(spark, d)))
+    for level in ("part", "exchange", "turn"):
+        rest = [c for c in shown.columns if c != "nodes"]
+        shown = shown.select(*rest, F.explode(F.from_json("nodes", "array<struct<node_id:string,nodes:string>>")).alias("n")).select(*rest, F.col("n.node_id").alias(level), F.col("n.nodes").alias("nodes"))
+    return shown.drop("nodes")
+
+
 _terms = T.query_terms(TRANSCRIPT_QUERY)
 
 

@@ -25,6 +25,27 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, nodes): each conversation as JSON nodes of three levels: four exchanges, one, a turn."""
+    order = W.partitionBy("doc_id").orderBy("turn_index").rowsBetween(W.unboundedPreceding, 0)
+    rows = turns(spark, sf_dir).withColumn("g", F.sum((F.col("role") == "user").cast("int")).over(order)).withColumn("p", F.expr("g div 4"))
+
+    def node(name, title, first, last, text, below):
+        return F.struct(name.alias("node_id"), title.alias("title"), F.lit("").alias("summary"), F.format_string("turns:%d-%d", first, last).alias("source_locator"), first.cast("long").alias("start_turn"), last.cast("long").alias("end_turn"), text.alias("text"), below.alias("nodes"))
+
+    def gathered(df, *keys):
+        lists = F.array_sort(F.collect_list(F.struct("start", "node")))
+        return df.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.transform(lists, lambda x: x["node"]).alias("nodes"))
+
+    label = lambda c, x: F.concat(F.lit(x), F.col(c).cast("string"))
+    start, end, nodes, none = F.col("start"), F.col("end"), F.col("nodes"), F.array().cast("array<string>")
+    rows = rows.withColumn("start", F.col("turn_index")).withColumn("end", F.col("turn_index"))
+    rows = rows.withColumn("node", node(label("turn_index", "t"), F.col("role"), start, end, F.col("text"), none))
+    rows = gathered(rows, "doc_id", "p", "g").withColumn("node", node(label("g", "e"), F.lit("exchange"), start, end, F.lit(""), nodes))
+    rows = gathered(rows, "doc_id", "p").withColumn("node", node(label("p", "p"), F.lit("part"), start, end, F.lit(""), nodes))
+    return gathered(rows, "doc_id").select("doc_id", F.to_json("nodes").alias("nodes"))
+
+
 def jsonl(spark: SparkSession, sf_dir: str, dialect: str) -> DataFrame:
     """(path, line_no, line): one JSON line for each turn; every eleventh is cut short."""
     t = turns(spark, sf_dir).withColumn("line_no", F.col("turn_index") + 1)
@@ -62,16 +83,14 @@ def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First chunks numbered by type, path and position, each with an embedding.
+    """First chunks, each with an embedding: that of its point id's leading digits, modulo their number.
 
-    The table has fewer embeddings than there are chunks, so their numbers repeat.
+    The table has fewer embeddings than there are chunks, so they repeat.
     """
     first = history.first_of_each(chunk_rows(spark, sf_dir))
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    # One number over all rows: a view of the small driver tables, not part of the engine.
-    n = first.withColumn("n", F.row_number().over(W.orderBy("type", "path", "chunk_idx")) - 1)
-    of = F.greatest(F.lit(1), F.lit(vectors.count()))
-    return n.withColumn("vec_id", (F.col("n") % of).cast("long")).drop("n").join(vectors, "vec_id")
+    number = F.conv(F.substring("point_id", 1, 8), 16, 10).cast("long")
+    return first.withColumn("vec_id", number % F.greatest(F.lit(1), F.lit(vectors.count()))).join(vectors, "vec_id")
 
 
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
