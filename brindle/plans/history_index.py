@@ -1,7 +1,10 @@
 """The history store: discover, extract, chunk, skip what is known, embed, append, search.
 
-The store is a Parquet table split by type, beside a JSON file that fixes the vector size.  It
-lies in a folder of this machine's file system (shared or not); one run at a time changes it.
+Points lie in buckets by the leading digits of their ids: ``points/gen=<n>/bucket=<digits>/type=<t>``.
+A run writes one generation, and ``_points.json`` names the generations that each bucket consists
+of; it is replaced in one step, so readers see a run whole or not at all.  A run reads and writes
+only the buckets that its own points fall in.  The store lies in a folder of this machine's file
+system (shared or not); one run at a time changes it.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from ..embed import Embedder, embedded
 from ..functions import text as T
 from ..operators import history, vector
 from ..sources import files, transcripts
-from .kb_index import locked, swap
+from .kb_index import locked
 
 COLUMNS = "point_id string, embedding array<float>, text string, type string, source string, path string, session_id string, history_hash string"
 
@@ -39,11 +42,55 @@ def ensure(store: str, size: int) -> None:
         json.dump({"vector_size": size, "distance": "cosine"}, f)
 
 
-def points(spark: SparkSession, store: str) -> DataFrame:
-    path = os.path.join(store, "points")
-    if not os.path.isdir(path):
+#: Hex digits of a bucket in new stores, and generations of a bucket before it is written anew.
+DIGITS, GENERATIONS = 2, 16
+POINTERS = "_points.json"
+
+
+def pointers(store: str) -> dict:
+    """{"digits": n, "buckets": {bucket: [generation, …]}} of a store."""
+    try:
+        with open(os.path.join(store, POINTERS)) as f:
+            return json.load(f)
+    except FileNotFoundError:
+        return {"digits": DIGITS, "buckets": {}}
+
+
+def point_to(store: str, state: dict) -> None:
+    fresh = os.path.join(store, f".{POINTERS}-{uuid.uuid4().hex}")
+    with open(fresh, "w") as f:
+        json.dump(state, f)
+    os.replace(fresh, os.path.join(store, POINTERS))
+
+
+def bucket_of(point_id, digits: int):
+    return F.substring(point_id, 1, digits)
+
+
+def points(spark: SparkSession, store: str, buckets: set[str] | None = None) -> DataFrame:
+    """The points of a store, or of some of its buckets: other buckets' folders are not listed."""
+    live = {b: gens for b, gens in pointers(store)["buckets"].items() if buckets is None or b in buckets}
+    base = os.path.join(store, "points")
+    paths = [os.path.join(base, f"gen={g}", f"bucket={b}") for b, gens in sorted(live.items()) for g in gens]
+    if not paths:
         return spark.createDataFrame([], COLUMNS)
-    return spark.read.schema(COLUMNS).parquet(path)
+    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    return spark.read.schema(COLUMNS + ", gen int, bucket string").option("basePath", base).parquet(*paths).select(*names)
+
+
+def clear(store: str, state: dict) -> None:
+    """Remove generations that no bucket consists of: what a run before the last has replaced."""
+    base = os.path.join(store, "points")
+    live = {g for gens in state["buckets"].values() for g in gens}
+    for name in os.listdir(base) if os.path.isdir(base) else ():
+        if int(name.removeprefix("gen=")) not in live:
+            shutil.rmtree(os.path.join(base, name), ignore_errors=True)
+
+
+def next_generation(store: str, state: dict) -> int:
+    base = os.path.join(store, "points")
+    there = [int(n.removeprefix("gen=")) for n in os.listdir(base)] if os.path.isdir(base) else []
+    return 1 + max([0, *there, *(g for gens in state["buckets"].values() for g in gens)])
 
 
 def extracted(spark: SparkSession, found: list[files.IndexFile], bases: dict[str, str] | None = None, errors: str = "skip") -> DataFrame:
@@ -81,26 +128,40 @@ def index(spark: SparkSession, found: list[files.IndexFile], store: str, make: C
     its id; points of other files stay.
     """
     ensure(store, make().size)
-    path = os.path.join(store, "points")
     with locked(store):
-        chunked = history.identified(extracted(spark, found, bases, errors)).withColumnRenamed("chunk", "text")
-        old = points(spark, store)
-        new = history.first_of_each(chunked) if fresh else history.unseen(chunked, old)
-        rows = embedded(new, make).select("point_id", "embedding", "text", "type", "source", "path", "session_id", "history_hash")
+        state = pointers(store)
+        clear(store, state)
+        digits = state["digits"]
         stage = os.path.join(store, f".stage-{uuid.uuid4().hex}")
         try:
-            rows.write.partitionBy("type").parquet(os.path.join(stage, "new"))
-            rows = spark.read.schema(COLUMNS).parquet(os.path.join(stage, "new"))
-            n = rows.count()
-            if not fresh and n and os.path.isdir(path):
-                rows.write.mode("append").partitionBy("type").parquet(path)
-            elif n:
-                kept = old.join(rows.select("point_id"), "point_id", "left_anti").select(*rows.columns)
-                kept.unionByName(rows).write.partitionBy("type").parquet(os.path.join(stage, "points"))
-                swap(os.path.join(stage, "points"), path)
+            chunked = history.identified(extracted(spark, found, bases, errors)).withColumnRenamed("chunk", "text")
+            # Read once: the buckets to look at, then the rows.
+            read = os.path.join(stage, "chunks")
+            history.first_of_each(chunked).withColumn("bucket", bucket_of("point_id", digits)).write.parquet(read)
+            chunked = spark.read.parquet(read)
+            if not fresh:
+                touched = {r["bucket"] for r in chunked.select("bucket").distinct().collect()}  # at most 16 ** digits
+                chunked = history.unseen(chunked, points(spark, store, touched))
+            made = embedded(chunked, make).select("point_id", "embedding", "text", "source", "path", "session_id", "history_hash", "bucket", "type")
+            # Large buckets go to several files, small ones share a task.
+            laid_out = lambda df: df.hint("rebalance", "bucket").sortWithinPartitions("bucket", "type", "point_id").write.partitionBy("bucket", "type")
+            laid_out(made).parquet(os.path.join(stage, "new"))
+            rows = spark.read.schema(made.schema).parquet(os.path.join(stage, "new"))
+            held = {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}
+            if not held:
+                return 0
+            again = {b for b in held if b in state["buckets"] and (fresh or len(state["buckets"][b]) >= GENERATIONS)}
+            if again:
+                old = points(spark, store, again).join(rows.select("point_id"), "point_id", "left_anti").withColumn("bucket", bucket_of("point_id", digits))
+                laid_out(old.select(*rows.columns).unionByName(rows)).parquet(os.path.join(stage, "all"))
+            g = next_generation(store, state)
+            os.makedirs(os.path.join(store, "points"), exist_ok=True)
+            os.rename(os.path.join(stage, "all" if again else "new"), os.path.join(store, "points", f"gen={g}"))
+            kept = {b: [g] if b in again else [*state["buckets"].get(b, []), g] for b in held}
+            point_to(store, {"digits": digits, "buckets": state["buckets"] | kept})
         finally:
             shutil.rmtree(stage, ignore_errors=True)
-    return n
+    return sum(held.values())
 
 
 def index_file(spark: SparkSession, path: str, store: str, make: Callable[[], Embedder]) -> int:
@@ -116,18 +177,33 @@ def index_file(spark: SparkSession, path: str, store: str, make: Callable[[], Em
     return index(spark, [files.IndexFile(os.path.abspath(path), kind, source)], store, make, bases={"own": os.path.dirname(os.path.abspath(path))}, errors="fail")
 
 
+def same_size(store: str, embedder: Embedder) -> None:
+    """A query of another vector size than the store's raises."""
+    try:
+        with open(os.path.join(store, "_store.json")) as f:
+            own = json.load(f)["vector_size"]
+    except FileNotFoundError:
+        return
+    if own != embedder.size:
+        raise ValueError(f"store has {own} dimensions, the embedder {embedder.size}")
+
+
 def search(spark: SparkSession, store: str, query: str, embedder: Embedder, limit: int = 5, session: str | None = None, kind: str | None = None, sources: list[str] | None = None, enabled: bool = True) -> DataFrame:
     """Ranked history; nothing is embedded if search is off or no session matches."""
     if session is not None and not session.strip():
         raise ValueError("session filter must not be empty")
+    same_size(store, embedder)
     table = points(spark, store)
     if not enabled or limit == 0 or (session is not None and vector.restricted(table, session=session).isEmpty()):
         return table.withColumn("score", F.lit(0.0)).drop("embedding").limit(0)
     return vector.search(table, embedder.embed([query])[0], limit, kind=kind, sources=sources, session=session)
 
 
-def paired(spark: SparkSession, store: str, query: str, embedder: Embedder, limit: int = 5, sources: list[str] | None = None) -> DataFrame:
-    """Prompts and answers of one embedding, in one pass."""
+def paired(spark: SparkSession, store: str, query: str, embedder: Embedder, limit: int = 5, sources: list[str] | None = None, enabled: bool = True) -> DataFrame:
+    """Prompts and answers of one embedding, in one pass; none if search is off."""
+    same_size(store, embedder)
+    if not enabled or limit == 0:
+        return points(spark, store).drop("embedding").withColumns({"score": F.lit(0.0), "rank": F.lit(0)}).limit(0)
     return vector.paired(points(spark, store), embedder.embed([query])[0], limit, sources=sources)
 
 

@@ -115,3 +115,72 @@ def test_every_chunk_is_searched(spark):
     rows = views.store(spark, d)
     assert rows.count() == history.first_of_each(views.chunk_rows(spark, d)).count()
     assert rows.where("type = 'prompt'").count() > 0 and rows.where("embedding IS NULL").count() == 0
+
+
+def listing(store):
+    return {str(p.relative_to(store)): p.stat().st_mtime_ns for p in store.glob("points/**/*.parquet")}
+
+
+def test_a_run_touches_its_buckets_only(spark, tmp_path):
+    """Files of other buckets are neither read nor written; a reader has a run whole or not at all."""
+    store = tmp_path / "store"
+    for k in range(40):
+        put(tmp_path / "old" / f"{k}.jsonl", prompt(f"old words {k}"))
+    assert history_index.index(spark, found(tmp_path / "old"), str(store), MAKE) == 40
+    before, state = listing(store), history_index.pointers(str(store))
+    put(tmp_path / "new" / "a.jsonl", prompt("quite new words"))
+    assert history_index.index(spark, found(tmp_path / "new"), str(store), MAKE) == 1
+    after = history_index.pointers(str(store))
+    changed = {b for b in after["buckets"] if after["buckets"][b] != state["buckets"].get(b)}
+    assert len(changed) == 1 and {k: v for k, v in listing(store).items() if k in before} == before
+    added = set(listing(store)) - set(before)
+    assert len(added) == 1 and f"bucket={changed.copy().pop()}" in added.pop()
+    own = history_index.points(spark, str(store), changed)
+    read = {p.split("bucket=")[1][:2] for p in own.inputFiles()}
+    assert read == changed and own.count() >= 1
+    assert "bucket" in own._jdf.queryExecution().executedPlan().toString()
+    assert history_index.points(spark, str(store)).count() == 41
+    # Known rows are found again in their buckets.
+    assert history_index.index(spark, found(tmp_path / "old", tmp_path / "new"), str(store), MAKE) == 0
+    assert history_index.index(spark, found(tmp_path / "old"), str(store), MAKE, fresh=True) == 40
+    assert history_index.points(spark, str(store)).count() == 41
+    assert len({r["point_id"] for r in history_index.points(spark, str(store)).collect()}) == 41
+
+
+def test_old_generations_go_and_buckets_are_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history_index, "GENERATIONS", 2)
+    monkeypatch.setattr(history_index, "bucket_of", lambda *_: F.lit("a"))
+    store = tmp_path / "store"
+    for k in range(5):
+        put(tmp_path / f"r{k}" / "a.jsonl", prompt(f"words {k}"))
+        assert history_index.index(spark, found(tmp_path / f"r{k}"), str(store), MAKE) == 1
+    gens = history_index.pointers(str(store))["buckets"]["a"]
+    assert len(gens) <= 2 and history_index.points(spark, str(store)).count() == 5
+    history_index.index(spark, [], str(store), MAKE)
+    assert {int(p.name[4:]) for p in (store / "points").iterdir()} == set(gens)
+
+
+def test_a_failed_run_changes_nothing(spark, tmp_path):
+    store = tmp_path / "store"
+    put(tmp_path / "r" / "a.jsonl", prompt("first words"))
+    history_index.index(spark, found(tmp_path / "r"), str(store), MAKE)
+    before = listing(store), history_index.pointers(str(store))
+
+    class Fails(embed.HashingEmbedder):
+        def embed(self, texts):
+            raise RuntimeError("no service")
+
+    put(tmp_path / "r" / "b.jsonl", prompt("second words"))
+    with pytest.raises(Exception, match="no service"):
+        history_index.index(spark, found(tmp_path / "r"), str(store), lambda: Fails(16))
+    assert (listing(store), history_index.pointers(str(store))) == before
+    assert [p.name for p in store.iterdir() if p.name.startswith(".stage")] == []
+
+
+def test_another_vector_size_raises(spark, tmp_path):
+    store = str(tmp_path / "store")
+    put(tmp_path / "r" / "a.jsonl", prompt("some words"))
+    history_index.index(spark, found(tmp_path / "r"), store, MAKE)
+    for run in (history_index.search, history_index.paired):
+        with pytest.raises(ValueError, match="16 dimensions, the embedder 8"):
+            run(spark, store, "words", embed.HashingEmbedder(8))
