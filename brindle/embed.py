@@ -1,4 +1,4 @@
-"""Embedding: a protocol, an offline hashing embedder, and the rules of a remote one."""
+"""Embedding: a protocol, an offline hashing embedder, and the rules of remote ones (see client)."""
 
 from __future__ import annotations
 
@@ -22,6 +22,8 @@ class Embedder(Protocol):
 
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
+    def embed_query(self, text: str) -> list[float]: ...
+
 
 class HashingEmbedder:
     """Signed word hashes of unit length: needs no model or network and never changes."""
@@ -29,6 +31,9 @@ class HashingEmbedder:
     def __init__(self, size: int = 64):
         self.size = size
 
+    def embed_query(self, text: str) -> list[float]:
+        return self.embed([text])[0]
+
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
         for text in texts:

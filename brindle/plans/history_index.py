@@ -196,7 +196,12 @@ def search(spark: SparkSession, store: str, query: str, embedder: Embedder, limi
     table = points(spark, store)
     if not enabled or limit == 0 or (session is not None and vector.restricted(table, session=session).isEmpty()):
         return table.withColumn("score", F.lit(0.0)).drop("embedding").limit(0)
-    return vector.search(table, embedder.embed([query])[0], limit, kind=kind, sources=sources, session=session)
+    return vector.search(table, embedder.embed_query(query), limit, kind=kind, sources=sources, session=session)
+
+
+def search_vector(spark: SparkSession, store: str, query: list[float], limit: int = 5, **filters) -> DataFrame:
+    """Ranked history for a vector that is already there."""
+    return vector.search(points(spark, store), query, limit, **filters)
 
 
 def paired(spark: SparkSession, store: str, query: str, embedder: Embedder, limit: int = 5, sources: list[str] | None = None, enabled: bool = True) -> DataFrame:
@@ -204,7 +209,7 @@ def paired(spark: SparkSession, store: str, query: str, embedder: Embedder, limi
     same_size(store, embedder)
     if not enabled or limit == 0:
         return points(spark, store).drop("embedding").withColumns({"score": F.lit(0.0), "rank": F.lit(0)}).limit(0)
-    return vector.paired(points(spark, store), embedder.embed([query])[0], limit, sources=sources)
+    return vector.paired(points(spark, store), embedder.embed_query(query), limit, sources=sources)
 
 
 def stats(spark: SparkSession, store: str) -> int:

@@ -92,8 +92,10 @@ def names_of(selector: str) -> list[str]:
 
 
 def content(spark: SparkSession, out: str, selector: str, locator: str) -> str:
-    """Text of the first document that the selector may mean; if there is none, of no document."""
+    """Text of the first document that the selector may mean; if there is none, it raises."""
     docs, nodes = load(spark, out)
     names = names_of(selector)
     there = {r["doc_id"] for r in docs.where(F.col("doc_id").isin(*names)).select("doc_id").distinct().collect()}
-    return transcript.content(docs, nodes, next((n for n in names if n in there), names[-1]), locator)
+    if not there:
+        raise ValueError(f"document not found in the transcript index: {selector}")
+    return transcript.content(docs, nodes, next(n for n in names if n in there), locator)

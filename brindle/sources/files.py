@@ -24,6 +24,22 @@ class Rule:
     header: bool = False
 
 
+# Where the tools keep their transcripts, below the home or configuration folder.
+DEFAULT_ROOTS = (
+    ("home", ".claude/projects", "typed", "session", (".jsonl",), False),
+    ("home", ".claude/archive", "typed", "archive", (".jsonl.zst", ".jsonl"), False),
+    ("home", ".codex/sessions", "enveloped", "session", (".jsonl",), False),
+    ("home", ".codex/archived_sessions", "enveloped", "archive", (".jsonl",), False),
+    ("config", "pi/agent/sessions", "typed", "session", (".jsonl",), True),
+)
+
+
+def default_rules(home: str, config: str, headed: bool = True) -> list[Rule]:
+    """Rules of the default folders; ``headed`` adds those that need a session header."""
+    base = {"home": home, "config": config}
+    return [Rule(os.path.join(base[below], folder), kind, source, suffix, header) for below, folder, kind, source, suffixes, header in DEFAULT_ROOTS if headed or not header for suffix in suffixes]
+
+
 def walk(root: str, suffix: str) -> list[str]:
     """Regular files below ``root`` that end so; a missing root has none."""
     found = []

@@ -94,8 +94,8 @@ def test_the_command_line_reads_its_profile(spark, tmp_path, capsys):
     cli.main(["--store", store, "--config", str(own), "search", "bread", "--json"], spark)
     assert "about bread" not in capsys.readouterr().out
     own.write_text(own.read_text().replace('"hashing"', '"hosted"'))
-    with pytest.raises(SystemExit):
-        cli.main(["--store", store, "--config", str(own), "search", "bread"], spark)
+    with pytest.raises(SystemExit, match="none.toml"):
+        cli.main(["--store", store, "--config", str(own), "--key-file", str(tmp_path / "none.toml"), "search", "bread"], spark)
     assert config.load(str(tmp_path / "none.toml")) == config.Config()
 
 
