@@ -85,12 +85,17 @@ def content(docs: DataFrame, node_rows: DataFrame, doc_id: str, locator: str) ->
     raise ValueError(f"turn range starts after end of transcript: {doc_id}")
 
 
+def searched():
+    """What a query looks for its terms in."""
+    return F.lower(F.concat_ws("\n", "doc_id", "title", "summary", "text"))
+
+
 def query(docs: DataFrame, node_rows: DataFrame, text: str, limit: int = 5, command: str = "brindle transcript content") -> DataFrame:
     """Nodes by ten points for each query term, repeats included, that they hold as a substring."""
     terms = T.query_terms(text)
-    both = node_rows.join(docs.select("doc_id", "source_path"), "doc_id")
-    full = F.lower(F.concat_ws("\n", "doc_id", "title", "summary", "text"))
     asked = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-    hits = both.withColumn("s", full).withColumn("hits", F.filter(asked, lambda t: F.contains(F.col("s"), t))).where(F.size("hits") > 0)
-    out = hits.select("doc_id", "source_path", "node_id", "title", (F.size("hits") * 10).cast("long").alias("score"), F.concat(F.lit("matched query terms: "), F.array_join("hits", ", ")).alias("reason"), F.concat(F.lit(f"{command} "), "doc_id", F.lit(" "), "node_id").alias("next_content_command"))
-    return out.orderBy(F.desc("score"), "doc_id", "node_id").limit(limit if terms else 0)
+    hits = node_rows.withColumn("s", searched()).withColumn("hits", F.filter(asked, lambda t: F.contains(F.col("s"), t))).where(F.size("hits") > 0)
+    best = hits.select("doc_id", "node_id", "title", "hits", (F.size("hits") * 10).cast("long").alias("score")).orderBy(F.desc("score"), "doc_id", "node_id").limit(limit if terms else 0)
+    # Only the results meet the documents: they are as few as the limit.
+    out = docs.select("doc_id", "source_path").join(F.broadcast(best), "doc_id").select("doc_id", "source_path", "node_id", "title", "score", F.concat(F.lit("matched query terms: "), F.array_join("hits", ", ")).alias("reason"), F.concat(F.lit(f"{command} "), "doc_id", F.lit(" "), "node_id").alias("next_content_command"))
+    return out.orderBy(F.desc("score"), "doc_id", "node_id")

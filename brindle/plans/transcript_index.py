@@ -10,11 +10,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as T
-from ..operators import transcript, tree
+from ..operators import postings, transcript, tree
 from ..sources import documents, files, transcripts
 from .kb_index import locked, swap
 
 
+GRAMS = "term string, doc_id string, node_id string, bucket int"
+
+
 def turns(spark: SparkSession, found: list[str]) -> DataFrame:
     """Turns of transcripts; of files with one document id the last path stays; a broken file raises."""
     if not found:
@@ -43,7 +46,9 @@ def build(spark: SparkSession, roots: list[files.Rule], out: str, max_sessions:
             made.write.parquet(read)
             rows = spark.read.schema(made.schema).parquet(read)
             transcript.documents(rows).write.parquet(os.path.join(stage, "documents"))
-            transcript.nodes(rows).write.parquet(os.path.join(stage, "nodes"))
+            made = os.path.join(stage, "nodes")
+            transcript.nodes(rows).write.parquet(made)
+            postings.write(postings.of_transcripts(spark.read.parquet(made)), os.path.join(stage, "grams"))
             shutil.rmtree(read)
             swap(stage, out)
         finally:
@@ -77,7 +82,10 @@ def read_json(spark: SparkSession, source: str) -> tuple[DataFrame, DataFrame]:
 
 def query(spark: SparkSession, out: str, text: str, limit: int = 5) -> DataFrame:
     docs, nodes = load(spark, out)
-    return transcript.query(docs, nodes, text, limit)
+    lists = os.path.join(out, "grams")
+    if not os.path.isdir(lists):  # an index of an earlier version
+        return transcript.query(docs, nodes, text, limit)
+    return postings.search_transcripts(docs, nodes, spark.read.schema(GRAMS).parquet(lists), text, limit)
 
 
 def names_of(selector: str) -> list[str]:

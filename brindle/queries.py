@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import views as V
 from .functions import chunking, text as T
-from .operators import history, kb, present, transcript, tree, vector
+from .operators import history, kb, postings, present, transcript, tree, vector
 from .sources import transcripts, tsv
+from .storage import shared_folder
 
 QUERIES, SQL = {}, {}
 KB_QUERY, PHRASE_QUERY, ARCHIVE_QUERY, TRANSCRIPT_QUERY = "thatin ononst inoran", "of the", "src5 archive", "thtion thing user ering"
@@ -292,6 +293,18 @@ for _name, _query in (("kb_search", KB_QUERY), ("kb_search_phrase", PHRASE_QUERY
     register(_name, scored_sql(_query) + " SELECT * FROM results")(lambda s, d, q=_query: kb.search(V.kb_nodes(s, d), q))
 
 
+def stored_notes(spark, d):
+    """The nodes and their postings as tables of the shared folder."""
+    at = shared_folder(spark, "notes")
+    kb.tokenized(V.kb_nodes(spark, d)).write.parquet(f"{at}/nodes")
+    postings.write(postings.of_notes(spark.read.parquet(f"{at}/nodes")), f"{at}/postings")
+    return spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/postings")
+
+
+for _name, _query in (("kb_search_stored", KB_QUERY), ("kb_search_stored_phrase", PHRASE_QUERY), ("kb_search_stored_archive", ARCHIVE_QUERY)):
+    register(_name, scored_sql(_query) + " SELECT * FROM results")(lambda s, d, q=_query: postings.search_notes(*stored_notes(s, d), q))
+
+
 @register("kb_context_fetch", scored_sql(KB_QUERY) + """ SELECT r.path, node_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM results r JOIN lines l
 ON l.path = r.path AND line_no BETWEEN string_split(node_id, '-')[1]::INT AND string_split(node_id, '-')[2]::INT GROUP BY ALL""")
 def kb_context_fetch(spark, d):
@@ -378,6 +391,15 @@ def transcript_query(spark, d):
     return transcript.query(transcript.documents(turns), transcript.nodes(turns), TRANSCRIPT_QUERY, 20)
 
 
+@register("transcript_query_stored", SQL["transcript_query"])
+def transcript_query_stored(spark, d):
+    turns, at = V.turns(spark, d), shared_folder(spark, "transcripts")
+    transcript.nodes(turns).write.parquet(f"{at}/nodes")
+    nodes = spark.read.parquet(f"{at}/nodes")
+    postings.write(postings.of_transcripts(nodes), f"{at}/grams")
+    return postings.search_transcripts(transcript.documents(turns), nodes, spark.read.parquet(f"{at}/grams"), TRANSCRIPT_QUERY, 20)
+
+
 @register("enrich_session_section", HISTORY + f""", top AS (
     SELECT *, row_number() OVER (PARTITION BY type ORDER BY score DESC, point_id) AS rank FROM scored QUALIFY rank <= 3
 ), line AS (
