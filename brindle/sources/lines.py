@@ -182,10 +182,11 @@ def load(spark: SparkSession, ranges: list[Range], **options: str) -> DataFrame:
     return spark.read.format(NAME).options(ranges=listed, **options).load()
 
 
-def read(spark: SparkSession, paths: list[str], errors: str = "fail", range_bytes: int = RANGE) -> DataFrame:
+def read(spark: SparkSession, paths: list[str], errors: str = "fail", range_bytes: int = RANGE, running: bool = False) -> DataFrame:
     """(path, line_no from 1, line) of files; ``errors`` is ``fail`` or ``skip``.
 
-    A missing file raises, or has no lines with ``skip``; an empty one has none.
+    A missing file raises, or has no lines with ``skip``; an empty one has none.  With ``running``
+    the numbers go on from one file to the next.
     """
     if errors not in ("fail", "skip"):
         raise ValueError(f"errors must be fail or skip, not {errors}")
@@ -198,7 +199,7 @@ def read(spark: SparkSession, paths: list[str], errors: str = "fail", range_byte
                 raise Broken(f"cannot read {path}: {e}") from e
             continue
         own = cut(path, size, range_bytes)
-        (several if len(own) > 1 else single).extend(own)
+        (several if len(own) > 1 or (running and len(paths) > 1) else single).extend(own)
     if several:
         counts = {(r["path"], r["start"]): (r["lines"], r["bad"]) for r in load(spark, several, mode="count", range_bytes=str(range_bytes)).collect()}
         first, ended = {}, set()
@@ -206,8 +207,9 @@ def read(spark: SparkSession, paths: list[str], errors: str = "fail", range_byte
             if r.path in ended:
                 continue
             lines, bad = counts[r.path, r.start]
-            single.append(Range(r.path, r.start, r.stop, first.get(r.path, 1)))
-            first[r.path] = first.get(r.path, 1) + lines
+            key = None if running else r.path
+            single.append(Range(r.path, r.start, r.stop, first.get(key, 1)))
+            first[key] = first.get(key, 1) + lines
             if bad:
                 ended.add(r.path)
     if not single:
