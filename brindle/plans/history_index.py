@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..embed import Embedder, embedded
-from ..functions import text as T
+from ..functions import chunking, text as T
 from ..operators import history, vector
 from ..sources import files, transcripts
 from .kb_index import locked
@@ -113,12 +113,18 @@ def extracted(spark: SparkSession, found: list[files.IndexFile], bases: dict[str
     answers = transcripts.typed_answers(typed, *keys).unionByName(transcripts.enveloped_messages(env, "assistant", *keys))
     every = prompts.withColumn("type", F.lit("prompt")).unionByName(answers.withColumn("type", F.lit("answer")))
     out = history.streams(every, "type", "source", "path")
+    return shown(out, bases).select("type", "source", "path", "full_path", "session_id", "text")
+
+
+def shown(rows: DataFrame, bases: dict[str, str] | None) -> DataFrame:
+    """Paths relative to their roots (archives: the name) with ``full_path`` and ``session_id``."""
     name = F.element_at(F.split("path", "/"), -1)
     short = F.when(F.col("source") == "archive", name)
     for root in sorted((bases or {}).values(), key=len, reverse=True):
         prefix = os.path.abspath(root).rstrip("/") + "/"
         short = F.coalesce(short, F.when(F.startswith("path", F.lit(prefix)), F.substring(F.col("path"), len(prefix) + 1, 1 << 30)))
-    return out.select("type", "source", F.coalesce(short, F.col("path")).alias("path"), F.col("path").alias("full_path"), T.session_id(F.col("path")).alias("session_id"), "text")
+    named = rows.withColumns({"full_path": F.col("path"), "session_id": T.session_id(F.col("path"))})
+    return named.withColumn("path", F.coalesce(short, F.col("full_path")))
 
 
 def index(spark: SparkSession, found: list[files.IndexFile], store: str, make: Callable[[], Embedder], fresh: bool = False, bases: dict[str, str] | None = None, errors: str = "skip") -> int:
@@ -127,6 +133,23 @@ def index(spark: SparkSession, found: list[files.IndexFile], store: str, make: C
     ``fresh`` ignores what is stored: every point is embedded again and replaces the one of
     its id; points of other files stay.
     """
+    chunked = history.identified(extracted(spark, found, bases, errors)).withColumnRenamed("chunk", "text")
+    return change_store(spark, chunked, store, make, fresh)
+
+
+def change(spark: SparkSession, changes: DataFrame, store: str, make: Callable[[], Embedder], bases: dict[str, str] | None = None) -> int:
+    """Put and drop chunks (type, source, full_path, chunk, chunk_idx, put); returns how many were written.
+
+    A dropped chunk goes only if the store has it from the same file.
+    """
+    rows = shown(changes.withColumnRenamed("chunk", "text").withColumnRenamed("full_path", "path"), bases)
+    rows = rows.withColumn("history_hash", chunking.history_hash(F.col("type"), F.col("source"), chunking.text_hash(F.col("text"))))
+    rows = rows.withColumn("point_id", chunking.point_id(F.col("history_hash")))
+    return change_store(spark, rows, store, make)
+
+
+def change_store(spark: SparkSession, chunked: DataFrame, store: str, make: Callable[[], Embedder], fresh: bool = False) -> int:
+    """Write what the store does not have, and rewrite the buckets that lose or replace points."""
     ensure(store, make().size)
     with locked(store):
         state = pointers(store)
@@ -134,31 +157,39 @@ def index(spark: SparkSession, found: list[files.IndexFile], store: str, make: C
         digits = state["digits"]
         stage = os.path.join(store, f".stage-{uuid.uuid4().hex}")
         try:
-            chunked = history.identified(extracted(spark, found, bases, errors)).withColumnRenamed("chunk", "text")
             # Read once: the buckets to look at, then the rows.
             read = os.path.join(stage, "chunks")
-            history.first_of_each(chunked).withColumn("bucket", bucket_of("point_id", digits)).write.parquet(read)
+            if "put" not in chunked.columns:
+                chunked = chunked.withColumn("put", F.lit(True))
+            chunked.withColumn("bucket", bucket_of("point_id", digits)).write.parquet(read)
             chunked = spark.read.parquet(read)
-            if not fresh:
-                touched = {r["bucket"] for r in chunked.select("bucket").distinct().collect()}  # at most 16 ** digits
-                chunked = history.unseen(chunked, points(spark, store, touched))
+            drops = chunked.where("NOT put").select("point_id", "path")
+            touched = chunked.groupBy("bucket", "put").count().collect()  # at most twice 16 ** digits
+            chunked = chunked.where("put")
+            if fresh:
+                chunked = history.first_of_each(chunked)
+            else:
+                chunked = history.unseen(chunked, points(spark, store, {r["bucket"] for r in touched if r["put"]}))
             made = embedded(chunked, make).select("point_id", "embedding", "text", "source", "path", "session_id", "history_hash", "bucket", "type")
             # Large buckets go to several files, small ones share a task.
             laid_out = lambda df: df.hint("rebalance", "bucket").sortWithinPartitions("bucket", "type", "point_id").write.partitionBy("bucket", "type")
             laid_out(made).parquet(os.path.join(stage, "new"))
             rows = spark.read.schema(made.schema).parquet(os.path.join(stage, "new"))
             held = {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}
-            if not held:
+            live = state["buckets"]
+            dropping = {r["bucket"] for r in touched if not r["put"]} & live.keys()
+            again = dropping | {b for b in held if b in live and (fresh or len(live[b]) >= GENERATIONS)}
+            if not held and not again:
                 return 0
-            again = {b for b in held if b in state["buckets"] and (fresh or len(state["buckets"][b]) >= GENERATIONS)}
             if again:
-                old = points(spark, store, again).join(rows.select("point_id"), "point_id", "left_anti").withColumn("bucket", bucket_of("point_id", digits))
-                laid_out(old.select(*rows.columns).unionByName(rows)).parquet(os.path.join(stage, "all"))
+                old = points(spark, store, again).join(rows.select("point_id"), "point_id", "left_anti").join(drops, ["point_id", "path"], "left_anti")
+                laid_out(old.withColumn("bucket", bucket_of("point_id", digits)).select(*rows.columns).unionByName(rows)).parquet(os.path.join(stage, "all"))
             g = next_generation(store, state)
             os.makedirs(os.path.join(store, "points"), exist_ok=True)
             os.rename(os.path.join(stage, "all" if again else "new"), os.path.join(store, "points", f"gen={g}"))
-            kept = {b: [g] if b in again else [*state["buckets"].get(b, []), g] for b in held}
-            point_to(store, {"digits": digits, "buckets": state["buckets"] | kept})
+            there = {n.removeprefix("bucket=") for n in os.listdir(os.path.join(store, "points", f"gen={g}")) if n.startswith("bucket=")}
+            kept = {b: [g] if b in again else [*live.get(b, []), g] for b in there}
+            point_to(store, {"digits": digits, "buckets": {b: x for b, x in live.items() if b not in again} | kept})
         finally:
             shutil.rmtree(stage, ignore_errors=True)
     return sum(held.values())

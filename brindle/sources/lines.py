@@ -95,10 +95,12 @@ def bare(line: bytes) -> bytes:
 
 
 def batches(r: Range) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first, lines) in parts of bounded size; the good ones before bad bytes raise."""
-    number, held, size = r.first, [], 0
-    broken = None
-    lines = raw_lines(r)
+    return batches_of(raw_lines(r), r.path, r.first)
+
+
+def batches_of(lines: Iterator[bytes], path: str, number: int = 1) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, lines) in parts of bounded size; the good ones come before bad bytes raise."""
+    held, size, broken = [], 0, None
     while broken is None:
         try:
             line = next(lines, None)
@@ -107,7 +109,7 @@ def batches(r: Range) -> Iterator[tuple[int, list[bytes]]]:
         except Broken as e:
             broken, line = e, None
         except UnicodeDecodeError as e:
-            broken, line = Broken(f"cannot read {r.path}: line {number + len(held)}: {e.reason}"), None
+            broken, line = Broken(f"cannot read {path}: line {number + len(held)}: {e.reason}"), None
         if line is not None:
             held.append(bare(line))
             size += len(line)
