@@ -15,7 +15,6 @@ from . import kb, transcript
 
 #: Folders of an index.
 BUCKETS = 64
-KEY = ("path", "line_start")
 
 
 def bucket(term: Column, buckets: int = BUCKETS) -> Column:
@@ -41,25 +40,45 @@ def write(rows: DataFrame, path: str) -> None:
     rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
 
 
-def of_notes(tokenized: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, term, kind, n, path, line_start, divisor): where a term stands in heading (h), path (a), body (b).
+def numbered(nodes: DataFrame) -> DataFrame:
+    """Nodes with the number that lists name them by; to be written, since it is new each time."""
+    return nodes.withColumn("node", F.monotonically_increasing_id())
 
-    ``n`` is capped as the score caps it; ``divisor`` is that of the section's body.
+
+def held(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column behind a generator, so that lambdas over it do not compute it again for each element."""
+    return rows.select(*rows.columns, F.inline(F.array(F.struct(value.alias(name)))))
+
+
+def of_notes(nodes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, term, kind, n, node, divisor, live, file): where a term stands: heading (h), path (a), body (b).
+
+    ``n`` is capped as the score caps it, ``divisor`` is that of the section's body, ``live`` is
+    false in archives, ``file`` is a hash of the path.  A node's tokens are sorted and counted in
+    its own row; only the counts are dealt out.
     """
-    tagged = lambda c, kind: F.transform(c, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
-    every = F.concat(tagged("h_tok", "h"), tagged("a_tok", "a"), tagged("b_tok", "b"))
-    divisor = F.greatest(F.lit(1), T.integer_sqrt(F.greatest(F.size("b_tok"), F.lit(1)))).cast("long")
-    rows = tokenized.select(*KEY, divisor.alias("divisor"), F.explode(every).alias("t")).select(*KEY, "divisor", "t.*")
-    counted = rows.groupBy("term", "kind", *KEY, "divisor").agg(F.least(F.count("*"), F.lit(T.TERM_CAP)).cast("int").alias("n"))
-    return counted.select(bucket(F.col("term"), buckets).alias("bucket"), "term", "kind", "n", *KEY, "divisor")
+    tagged = lambda c, kind: F.transform(c, lambda t: F.concat(F.lit(kind), t))
+    rows = kb.tokenized(nodes)
+    divisor = F.greatest(F.lit(1), T.integer_sqrt(F.greatest(F.size("b_tok"), F.lit(1)))).cast("int")
+    facts = (divisor.alias("divisor"), (~T.is_archive(F.col("path"))).alias("live"), F.xxhash64("path").alias("file"))
+    every = F.array_sort(F.concat(tagged(F.col("h_tok"), "h"), tagged(F.col("a_tok"), "a"), tagged(F.col("b_tok"), "b")))
+    rows = held(rows.select("node", *facts, every.alias("all")), "own", F.col("all")).drop("all").where(F.size("own") > 0)
+    first = lambda i: (i == 0) | (F.get("own", i) != F.get("own", i - 1))
+    rows = held(rows, "starts", F.filter(F.sequence(F.lit(0), F.size("own") - 1), first))
+    size = lambda i, k: F.least(F.coalesce(F.get("starts", k + 1), F.size("own")) - i, F.lit(T.TERM_CAP)).cast("tinyint")
+    rows = rows.withColumn("runs", F.transform("starts", lambda i, k: F.struct(F.get("own", i).alias("t"), size(i, k).alias("n"))))
+    rows = rows.select("node", "divisor", "live", "file", F.inline("runs"))
+    term = F.substring("t", 2, 1 << 30)
+    return rows.select(bucket(term, buckets).alias("bucket"), term.alias("term"), F.substring("t", 1, 1).alias("kind"), "n", "node", "divisor", "live", "file")
 
 
 def search_notes(nodes: DataFrame, table: DataFrame, query: str, limit: int = 5, buckets: int = BUCKETS) -> DataFrame:
-    """As ``kb.search`` over the nodes that the lists were made of.
+    """As ``kb.search`` over the numbered nodes that the lists were made of.
 
     The lists give every section's score but for the phrase.  Only sections of the fullest tier
     can be results, and only those whose score with the phrase's bonus reaches the least of the
-    best ``limit`` paths; these alone are looked up in ``nodes`` and held against the phrase.
+    best ``limit`` files; these alone are looked up in ``nodes`` and held against the phrase.
+    (Two paths of one hash count as one file, which can only lower that least score.)
     """
     phrase = T.python_tokens(query)
     terms = list(dict.fromkeys(phrase))
@@ -67,20 +86,20 @@ def search_notes(nodes: DataFrame, table: DataFrame, query: str, limit: int = 5,
         return kb.search(nodes, "", 0)
     weight = F.when(F.col("kind") == "h", T.HEADING_WEIGHT).when(F.col("kind") == "a", T.PATH_WEIGHT).otherwise(0) * F.col("n")
     body = F.when(F.col("kind") == "b", T.BODY_WEIGHT * F.col("n")).otherwise(0)
-    found = lists(table, terms, buckets).groupBy(*KEY).agg(
-        F.count_distinct("term").alias("matched"), F.sum(weight).alias("structure"), F.sum(body * T.SCALE).alias("body_part"), F.first("divisor").alias("divisor"))
+    found = lists(table, terms, buckets).groupBy("node").agg(
+        F.count_distinct("term").alias("matched"), F.sum(weight).alias("structure"), F.sum(body * T.SCALE).alias("body_part"),
+        F.first("divisor").alias("divisor"), F.first("live").alias("live"), F.first("file").alias("file"))
     base = F.col("matched") * T.stride(len(terms)) + F.col("structure") * T.SCALE + F.expr("body_part div divisor")
-    found = found.select(*KEY, "matched", base.cast("long").alias("base"), F.struct("matched", (~T.is_archive(F.col("path"))).alias("live")).alias("tier"))
-    top = found.agg(F.max("tier").alias("t")).first()["t"]
+    found = found.select("node", "matched", "live", "file", base.cast("long").alias("base"))
+    top = found.agg(F.max(F.struct("matched", "live")).alias("t")).first()["t"]
     if top is None:
         return kb.search(nodes, "", 0)
-    fullest = found.where((F.col("matched") == top["matched"]) & (F.col("tier.live") == top["live"]))
-    paths = fullest.groupBy("path").agg(F.max("base").alias("base")).orderBy(F.desc("base")).limit(limit).collect()
-    least = min(r["base"] for r in paths) - (T.PHRASE_BONUS if len(phrase) else 0)
-    rest = fullest.where(F.col("base") >= least).select(*KEY, "matched", "base")
+    fullest = found.where((F.col("matched") == top["matched"]) & (F.col("live") == top["live"]))
+    best = fullest.groupBy("file").agg(F.max("base").alias("base")).orderBy(F.desc("base")).limit(limit).collect()
+    rest = fullest.where(F.col("base") >= min(r["base"] for r in best) - T.PHRASE_BONUS).select("node", "matched", "base")
+    rows = kb.tokenized(nodes.join(rest, "node"))
     bonus = F.when(T.has_phrase(F.col("b_tok"), phrase), T.PHRASE_BONUS).otherwise(0)
-    rows = nodes.join(rest, list(KEY)).withColumn("score", (F.col("base") + bonus).cast("long"))
-    return kb.ranked(rows, limit)
+    return kb.ranked(rows.withColumn("score", (F.col("base") + bonus).cast("long")), limit)
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -1,6 +1,6 @@
 """The Markdown index: build, freshness, atomic replacement, search.
 
-The index is a folder with Parquet tables ``nodes`` (with tokens), ``postings`` (see postings) and ``manifest``.  A new one
+The index is a folder with Parquet tables ``nodes``, ``postings`` (see postings) and ``manifest``.  A new one
 is staged beside it and renamed into place under a lock that other processes respect.
 """
 
@@ -21,7 +21,7 @@ from ..functions.text import python_tokens
 from ..operators import kb, postings
 from ..sources import files, transcripts
 
-POSTINGS = "term string, kind string, n int, path string, line_start int, divisor long, bucket int"
+POSTINGS = "term string, kind string, n tinyint, node long, divisor int, live boolean, file long, bucket int"
 MANIFEST = "path string, mtime_ns long, size long"
 
 
@@ -87,7 +87,7 @@ def _build(spark: SparkSession, root: str, index: str) -> Summary:
     stage = os.path.join(folder, f".{name}.staging-{uuid.uuid4().hex}")
     try:
         lines = source_lines(spark, root, [p for p, _, size in before if size])
-        kb.tokenized(kb.nodes(lines)).write.parquet(f"{stage}/nodes")
+        postings.numbered(kb.nodes(lines)).write.parquet(f"{stage}/nodes")
         postings.write(postings.of_notes(spark.read.parquet(f"{stage}/nodes")), f"{stage}/postings")
         spark.createDataFrame(before, MANIFEST).coalesce(1).write.parquet(f"{stage}/manifest")
         if files.manifest(root) != before:

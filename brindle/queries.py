@@ -296,7 +296,7 @@ for _name, _query in (("kb_search", KB_QUERY), ("kb_search_phrase", PHRASE_QUERY
 def stored_notes(spark, d):
     """The nodes and their postings as tables of the shared folder."""
     at = shared_folder(spark, "notes")
-    kb.tokenized(V.kb_nodes(spark, d)).write.parquet(f"{at}/nodes")
+    postings.numbered(V.kb_nodes(spark, d)).write.parquet(f"{at}/nodes")
     postings.write(postings.of_notes(spark.read.parquet(f"{at}/nodes")), f"{at}/postings")
     return spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/postings")
 
