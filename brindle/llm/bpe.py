@@ -38,8 +38,8 @@ KEEP_CHUNKS, KEEP_FIRST = 300_000, 200_000
 GROUP_CHARS, GROUP_IDS, GROUP_BYTES = 1_000_000, 100_000, 100_000
 #: Rows of all steps of a recursive query, about.
 MOST_ROWS = 2_000_000
-#: What DuckDB may take; a single word of many megabytes needs more.
-MEMORY = "120MB"
+#: What DuckDB may take, and more for each byte of a single longer word; it never writes to disk.
+MEMORY, WORD_BYTES = "120MB", 600
 #: In a text without these, each single space or newline starts a chunk that holds whole pieces.
 UNEVEN = re.compile(r"\s\s|[^\S \n]|\x00")
 
@@ -76,20 +76,26 @@ SELECT s.word, s.pos,
 FROM state s JOIN hit h ON h.word = s.word LEFT JOIN state g ON g.pos = h.gone
 WHERE s.pos <> h.gone AND s.step < {most}"""
 
-#: All pairs of least rank, every other one where they overlap.  That is the same as one by one
-#: unless the merged token is part of a pair of lesser rank; then only the leftmost counts.
+#: All pairs of least rank, every other one where they overlap: the same as one by one up to the
+#: first merge whose token makes a pair of lesser rank with a neighbour; later ones wait a step.
 EVERY = """
 pairs AS (
-    SELECT s.word, s.pos, m.merged, m.early, min(m.merged) OVER (PARTITION BY s.word) AS least,
+    SELECT s.word, s.pos, s.nxt, s.place, s.before, m.merged, min(m.merged) OVER (PARTITION BY s.word) AS least,
            s.place - row_number() OVER (PARTITION BY s.word, m.merged ORDER BY s.pos) AS island
-    FROM (SELECT *, row_number() OVER (ORDER BY pos) AS place FROM state) s
+    FROM (SELECT *, row_number() OVER (ORDER BY pos) AS place, lag(tok) OVER (PARTITION BY word ORDER BY pos) AS before FROM state) s
     JOIN merges m ON m.pair = (s.tok::BIGINT << 32) + s.ntok
-), picked AS (
-    SELECT word, pos, merged FROM pairs WHERE merged = least
-    QUALIFY CASE WHEN early THEN row_number() OVER (PARTITION BY word ORDER BY pos) = 1
-                 ELSE row_number() OVER (PARTITION BY word, island ORDER BY pos) % 2 = 1 END
+), other AS (
+    SELECT * FROM pairs WHERE merged = least QUALIFY row_number() OVER (PARTITION BY word, island ORDER BY pos) % 2 = 1
+), seen AS (
+    SELECT o.word, o.pos, o.nxt, o.merged, g.ntok AS behind,
+           CASE WHEN lag(o.place) OVER (PARTITION BY o.word ORDER BY o.pos) = o.place - 2 THEN o.merged ELSE o.before END AS ahead
+    FROM other o JOIN state g ON g.pos = o.nxt
+), early AS (
+    SELECT x.word, min(x.pos) AS stop
+    FROM (SELECT word, pos, merged, (ahead::BIGINT << 32) + merged AS pair FROM seen UNION ALL SELECT word, pos, merged, (merged::BIGINT << 32) + behind FROM seen) x
+    JOIN merges m ON m.pair = x.pair WHERE m.merged < x.merged GROUP BY x.word
 ), hit AS (
-    SELECT p.*, s.nxt AS gone FROM picked p JOIN state s ON s.pos = p.pos
+    SELECT p.word, p.pos, p.merged, p.nxt AS gone FROM seen p LEFT JOIN early e ON e.word = p.word WHERE e.stop IS NULL OR p.pos <= e.stop
 )
 SELECT s.word, s.pos, coalesce(g.nxt, s.nxt), coalesce(h.merged, s.tok),
        coalesce(n.merged, CASE WHEN h.pos IS NOT NULL THEN g.ntok ELSE s.ntok END), s.step + 1
@@ -132,12 +138,8 @@ class Codec:
         self.split, self.by_blanks = regex.compile(pattern).findall, pattern == public_tokenizers.PATTERN
         merges = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         left, right, merged = (np.array(x, np.int64) for x in zip(*merges))
-        top = max(self.ranks.values()) + 1
-        first = np.full(top, top)  # the least rank of a pair with this token
-        np.minimum.at(first, left, merged)
-        np.minimum.at(first, right, merged)
         self.tables = {
-            "merges": pa.table({"pair": (left << 32) + right, "merged": merged.astype(np.int32), "early": first[merged] < merged}),
+            "merges": pa.table({"pair": (left << 32) + right, "merged": merged.astype(np.int32)}),
             "vocab": pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]}),
         }
         self.chunks: dict[str, bytes] = {}
@@ -148,7 +150,7 @@ class Codec:
         if self._db is None:
             import duckdb
 
-            self._db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
+            self._db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
             for name, rows in self.tables.items():
                 self._db.register("incoming", rows)
                 self._db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
@@ -163,7 +165,7 @@ class Codec:
             while last < len(raw) and (last == first or n + len(raw[last]) <= GROUP_BYTES):
                 n += len(raw[last])
                 last += 1
-            out += self.contract_group(raw[first:last], step, max(8, min(STEPS, MOST_ROWS // n)))
+            out += self.contract_group(raw[first:last], step, max(2, min(STEPS, MOST_ROWS // n)))
             first = last
         return out
 
@@ -176,6 +178,8 @@ class Codec:
         after[ends - 1] = -1
         place = np.arange(len(tok), dtype=np.int32)
         seed = pa.table({"word": np.repeat(np.arange(len(raw), dtype=np.int32), sizes), "pos": place, "nxt": place + 1, "tok": tok, "ntok": after})
+        if len(tok) > GROUP_BYTES:  # one long word
+            self.db.execute(f"SET memory_limit = '{120 + WORD_BYTES * len(tok) // 1_000_000}MB'")
         while seed.num_rows:
             self.db.register("seed", seed)
             found = self.db.sql(CONTRACT.format(step=step.format(most=most))).to_arrow_table()
@@ -191,6 +195,8 @@ class Codec:
             for k, first, end in zip(word[firsts].tolist(), firsts.tolist(), np.append(firsts[1:], len(word)).tolist()):
                 out[k] = blob[4 * first : 4 * end]
             seed = found.take(pa.array(more)).drop_columns("step")
+        if len(tok) > GROUP_BYTES:
+            self.db.execute(f"SET memory_limit = '{MEMORY}'")
         return out
 
     def pieces_to_ids(self, words: set[str]) -> dict[str, bytes]:
@@ -318,6 +324,7 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path
         for batch in it:
             ids = [np.array(x if x is not None else [], "<u4").tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "decoded": codec(path, pattern).decode(ids)}, schema=schema)
+        codec(path, pattern).rest()
 
     src = tokens.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids"))
     return src.mapInArrow(rows, "id long, decoded binary").withColumnRenamed("id", id_col)

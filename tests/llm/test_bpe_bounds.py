@@ -41,3 +41,28 @@ def test_other_patterns_and_ranks(tmp_path):
         for text in ("abc abcab bca", "a b a b\nabc", "abab abab ab"):
             ids, plain = own.round_trip([text])[0]
             assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text) and plain == text.encode()
+
+
+def test_long_words(tmp_path, monkeypatch):
+    """Words of up to a million letters, one after the other, in a folder that cannot be written."""
+    import os
+    import random
+    import time
+
+    import tiktoken
+
+    path, pattern = bpe.vocabulary()
+    own = bpe.Codec(path, pattern)
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=own.ranks, special_tokens={})
+    r = random.Random(3)
+    folder = tmp_path / "closed"
+    folder.mkdir()
+    monkeypatch.chdir(folder)
+    os.chmod(folder, 0o500)
+    for text in ("thequick" * 12_500, "a" * 1_000_000, "".join(r.choices("abcdefgh", k=3000)), "antidisestablishment" * 40):
+        began = time.perf_counter()
+        ids, plain = own.round_trip([text])[0]
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text) and plain == text.encode()
+        assert time.perf_counter() - began < 60
+    os.chmod(folder, 0o700)
+    assert list(folder.iterdir()) == []
