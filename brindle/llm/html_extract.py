@@ -33,12 +33,22 @@ from .common import cut, drop
 MANY, SHARE = 10, 0.3
 #: A block of so many words is long, and needs FEW pages anywhere; so does a block inside a region.
 LONG, FEW, INSIDE_SHARE = 24, 5, 0.5
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+#: Attributes of a tag; a quoted value may hold a tag's end.
+ATTRIBUTES = r"""(?:[^>"'=]|=\s*(?:"[^"]*"|'[^']*')?|["'])*"""
+#: A head may lack its end: the first element that it cannot hold ends it.
+BODY = r"</head\s*>|(?=<body\b|</?(?!(?:base|link|meta|noscript|script|style|template|title)\b)[a-zA-Z])"
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)"
+    r"|<(?P<head>head)\b[^>]*>(?:<!--.*?-->|<(?P<raw>script|style|noscript|template|title)\b.*?</(?P=raw)\s*>|(?!" + BODY + r").)*(?:</head\s*>)?"
+    r"|<(title)\b.*?(?:</title\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)(?P<rest>" + ATTRIBUTES + r")(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE_TAGS = frozenset("nav footer aside form button select textarea menu dialog iframe object".split())
 NOISE_NAMES = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies dialog disclaimer footer header menu modal nav navbar navigation newsletter notice popup promo related search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Words that only tell where a part stands or what shape it has.
+PLAIN_NAMES = frozenset("area article bar block body bottom box btn button buttons col column container content div entry fixed float global group head home icon icons inline inner item items label left link links list main media message messages meta mobile outer page panel post posts primary right row secondary section site slot sticky story tag tags text title top unit widgets wrap wrapper".split())
 MAIN = frozenset(("article", "main"))
 #: Names that inside an article say nothing: its own header, and works related to its matter.
 OWN_NAMES = frozenset(("header", "related", "disclaimer", "search", "notice"))
@@ -50,9 +60,11 @@ def noisy(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in MAIN or tag in ("html", "body") or not attributes:
         return False
     for m in NAME.finditer(attributes):
-        words = re.split(r"[^a-z0-9]+", next(g for g in m.groups() if g is not None).lower())
-        if (NOISE_NAMES - OWN_NAMES if in_main else NOISE_NAMES).intersection(words):
-            return True
+        for name in next(g for g in m.groups() if g is not None).lower().split():
+            words = [w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()]
+            # A name with a word that says something else ("has-sidebar", "social-policy") is no verdict.
+            if (NOISE_NAMES - OWN_NAMES if in_main else NOISE_NAMES).intersection(words) and PLAIN_NAMES.union(NOISE_NAMES).issuperset(words):
+                return True
     return False
 
 
@@ -69,22 +81,23 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
     for m in TAG.finditer(page or ""):
         text.append(html.unescape(page[at : m.start()]))  # references end at tags
         at = m.end()
-        tag = (m[3] or "").lower()
+        tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        rest = m["rest"]
         if tag == "br":
             text.append(" ")
         if tag in INLINE or tag == "br":
-            if not noisy(tag, m[4], main > 0):
+            if not noisy(tag, rest, main > 0):
                 continue
-        if not m[2]:
+        if not m["close"]:
             close()
-            if tag in VOID or m[4].endswith("/"):
+            if tag in VOID or rest.endswith("/"):
                 continue
             if tag in ("p", "li") and stack and stack[-1][0] == tag:
                 _, a, b = stack.pop()
                 main, noise = main - a, noise - b
-            mark = (tag, tag in MAIN, noisy(tag, m[4], main > 0))
+            mark = (tag, tag in MAIN, noisy(tag, rest, main > 0))
             stack.append(mark)
             main, noise = main + mark[1], noise + mark[2]
         else:

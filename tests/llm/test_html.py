@@ -79,3 +79,31 @@ def test_blocks_against_brute_force(spark):
                 kept.append(text)
         want.append(" ".join(kept))
     assert texts(spark, rows) == want
+
+
+def only(source):
+    return " ".join(t for t, _, noise in html_extract.blocks(source) if not noise)
+
+
+def test_omitted_and_odd_markup():
+    """Heads without an end, quoted ends of tags, names that hold a noise word but say something else."""
+    assert only("<html><head><title>T</title><body><p>hello there</p></body></html>") == "hello there"
+    assert only("<html><head><title>T</title><meta name=a><p>hello there</p>") == "hello there"
+    assert only("<head><script>if (a<b) '<p>no</p>'</script><style>p{}</style></head><p>x") == "x"
+    assert only("<title>T</title><p>x</p>") == "x"
+    assert only("<header>top</header><p>x</p>") == "x"
+    assert only("""<p><a title="a > b" href='x>y'>link</a> and <b data-x=1>more</b></p>""") == "link and more"
+    assert only("""<p title=it's>one</p><p title='open>two</p>""").startswith("one")
+    for name in ('section class="social-policy"', 'div class="widget-free text"', 'p id="comments-on-the-law"', 'div class="has-sidebar"'):
+        assert only(f"<main><{name}>kept</{name.split()[0]}></main><{name}>kept</{name.split()[0]}>") == "kept kept", name
+    for name in ("sidebar", "site-footer", "comments-list", "ad-slot-2", "cookie banner", "share-buttons"):
+        assert only(f'<div class="{name}">gone</div><p>x</p>') == "x", name
+
+
+def test_markup_costs_in_proportion():
+    import time
+
+    for source in ("<head>" + "<meta a='b'>" * 40_000 + "<p>x</p>", "<p " + "a='b' " * 100_000 + ">x</p>", "<p>" + "<" * 200_000, "<a '" * 20_000 + "x", "x" * 3_000_000):
+        began = time.perf_counter()
+        html_extract.blocks(source)
+        assert time.perf_counter() - began < 20
