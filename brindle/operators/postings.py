@@ -15,6 +15,8 @@ from . import kb, transcript
 
 #: Folders of an index.
 BUCKETS = 64
+#: Where a term stands: heading, path, body; and how many hashes of paths there are.
+KINDS, FILES = ("h", "a", "b"), 1 << 16
 
 
 def bucket(term: Column, buckets: int = BUCKETS) -> Column:
@@ -51,25 +53,38 @@ def held(rows: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def of_notes(nodes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, term, kind, n, node, divisor, live, file): where a term stands: heading (h), path (a), body (b).
+    """(bucket, term, node, facts): where a term stands, see ``unpacked``.
 
-    ``n`` is capped as the score caps it, ``divisor`` is that of the section's body, ``live`` is
-    false in archives, ``file`` is a hash of the path.  A node's tokens are sorted and counted in
-    its own row; only the counts are dealt out.
+    A node's tokens are sorted and counted in its own row; only the counts are dealt out, in rows
+    of few bytes.
     """
     tagged = lambda c, kind: F.transform(c, lambda t: F.concat(F.lit(kind), t))
     rows = kb.tokenized(nodes)
     divisor = F.greatest(F.lit(1), T.integer_sqrt(F.greatest(F.size("b_tok"), F.lit(1)))).cast("int")
-    facts = (divisor.alias("divisor"), (~T.is_archive(F.col("path"))).alias("live"), F.xxhash64("path").alias("file"))
+    live = F.when(T.is_archive(F.col("path")), 0).otherwise(1)
+    own = ((divisor.cast("long") * FILES + F.pmod(F.xxhash64("path"), F.lit(FILES))) * 2 + live) * 16
     every = F.array_sort(F.concat(tagged(F.col("h_tok"), "h"), tagged(F.col("a_tok"), "a"), tagged(F.col("b_tok"), "b")))
-    rows = held(rows.select("node", *facts, every.alias("all")), "own", F.col("all")).drop("all").where(F.size("own") > 0)
+    rows = held(rows.select("node", own.alias("facts"), every.alias("all")), "own", F.col("all")).drop("all").where(F.size("own") > 0)
     first = lambda i: (i == 0) | (F.get("own", i) != F.get("own", i - 1))
     rows = held(rows, "starts", F.filter(F.sequence(F.lit(0), F.size("own") - 1), first))
     size = lambda i, k: F.least(F.coalesce(F.get("starts", k + 1), F.size("own")) - i, F.lit(T.TERM_CAP)).cast("tinyint")
     rows = rows.withColumn("runs", F.transform("starts", lambda i, k: F.struct(F.get("own", i).alias("t"), size(i, k).alias("n"))))
-    rows = rows.select("node", "divisor", "live", "file", F.inline("runs"))
+    rows = rows.select("node", "facts", F.inline("runs"))
     term = F.substring("t", 2, 1 << 30)
-    return rows.select(bucket(term, buckets).alias("bucket"), term.alias("term"), F.substring("t", 1, 1).alias("kind"), "n", "node", "divisor", "live", "file")
+    kind = F.when(F.startswith("t", F.lit("h")), 0).when(F.startswith("t", F.lit("a")), 1).otherwise(2)
+    return rows.select(bucket(term, buckets).alias("bucket"), term.alias("term"), "node", (F.col("facts") + kind * 4 + F.col("n")).alias("facts"))
+
+
+def unpacked(table: DataFrame) -> DataFrame:
+    """(term, node, kind, n, divisor, live, file) of lists.
+
+    ``kind`` is heading (h), path (a) or body (b), ``n`` is capped as the score caps it,
+    ``divisor`` is that of the section's body, ``live`` is false in archives, ``file`` a short hash
+    of the path.
+    """
+    part = lambda shift, mask: F.shiftright("facts", shift).bitwiseAND(F.lit(mask))
+    kind = F.get(F.array(*[F.lit(k) for k in KINDS]), part(2, 3).cast("int"))
+    return table.select("term", "node", kind.alias("kind"), part(0, 3).alias("n"), F.shiftright("facts", 5 + FILES.bit_length() - 1).alias("divisor"), (part(4, 1) == 1).alias("live"), part(5, FILES - 1).alias("file"))
 
 
 def search_notes(nodes: DataFrame, table: DataFrame, query: str, limit: int = 5, buckets: int = BUCKETS) -> DataFrame:
@@ -86,7 +101,7 @@ def search_notes(nodes: DataFrame, table: DataFrame, query: str, limit: int = 5,
         return kb.search(nodes, "", 0)
     weight = F.when(F.col("kind") == "h", T.HEADING_WEIGHT).when(F.col("kind") == "a", T.PATH_WEIGHT).otherwise(0) * F.col("n")
     body = F.when(F.col("kind") == "b", T.BODY_WEIGHT * F.col("n")).otherwise(0)
-    found = lists(table, terms, buckets).groupBy("node").agg(
+    found = unpacked(lists(table, terms, buckets)).groupBy("node").agg(
         F.count_distinct("term").alias("matched"), F.sum(weight).alias("structure"), F.sum(body * T.SCALE).alias("body_part"),
         F.first("divisor").alias("divisor"), F.first("live").alias("live"), F.first("file").alias("file"))
     base = F.col("matched") * T.stride(len(terms)) + F.col("structure") * T.SCALE + F.expr("body_part div divisor")

@@ -21,7 +21,7 @@ from ..functions.text import python_tokens
 from ..operators import kb, postings
 from ..sources import files, transcripts
 
-POSTINGS = "term string, kind string, n tinyint, node long, divisor int, live boolean, file long, bucket int"
+POSTINGS = "term string, node long, facts long, bucket int"
 MANIFEST = "path string, mtime_ns long, size long"
 
 

@@ -3,10 +3,9 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept;
 all but the last return the columns of documents.
 
-Defined results: a null or empty text is no reason to reject a document and ends as no tokens;
-texts without words are near duplicates of each other; of repeated rows and ids one row stays;
-null sources are a source of their own; an empty table gives no rows; without labels nothing is
-rejected as toxic.
+Defined results: a null or empty text goes through and ends as no tokens; texts without words are
+near duplicates of each other; of repeated rows one stays before the mix; null sources are a
+source of their own; an empty table gives no rows, and labels may be missing.
 """
 
 from __future__ import annotations
