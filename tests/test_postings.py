@@ -27,9 +27,9 @@ def stored(spark, tmp_path, rows, make):
 def test_notes(spark, tmp_path):
     nodes, lists = stored(spark, tmp_path, notes(spark), postings.of_notes)
     plain = notes(spark)
-    for query in ("alpha", "beta alpha", "alpha beta gamma delta", "家庭 für", "alpha alpha beta", "archive", "nothing", "alpha nothing", "?!", "x2 archive n7"):
-        for limit in (1, 5, 60):
-            assert postings.search_notes(nodes, lists, query, limit).collect() == kb.search(plain, query, limit).collect(), (query, limit)
+    plain.cache()
+    for query, limit in (("alpha", 5), ("beta alpha", 1), ("beta alpha", 60), ("alpha beta gamma delta", 5), ("家庭 für", 60), ("alpha alpha beta", 5), ("archive", 5), ("nothing", 5), ("alpha nothing", 1), ("?!", 5), ("x2 archive n7", 60)):
+        assert postings.search_notes(nodes, lists, query, limit).collect() == kb.search(plain, query, limit).collect(), (query, limit)
     assert postings.search_notes(nodes, lists, "alpha", 0).collect() == []
 
 
@@ -55,9 +55,8 @@ def test_transcripts(spark, tmp_path):
     rows = spark.createDataFrame([(f"d{k % 9}", f"{k:06d}", made(), made(), "turns:0-1", 0, 1, made()) for k in range(200)], "doc_id string, node_id string, title string, summary string, source_locator string, start_turn int, end_turn int, text string")
     docs = spark.createDataFrame([(f"d{k}", f"p{k}") for k in range(9)], "doc_id string, source_path string")
     nodes, lists = stored(spark, tmp_path, rows, postings.of_transcripts)
-    for query in ("aba", "ABA bab", "abab 1212 zzz", "ab", "abab ab", "x", "", "d4", "turn"):
-        for limit in (3, 500):
-            assert postings.search_transcripts(docs, nodes, lists, query, limit).collect() == transcript.query(docs, nodes, query, limit).collect(), (query, limit)
+    for query, limit in (("aba", 3), ("ABA bab", 500), ("abab 1212 zzz", 500), ("ab", 3), ("abab ab", 500), ("x", 3), ("", 3), ("d4", 500), ("turn", 500)):
+        assert postings.search_transcripts(docs, nodes, lists, query, limit).collect() == transcript.query(docs, nodes, query, limit).collect(), (query, limit)
 
 
 @pytest.mark.parametrize("make", [postings.of_notes, postings.of_transcripts])
