@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 SIZE, OVERLAP = 1600, 320
+#: Code points and rows of chunks in one Arrow batch.
+BATCH, ROWS = 1 << 20, 4096
 
 
 def cut_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
     """Windows of ``size`` code points that end after a late newline and overlap the next."""
-    text, out, at = text.strip(), [], 0
+    return list(windows(text, size, overlap))
+
+
+def windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[str]:
+    """``cut_text`` one after the other."""
+    text, at = text.strip(), 0
     if len(text) <= size:
-        return [text] if text else []
+        if text:
+            yield text
+        return
     while at < len(text):
         end = min(at + size, len(text))
         stop = end
@@ -22,22 +33,40 @@ def cut_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
             if newline - at > overlap:
                 stop = newline + 1
         if piece := text[at:stop].strip():
-            out.append(piece)
+            yield piece
         step = max(stop - at - overlap, 0)
         at = at + step if step else end
-    return out
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def chunk_list(texts: pd.Series) -> pd.Series:
-    """The cut of each window depends on the one before it, so this is an Arrow UDF."""
-    return texts.map(lambda t: cut_text(t) if t is not None else [])
+def cut_batches(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """One row for each window, in batches of about ``BATCH`` code points however long the texts are."""
+    for batch in batches:
+        rest, kind = batch.drop_columns([text_col]), batch.schema.field(text_col).type
+
+        def table(rows: list[int], numbers: list[int], pieces: list[str], rest=rest, kind=kind) -> pa.RecordBatch:
+            own = [c.take(pa.array(rows, pa.int32())) for c in rest.columns]
+            return pa.RecordBatch.from_arrays([*own, pa.array(numbers, pa.int32()), pa.array(pieces, kind)], names=[*rest.schema.names, "chunk_idx", "chunk"])
+
+        cut, size = ([], [], []), 0
+        for row, text in enumerate(batch.column(text_col)):
+            for k, piece in enumerate(windows(text.as_py() or "")):
+                for values, value in zip(cut, (row, k, piece)):
+                    values.append(value)
+                size += len(piece)
+                if size >= BATCH or len(cut[0]) == ROWS:
+                    yield table(*cut)
+                    cut, size = ([], [], []), 0
+        if cut[0]:
+            yield table(*cut)
 
 
 def chunks(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row for each chunk: all other columns, chunk_idx (from 0), chunk, hash."""
-    rest = [c for c in df.columns if c != text_col]
-    cut = df.withColumn("_cut", chunk_list(F.col(text_col))).select(*rest, F.posexplode("_cut").alias("chunk_idx", "chunk"))
+    """One row for each chunk: all other columns, chunk_idx (from 0), chunk, hash.
+
+    The cut of each window depends on the one before it, so this is an Arrow map.
+    """
+    schema = StructType([f for f in df.schema if f.name != text_col]).add("chunk_idx", IntegerType()).add("chunk", StringType())
+    cut = df.mapInArrow(lambda batches: cut_batches(batches, text_col), schema)
     return cut.withColumn("hash", text_hash(F.col("chunk")))
 
 

@@ -44,3 +44,23 @@ def test_identity(spark):
     got = spark.range(1).select(point_id(F.lit("prompt:session:ab")).alias("p"), text_hash(F.lit("x")).alias("h")).first()
     h = hashlib.sha256(b"prompt:session:ab").hexdigest()
     assert got["p"] == f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}"
+
+
+def test_batches_are_bounded_however_long_the_texts_are():
+    import pyarrow as pa
+
+    from brindle.functions.chunking import BATCH, ROWS, cut_batches
+
+    texts = ["x y" * BATCH, None, "", "short", *["ab"] * (ROWS + 10), "line\n" * 1000]
+    source = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts, "tag": ["t"] * len(texts)})
+    made = cut_batches(iter([source]), "text")
+    first = next(made)  # before the rest is cut
+    assert first.schema.names == ["id", "tag", "chunk_idx", "chunk"] and set(first["id"].to_pylist()) == {0}
+    every = [first, *made]
+    assert all(b.num_rows <= ROWS and sum(map(len, b["chunk"].to_pylist())) < BATCH + SIZE for b in every)
+    got = [(r["id"], r["chunk_idx"], r["chunk"]) for b in every for r in b.to_pylist()]
+    assert got == [(i, k, piece) for i, t in enumerate(texts) for k, piece in enumerate(cut_text(t or ""))]
+
+
+def test_a_table_of_texts_alone(spark):
+    assert [tuple(r) for r in chunks(spark.createDataFrame([("a",), (None,)], "text string")).select("chunk_idx", "chunk").collect()] == [(0, "a")]
