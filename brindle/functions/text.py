@@ -59,6 +59,11 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit(r"[\p{IsAlphabetic}\p{N}]+"), 0)
 
 
+def spaced(x: Column) -> Column:
+    """``tokens`` in one text, with a blank between two of them and perhaps one at either end."""
+    return F.regexp_replace(F.lower(x), r"[^\p{IsAlphabetic}\p{N}]+", " ")
+
+
 def python_tokens(text: str) -> list[str]:
     """``tokens`` on the driver, by the same classes, combining vowel signs included."""
     import regex

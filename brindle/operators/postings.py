@@ -6,7 +6,12 @@ terms only.  The lists decide as much as they can; texts are read for the rows t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -17,6 +22,8 @@ from . import kb, transcript
 BUCKETS = 64
 #: Where a term stands: heading, path, body; and how many hashes of paths there are.
 KINDS, FILES = ("h", "a", "b"), 1 << 16
+#: Bytes of nodes whose lists are made together.
+BLOCK = 16 << 20
 
 
 def bucket(term: Column, buckets: int = BUCKETS) -> Column:
@@ -47,32 +54,42 @@ def numbered(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("node", F.monotonically_increasing_id())
 
 
-def held(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """Adds a column behind a generator, so that lambdas over it do not compute it again for each element."""
-    return rows.select(*rows.columns, F.inline(F.array(F.struct(value.alias(name)))))
+def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, nodes, facts) of blocks of (node, facts, h, a, b): one row for each term of a block."""
+    for batch in batches:
+        step = max(1, BLOCK * batch.num_rows // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            lists = [pc.split_pattern(pc.fill_null(part[k], ""), " ") for k in KINDS]
+            words = pa.concat_arrays([x.flatten() for x in lists])
+            place = np.concatenate([np.repeat(np.arange(part.num_rows) * len(KINDS) + k, pc.list_value_length(x)) for k, x in enumerate(lists)])
+            some = pc.not_equal(words, "")
+            words, place = words.filter(some).dictionary_encode(), place[some.to_numpy(zero_copy_only=False)]
+            if not len(place):
+                continue
+            # One number for each term of a field of a node, by term and then by node; how often it occurs.
+            found, n = np.unique(words.indices.to_numpy() * np.int64(part.num_rows * len(KINDS)) + place, return_counts=True)
+            code, place = np.divmod(found, part.num_rows * len(KINDS))
+            node, kind = np.divmod(place, len(KINDS))
+            sizes = np.bincount(pc.list_parent_indices(lists[-1]).to_numpy()[pc.not_equal(lists[-1].flatten(), "").to_numpy(zero_copy_only=False)], minlength=part.num_rows)
+            divisor = np.maximum(1, np.sqrt(sizes).astype(np.int64))
+            facts = (divisor * (FILES * 2 * 16) + part["facts"].to_numpy())[node] + kind * 4 + np.minimum(n, T.TERM_CAP)
+            starts = pa.array(np.searchsorted(code, np.arange(len(words.dictionary) + 1)), pa.int32())
+            columns = [words.dictionary, pa.ListArray.from_arrays(starts, part["node"].take(pa.array(node))), pa.ListArray.from_arrays(starts, pa.array(facts))]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "nodes", "facts"])
 
 
 def of_notes(nodes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, term, node, facts): where a term stands, see ``unpacked``.
+    """(bucket, term, nodes, facts): where a term stands, see ``unpacked``.
 
-    A node's tokens are sorted and counted in its own row; only the counts are dealt out, in rows
-    of few bytes.
+    A task counts the terms of a block of nodes together, so that what is dealt out is one row for
+    each term of a block, with its nodes in one list and their facts in another.
     """
-    tagged = lambda c, kind: F.transform(c, lambda t: F.concat(F.lit(kind), t))
-    rows = kb.tokenized(nodes)
-    divisor = F.greatest(F.lit(1), T.integer_sqrt(F.greatest(F.size("b_tok"), F.lit(1)))).cast("int")
     live = F.when(T.is_archive(F.col("path")), 0).otherwise(1)
-    own = ((divisor.cast("long") * FILES + F.pmod(F.xxhash64("path"), F.lit(FILES))) * 2 + live) * 16
-    every = F.array_sort(F.concat(tagged(F.col("h_tok"), "h"), tagged(F.col("a_tok"), "a"), tagged(F.col("b_tok"), "b")))
-    rows = held(rows.select("node", own.alias("facts"), every.alias("all")), "own", F.col("all")).drop("all").where(F.size("own") > 0)
-    first = lambda i: (i == 0) | (F.get("own", i) != F.get("own", i - 1))
-    rows = held(rows, "starts", F.filter(F.sequence(F.lit(0), F.size("own") - 1), first))
-    size = lambda i, k: F.least(F.coalesce(F.get("starts", k + 1), F.size("own")) - i, F.lit(T.TERM_CAP)).cast("tinyint")
-    rows = rows.withColumn("runs", F.transform("starts", lambda i, k: F.struct(F.get("own", i).alias("t"), size(i, k).alias("n"))))
-    rows = rows.select("node", "facts", F.inline("runs"))
-    term = F.substring("t", 2, 1 << 30)
-    kind = F.when(F.startswith("t", F.lit("h")), 0).when(F.startswith("t", F.lit("a")), 1).otherwise(2)
-    return rows.select(bucket(term, buckets).alias("bucket"), term.alias("term"), "node", (F.col("facts") + kind * 4 + F.col("n")).alias("facts"))
+    facts = (F.pmod(F.xxhash64("path"), F.lit(FILES)) * 2 + live) * 16
+    rows = nodes.select("node", facts.cast("long").alias("facts"), T.spaced("heading_path").alias("h"), T.spaced("path").alias("a"), T.spaced("normalized_body").alias("b"))
+    rows = rows.mapInArrow(listed, "term string, nodes array<long>, facts array<long>")
+    return rows.select(bucket(F.col("term"), buckets).alias("bucket"), "term", "nodes", "facts")
 
 
 def unpacked(table: DataFrame) -> DataFrame:
@@ -84,7 +101,8 @@ def unpacked(table: DataFrame) -> DataFrame:
     """
     part = lambda shift, mask: F.shiftright("facts", shift).bitwiseAND(F.lit(mask))
     kind = F.get(F.array(*[F.lit(k) for k in KINDS]), part(2, 3).cast("int"))
-    return table.select("term", "node", kind.alias("kind"), part(0, 3).alias("n"), F.shiftright("facts", 5 + FILES.bit_length() - 1).alias("divisor"), (part(4, 1) == 1).alias("live"), part(5, FILES - 1).alias("file"))
+    rows = table.select("term", F.inline(F.arrays_zip("nodes", "facts")).alias("node", "facts"))
+    return rows.select("term", "node", kind.alias("kind"), part(0, 3).alias("n"), F.shiftright("facts", 5 + FILES.bit_length() - 1).alias("divisor"), (part(4, 1) == 1).alias("live"), part(5, FILES - 1).alias("file"))
 
 
 def search_notes(nodes: DataFrame, table: DataFrame, query: str, limit: int = 5, buckets: int = BUCKETS) -> DataFrame:

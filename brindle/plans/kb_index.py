@@ -1,6 +1,6 @@
 """The Markdown index: build, freshness, atomic replacement, search.
 
-The index is a folder with Parquet tables ``nodes``, ``postings`` (see postings) and ``manifest``.  A new one
+The index is a folder with Parquet tables ``nodes``, ``terms`` (see postings) and ``manifest``.  A new one
 is staged beside it and renamed into place under a lock that other processes respect.
 """
 
@@ -21,7 +21,7 @@ from ..functions.text import python_tokens
 from ..operators import kb, postings
 from ..sources import files, transcripts
 
-POSTINGS = "term string, node long, facts long, bucket int"
+TERMS = "term string, nodes array<long>, facts array<long>, bucket int"
 MANIFEST = "path string, mtime_ns long, size long"
 
 
@@ -88,7 +88,7 @@ def _build(spark: SparkSession, root: str, index: str) -> Summary:
     try:
         lines = source_lines(spark, root, [p for p, _, size in before if size])
         postings.numbered(kb.nodes(lines)).write.parquet(f"{stage}/nodes")
-        postings.write(postings.of_notes(spark.read.parquet(f"{stage}/nodes")), f"{stage}/postings")
+        postings.write(postings.of_notes(spark.read.parquet(f"{stage}/nodes")), f"{stage}/terms")
         spark.createDataFrame(before, MANIFEST).coalesce(1).write.parquet(f"{stage}/manifest")
         if files.manifest(root) != before:
             raise RuntimeError(f"files below {root} changed while they were read")
@@ -107,10 +107,10 @@ def build(spark: SparkSession, root: str, index: str) -> Summary:
 
 def _search(spark: SparkSession, index: str, query: str, limit: int) -> DataFrame:
     nodes = spark.read.parquet(f"{index}/nodes")
-    lists = os.path.join(index, "postings")
+    lists = os.path.join(index, "terms")
     if not os.path.isdir(lists):  # an index of an earlier version
         return kb.search(nodes, query, limit)
-    return postings.search_notes(nodes, spark.read.schema(POSTINGS).parquet(lists), query, limit)
+    return postings.search_notes(nodes, spark.read.schema(TERMS).parquet(lists), query, limit)
 
 
 def search(spark: SparkSession, root: str, index: str, query: str, limit: int = 5, rebuild: bool = True) -> DataFrame:

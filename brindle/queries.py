@@ -297,8 +297,8 @@ def stored_notes(spark, d):
     """The nodes and their postings as tables of the shared folder."""
     at = shared_folder(spark, "notes")
     postings.numbered(V.kb_nodes(spark, d)).write.parquet(f"{at}/nodes")
-    postings.write(postings.of_notes(spark.read.parquet(f"{at}/nodes")), f"{at}/postings")
-    return spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/postings")
+    postings.write(postings.of_notes(spark.read.parquet(f"{at}/nodes")), f"{at}/terms")
+    return spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/terms")
 
 
 for _name, _query in (("kb_search_stored", KB_QUERY), ("kb_search_stored_phrase", PHRASE_QUERY), ("kb_search_stored_archive", ARCHIVE_QUERY)):

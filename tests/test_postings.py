@@ -63,3 +63,28 @@ def test_transcripts(spark, tmp_path):
 def test_empty(spark, tmp_path, make):
     source = notes(spark).limit(0) if make is postings.of_notes else spark.createDataFrame([], "doc_id string, node_id string, title string, summary string, text string")
     assert make(postings.numbered(source)).collect() == []
+
+
+def test_a_block_of_nodes_has_one_row_for_each_term(spark, monkeypatch):
+    import pyarrow as pa
+
+    rows = postings.numbered(notes(spark, 60).coalesce(1))
+    table = postings.of_notes(rows)
+    assert table.groupBy("term").count().where("count > 1").isEmpty()
+    words = [" für ² x", "x x x x", None, "", "  "]
+    batch = pa.RecordBatch.from_pydict({"node": pa.array([7, 8, 9, 10, 11]), "facts": pa.array([0, 16, 0, 0, 0]), "h": pa.array([""] * 5), "a": pa.array(["p"] + [""] * 4), "b": words})
+    whole = [r for b in postings.listed(iter([batch])) for r in b.to_pylist()]
+    monkeypatch.setattr(postings, "BLOCK", 1)
+    alone = [r for b in postings.listed(iter([batch])) for r in b.to_pylist()]
+    flat = lambda rs: sorted((r["term"], n, f) for r in rs for n, f in zip(r["nodes"], r["facts"]))
+    one = postings.FILES * 32
+    assert flat(whole) == flat(alone) == [("für", 7, one + 9), ("p", 7, one + 5), ("x", 7, one + 9), ("x", 8, 2 * one + 16 + 11), ("²", 7, one + 9)]
+    assert len(whole) == 4 and len(alone) == 5
+
+
+def test_an_index_with_lists_of_an_earlier_form(spark, tmp_path):
+    from brindle.plans import kb_index
+
+    notes(spark, 30).write.parquet(str(tmp_path / "nodes"))
+    spark.createDataFrame([("alpha", 1, 1, 0)], "term string, node long, facts long, bucket int").write.partitionBy("bucket").parquet(str(tmp_path / "postings"))
+    assert kb_index._search(spark, str(tmp_path), "alpha beta", 5).collect() == kb.search(notes(spark, 30), "alpha beta", 5).collect()
