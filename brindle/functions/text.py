@@ -50,8 +50,15 @@ def is_fence(line: Column) -> Column:
     return (line.contains("```") | line.contains("~~~")) & line.rlike(r"(?U)^\s*(```|~~~)")
 
 
+def trim_long(x: Column) -> Column:
+    """``trim`` that looks at the ends first; ``x`` should be a plain column."""
+    space = lambda c: c.rlike(r"(?U)\s")
+    return F.when(space(F.left(x, F.lit(1))) | space(F.right(x, F.lit(1))), trim(x)).otherwise(x)
+
+
 def collapse(x: Column) -> Column:
-    return trim(F.regexp_replace(x, r"(?U)\s+", " "))
+    """White space as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
 def tokens(x: Column) -> Column:

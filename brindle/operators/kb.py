@@ -27,14 +27,13 @@ def sections(lines: DataFrame) -> DataFrame:
     path is a stack, cut by its length and not by levels.
     """
     order = W.partitionBy("path").orderBy("line_no")
-    rows = marked(lines).withColumn("k", F.sum((F.col("level") > 0).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("line_count", F.max("line_no").over(W.partitionBy("path")))
-    blank_so_far = F.sum((~T.blank(F.col("line"))).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)) == 0
-    rows = rows.withColumn("lead", (F.col("k") == 0) & blank_so_far).where("NOT lead")
+    so_far = lambda x: F.sum(x.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))
+    rows = marked(lines).withColumns({"k": so_far(F.col("level") > 0), "filled": so_far(~T.blank(F.col("line")))})
+    rows = rows.where("k > 0 OR filled > 0")
     body = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    text = T.trim(F.array_join(F.transform(body, lambda x: x["line"]), "\n"))
+    text = F.array_join(F.transform(body, lambda x: x["line"]), "\n")
     head = F.min_by(F.struct("level", "line"), "line_no")
-    cut = rows.groupBy("path", "k").agg(F.min("line_no").alias("line_start"), F.max("line_count").alias("line_count"), head.alias("h"), text.alias("text"))
+    cut = rows.groupBy("path", "k").agg(F.min("line_no").alias("line_start"), F.max("line_no").alias("line_count"), head.alias("h"), text.alias("text"))
     cut = cut.withColumn("title", F.when(F.col("k") > 0, T.heading_title(F.col("h.line"))))
     # The stack is sequential within a file: a fold over its headings, which are few.  A file's
     # sections meet in one row, as its text does; nothing is shuffled or computed again for it.
@@ -45,7 +44,7 @@ def sections(lines: DataFrame) -> DataFrame:
     rows = file.withColumn("names", fold["out"]).select("path", "s", "names", "line_count", F.posexplode("s").alias("n", "x"))
     line_end = F.coalesce(F.get("s", F.col("n") + 1)["line_start"] - 1, F.col("line_count"))
     name = F.when(F.col("x.k") > 0, F.get("names", (F.col("x.k") - 1).cast("int"))).otherwise(T.file_stem(F.col("path")))
-    return rows.select("path", F.col("x.line_start").alias("line_start"), line_end.alias("line_end"), name.alias("heading_path"), F.col("x.text").alias("text"))
+    return rows.select("path", F.col("x.line_start").alias("line_start"), line_end.alias("line_end"), name.alias("heading_path"), T.trim_long(F.col("x.text")).alias("text"))
 
 
 def nodes(lines: DataFrame) -> DataFrame:

@@ -99,3 +99,15 @@ def test_index_life(spark, tmp_path):
     assert sorted(n for n in os.listdir(tmp_path) if "staging" in n or "backup" in n) == []
     with pytest.raises(ValueError):
         kb_index.build(spark, str(root), str(root / "inside"))
+
+
+def test_white_space_at_the_ends_and_blank_lines(spark):
+    from pyspark.sql import functions as F
+
+    spaces = ["", " ", "x", " x y \n", "a ", "x\n \ny", "\r\n", "　　家 庭　", "é\t"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(spaces)], "k int, x string")
+    assert [r["a"] for r in df.orderBy("k").select(T.trim_long(F.col("x")).alias("a")).collect()] == [x.strip() for x in spaces]
+    assert [r["a"] for r in df.orderBy("k").select(T.collapse(F.col("x")).alias("a")).collect()] == [" ".join(x.split()) for x in spaces]
+    rows = kb.sections(md(spark, **{"a.md": "\n \n", "b.md": " \n  one \n\n# A\n\n", "c.md": "# A\n \n# B\n\n"}))
+    assert sorted((r["path"], r["line_start"], r["line_end"], r["text"]) for r in rows.collect()) == [("b.md", 2, 3, "one"), ("b.md", 4, 6, "# A"), ("c.md", 1, 2, "# A"), ("c.md", 3, 5, "# B")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
