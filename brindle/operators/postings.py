@@ -21,7 +21,7 @@ from . import kb, transcript
 #: Folders of an index.
 BUCKETS = 64
 #: Where a term stands: heading, path, body; and how many hashes of paths there are.
-KINDS, FILES = ("h", "a", "b"), 1 << 16
+KINDS, FILES = ("h", "a", "b"), 1 << 11
 #: Bytes of nodes whose lists are made together.
 BLOCK = 16 << 20
 
@@ -75,7 +75,7 @@ def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             divisor = np.maximum(1, np.sqrt(sizes).astype(np.int64))
             facts = (divisor * (FILES * 2 * 16) + part["facts"].to_numpy())[node] + kind * 4 + np.minimum(n, T.TERM_CAP)
             starts = pa.array(np.searchsorted(code, np.arange(len(words.dictionary) + 1)), pa.int32())
-            columns = [words.dictionary, pa.ListArray.from_arrays(starts, part["node"].take(pa.array(node))), pa.ListArray.from_arrays(starts, pa.array(facts))]
+            columns = [words.dictionary, pa.ListArray.from_arrays(starts, part["node"].take(pa.array(node))), pa.ListArray.from_arrays(starts, pa.array(facts.astype(np.int32)))]
             yield pa.RecordBatch.from_arrays(columns, names=["term", "nodes", "facts"])
 
 
@@ -84,11 +84,12 @@ def of_notes(nodes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
     A task counts the terms of a block of nodes together, so that what is dealt out is one row for
     each term of a block, with its nodes in one list and their facts in another.
+    Facts fit in 31 bits: a divisor has 15, since a text has less than 2**30 tokens.
     """
     live = F.when(T.is_archive(F.col("path")), 0).otherwise(1)
     facts = (F.pmod(F.xxhash64("path"), F.lit(FILES)) * 2 + live) * 16
     rows = nodes.select("node", facts.cast("long").alias("facts"), T.spaced("heading_path").alias("h"), T.spaced("path").alias("a"), T.spaced("normalized_body").alias("b"))
-    rows = rows.mapInArrow(listed, "term string, nodes array<long>, facts array<long>")
+    rows = rows.mapInArrow(listed, "term string, nodes array<long>, facts array<int>")
     return rows.select(bucket(F.col("term"), buckets).alias("bucket"), "term", "nodes", "facts")
 
 

@@ -21,7 +21,7 @@ from ..functions.text import python_tokens
 from ..operators import kb, postings
 from ..sources import files, transcripts
 
-TERMS = "term string, nodes array<long>, facts array<long>, bucket int"
+TERMS = "term string, nodes array<long>, facts array<int>, bucket int"
 MANIFEST = "path string, mtime_ns long, size long"
 
 

@@ -8,7 +8,7 @@ from . import views as V
 from .functions import chunking, text as T
 from .operators import history, kb, postings, present, transcript, tree, vector
 from .sources import transcripts, tsv
-from .storage import shared_folder
+from .storage import drop_shuffles, shared_folder
 
 QUERIES, SQL = {}, {}
 KB_QUERY, PHRASE_QUERY, ARCHIVE_QUERY, TRANSCRIPT_QUERY = "thatin ononst inoran", "of the", "src5 archive", "thtion thing user ering"
@@ -297,6 +297,7 @@ def stored_notes(spark, d):
     """The nodes and their postings as tables of the shared folder."""
     at = shared_folder(spark, "notes")
     postings.numbered(V.kb_nodes(spark, d)).write.parquet(f"{at}/nodes")
+    drop_shuffles(spark)
     postings.write(postings.of_notes(spark.read.parquet(f"{at}/nodes")), f"{at}/terms")
     return spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/terms")
 

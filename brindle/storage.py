@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -17,3 +18,9 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         named = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let the driver drop the shuffle files of finished steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

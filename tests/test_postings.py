@@ -88,3 +88,14 @@ def test_an_index_with_lists_of_an_earlier_form(spark, tmp_path):
     notes(spark, 30).write.parquet(str(tmp_path / "nodes"))
     spark.createDataFrame([("alpha", 1, 1, 0)], "term string, node long, facts long, bucket int").write.partitionBy("bucket").parquet(str(tmp_path / "postings"))
     assert kb_index._search(spark, str(tmp_path), "alpha beta", 5).collect() == kb.search(notes(spark, 30), "alpha beta", 5).collect()
+
+
+def test_facts_fit_in_an_integer():
+    import pyarrow as pa
+
+    at = (postings.FILES - 1) * 32 + 16
+    batch = pa.RecordBatch.from_pydict({"node": pa.array([1]), "facts": pa.array([at]), "h": [""], "a": [""], "b": ["t " * 10000]})
+    (row,) = next(postings.listed(iter([batch]))).to_pylist()
+    assert row["facts"] == [100 * postings.FILES * 32 + at + 8 + 3]
+    assert next(postings.listed(iter([batch]))).schema.field("facts").type == pa.list_(pa.int32())
+    assert 32767 * postings.FILES * 32 + at + 15 < 2**31
